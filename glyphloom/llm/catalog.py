@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphloom.llm import copied_spans, lookalikes, repetition
+from glyphloom.functions.text import SPACES, half_width
+from glyphloom.llm import copied_spans, cross_split, grouped_split, lookalikes, repetition
+from glyphloom.plans.materialise import cut
 from glyphloom.sources.tables import table
 
 
@@ -57,5 +59,58 @@ def p4_shares(spark: SparkSession, folder: str) -> DataFrame:
     return out.withColumn("shared_share", F.round("shared_share", 6))
 
 
-QUERIES = {"p2_found": p2_found, "p2_ratios": p2_ratios, "p3_found": p3_found, "p3_forms": p3_forms, "p4_found": p4_found, "p4_shares": p4_shares}
+def _article_groups(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    articles = table(spark, folder, "articles")
+    name = F.trim(F.regexp_replace(F.lower(half_width(F.col("author_id"))), f"^{SPACES}+|{SPACES}+$", ""))
+    node = F.col("article_id").alias("node")
+    authors = articles.select(node, name.alias("k")).where("k NOT IN ('desk', '')").select("node", F.concat(F.lit("author:"), "k").alias("key"))
+    origins = articles.where("origin_id IS NOT NULL").select(node, F.concat(F.lit("origin:"), "origin_id").alias("key"))
+    text = F.sha2(F.concat_ws("\u0001", F.transform("tokens", lambda t: F.concat(F.lit("="), t))), 256)
+    shared = table(spark, folder, "sentences").where(F.size("tokens") >= 10).select(node, F.concat(F.lit("tokens:"), text).alias("key"))
+    return grouped_split.groups(articles.select(node), authors.unionByName(origins).unionByName(shared))
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    members, sizes = _article_groups(spark, folder)
+    return members.join(sizes.where("size > 1"), "root").select(F.col("node").alias("article_id"), F.col("root").alias("group_id"))
+
+
+def p6_splits(spark: SparkSession, folder: str) -> DataFrame:
+    """A new assignment of 80/10/10 by articles, stratified by source and language."""
+    members, _ = _article_groups(spark, folder)
+    labels = table(spark, folder, "articles").where("article_id IS NOT NULL").groupBy("article_id").agg(F.min("source").alias("s"), F.min("lang").alias("l"))
+    labels = labels.select(F.col("article_id").alias("node"), F.array_compact(F.array(F.concat(F.lit("source:"), "s"), F.concat(F.lit("lang:"), "l"))).alias("labels"))
+    joined = members.join(labels, "node")
+    placed = grouped_split.stratified(joined, proportions={"train": 0.8, "dev": 0.1, "test": 0.1})
+    return members.join(placed, "root").select(F.col("node").alias("article_id"), F.col("root").alias("group_id"), "split")
+
+
+def _sides(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    latest = F.max(F.struct("ingested_at", "split"))["split"].alias("side")
+    split = table(spark, folder, "articles").groupBy(F.col("article_id").alias("a")).agg(latest).where("side IN ('train', 'dev', 'test')")
+    long = _long(spark, folder).select(F.col("sent_id").alias("id"), "article_id", "source", "tokens").where("id IS NOT NULL")
+    sided = long.join(split, F.col("article_id") == F.col("a")).select("id", "side", "source", "tokens")
+    rows = cut(cross_split.encoded(sided))
+    return sided, rows, cross_split.cross_pairs(rows)
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    _, rows, pairs = _sides(spark, folder)
+    one = rows.where("side = 'train'").select(F.col("cid").alias("cid_train"), F.col("id").alias("i"))
+    two = rows.where("side <> 'train'").select(F.col("cid").alias("cid_eval"), F.col("id").alias("j"))
+    return pairs.join(one, "cid_train").join(two, "cid_eval").select(F.least("i", "j").alias("sent_a"), F.greatest("i", "j").alias("sent_b"))
+
+
+def p7_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Per evaluation split and source: sentences, those with a counterpart in training, and pairs; from counts of classes, not from pairs."""
+    sided, rows, pairs = _sides(spark, folder)
+    train = rows.where("side = 'train'").groupBy(F.col("cid").alias("cid_train")).agg(F.count("*").alias("n"))
+    partners = pairs.join(train, "cid_train").groupBy(F.col("cid_eval").alias("cid")).agg(F.sum("n").alias("partners"))
+    held = rows.where("side <> 'train'").select("id", "side", "cid").join(partners, "cid", "left")
+    source = sided.select(F.col("id"), "source")
+    out = held.join(source, "id").groupBy(F.col("side").alias("split"), "source")
+    return out.agg(F.count("*").alias("sentences"), F.count("partners").alias("overlapping"), F.coalesce(F.sum("partners"), F.lit(0)).alias("pairs"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_ratios": p2_ratios, "p3_found": p3_found, "p3_forms": p3_forms, "p4_found": p4_found, "p4_shares": p4_shares, "p6_found": p6_found, "p6_splits": p6_splits, "p7_found": p7_found, "p7_counts": p7_counts}
 SQL: dict[str, str] = {}
