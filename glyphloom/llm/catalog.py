@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphloom.functions.text import SPACES, half_width
-from glyphloom.llm import copied_spans, cross_split, grouped_split, lookalikes, repetition
+from glyphloom.llm import copied_spans, cross_split, grouped_split, leakage, lookalikes, repetition
 from glyphloom.plans.materialise import cut
 from glyphloom.sources.tables import table
 
@@ -112,5 +112,10 @@ def p7_counts(spark: SparkSession, folder: str) -> DataFrame:
     return out.agg(F.count("*").alias("sentences"), F.count("partners").alias("overlapping"), F.coalesce(F.sum("partners"), F.lit(0)).alias("pairs"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_ratios": p2_ratios, "p3_found": p3_found, "p3_forms": p3_forms, "p4_found": p4_found, "p4_shares": p4_shares, "p6_found": p6_found, "p6_splits": p6_splits, "p7_found": p7_found, "p7_counts": p7_counts}
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    found = leakage.leaked(table(spark, folder, "documents"), table(spark, folder, "benchmark_items"), key="doc_id", text="text", item_key="item_id", item_text="text")
+    return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_ratios": p2_ratios, "p3_found": p3_found, "p3_forms": p3_forms, "p4_found": p4_found, "p4_shares": p4_shares, "p6_found": p6_found, "p6_splits": p6_splits, "p7_found": p7_found, "p7_counts": p7_counts, "p9_found": p9_found}
 SQL: dict[str, str] = {}
