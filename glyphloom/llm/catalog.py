@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphloom.functions.text import SPACES, half_width
-from glyphloom.llm import copied_spans, cross_split, grouped_split, leakage, lookalikes, repetition
+from glyphloom.llm import copied_spans, cross_split, grouped_split, leakage, lookalikes, repetition, sentences
 from glyphloom.plans.materialise import cut
 from glyphloom.sources.tables import table
 
@@ -117,5 +117,11 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_ratios": p2_ratios, "p3_found": p3_found, "p3_forms": p3_forms, "p4_found": p4_found, "p4_shares": p4_shares, "p6_found": p6_found, "p6_splits": p6_splits, "p7_found": p7_found, "p7_counts": p7_counts, "p9_found": p9_found}
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "documents").select(F.lit("documents").alias("tbl"), F.col("doc_id").alias("rec_id"), "text")
+    rows = rows.unionByName(table(spark, folder, "sentences").select(F.lit("sentences").alias("tbl"), F.col("sent_id").alias("rec_id"), "text"))
+    return sentences.sentence_ends(rows, sentences.fitted(rows), keys=["tbl", "rec_id"], text="text")
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_ratios": p2_ratios, "p3_found": p3_found, "p3_forms": p3_forms, "p4_found": p4_found, "p4_shares": p4_shares, "p6_found": p6_found, "p6_splits": p6_splits, "p7_found": p7_found, "p7_counts": p7_counts, "p9_found": p9_found}
 SQL: dict[str, str] = {}
