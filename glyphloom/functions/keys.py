@@ -24,7 +24,7 @@ def running_before(df: DataFrame, part: list[str], order: list[str], weight: Col
     inner = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     b = b.withColumn("_in", F.coalesce(F.sum("_w").over(inner), F.lit(0)))
     totals = b.groupBy(*keys).agg(F.sum("_w").alias("_t"))
-    outer = Window.partitionBy(*part).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    outer = Window.partitionBy(*(part or [F.lit(0)])).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.coalesce(F.sum("_t").over(outer), F.lit(0)).alias("_off"))
     on = F.lit(True)
     for i, k in enumerate(keys):
