@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphloom.functions.text import SPACES, half_width
-from glyphloom.llm import copied_spans, cross_split, grouped_split, leakage, lookalikes, repetition, sentences
+from glyphloom.llm import copied_spans, cross_split, grouped_split, leakage, lookalikes, packing, repetition, sentences
 from glyphloom.plans.materialise import cut
 from glyphloom.sources.tables import table
 
@@ -123,5 +123,11 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return sentences.sentence_ends(rows, sentences.fitted(rows), keys=["tbl", "rec_id"], text="text")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_ratios": p2_ratios, "p3_found": p3_found, "p3_forms": p3_forms, "p4_found": p4_found, "p4_shares": p4_shares, "p6_found": p6_found, "p6_splits": p6_splits, "p7_found": p7_found, "p7_counts": p7_counts, "p9_found": p9_found}
+def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
+    """The container of every document, or of every piece of it, for each capacity."""
+    specs = [(r["spec_id"], r["capacity_tokens"]) for r in table(spark, folder, "container_specs").orderBy("spec_id").collect()]
+    return packing.packed_for_all(table(spark, folder, "documents"), specs, key="doc_id", text="text")
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_ratios": p2_ratios, "p3_found": p3_found, "p3_forms": p3_forms, "p4_found": p4_found, "p4_shares": p4_shares, "p6_found": p6_found, "p6_splits": p6_splits, "p7_found": p7_found, "p7_counts": p7_counts, "p8_containers": p8_containers, "p9_found": p9_found}
 SQL: dict[str, str] = {}
