@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphloom.functions.text import SPACES, half_width
-from glyphloom.llm import copied_spans, cross_split, grouped_split, leakage, lookalikes, packing, repetition, sentences
+from glyphloom.llm import copied_spans, cross_split, grouped_split, leakage, lookalikes, packing, repetition, sentences, subjects
 from glyphloom.plans.materialise import cut
 from glyphloom.sources.tables import table
 
@@ -129,5 +129,15 @@ def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed_for_all(table(spark, folder, "documents"), specs, key="doc_id", text="text")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_ratios": p2_ratios, "p3_found": p3_found, "p3_forms": p3_forms, "p4_found": p4_found, "p4_shares": p4_shares, "p6_found": p6_found, "p6_splits": p6_splits, "p7_found": p7_found, "p7_counts": p7_counts, "p8_containers": p8_containers, "p9_found": p9_found}
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    names = sorted(r["subject"] for r in table(spark, folder, "subjects").select("subject").where("subject IS NOT NULL").distinct().collect())
+    model = sentences.fitted(documents)
+    rows = subjects.training_rows(documents, table(spark, folder, "labels"), names, model, key="doc_id", text="text")
+    lookup = subjects.vocabulary(rows)
+    fitted = subjects.fit(subjects.numbered(rows, lookup), len(names), lookup)
+    return subjects.scored(documents, fitted, lookup, names, model, key="doc_id", text="text").select("doc_id", "subject")
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_ratios": p2_ratios, "p3_found": p3_found, "p3_forms": p3_forms, "p4_found": p4_found, "p4_shares": p4_shares, "p6_found": p6_found, "p6_splits": p6_splits, "p7_found": p7_found, "p7_counts": p7_counts, "p8_containers": p8_containers, "p9_found": p9_found, "p10_found": p10_found}
 SQL: dict[str, str] = {}

@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import unicodedata
-from functools import cache
 
 import numpy as np
 
 from glyphloom.functions.text import INVISIBLE_RANGES, SPACE_RANGES
+from glyphloom.functions.workers import per_process
 from glyphloom.llm.lookalikes import RADICALS
 
 BREAK = 0x10FFFF  # stands between two texts
-LETTER, DIGIT, UPPER, DENSE, INVISIBLE, SPACE = 1, 2, 4, 8, 16, 32
+LETTER, DIGIT, UPPER, DENSE, INVISIBLE, SPACE, VOWEL, ACCENT = 1, 2, 4, 8, 16, 32, 64, 128
 
 
 def _fold(c: str) -> str:
@@ -21,8 +21,7 @@ def _fold(c: str) -> str:
     return (base[:1] or c).lower()[:1] or c
 
 
-@cache
-def tables() -> tuple[np.ndarray, np.ndarray]:
+def _tables() -> tuple[np.ndarray, np.ndarray]:
     """For each code point of the first plane: its folded letter (case, width, accents aside) and its kinds."""
     fold, kind = np.arange(0x10000, dtype=np.uint32), np.zeros(0x10000, dtype=np.uint8)
     for i in range(0x10000):
@@ -35,8 +34,9 @@ def tables() -> tuple[np.ndarray, np.ndarray]:
             kind[i] = (DIGIT if category[0] == "N" else LETTER) | (UPPER if category in ("Lu", "Lt") else 0)
             if 0x2E80 <= i < 0xA000 or 0xF900 <= i < 0xFB00 or 0xFF66 <= i < 0xFFA0 or 0x0E00 <= i < 0x0E80:
                 kind[i] |= DENSE
-        elif category == "No":
-            kind[i] = DIGIT
+        elif category in ("Mn", "Mc"):
+            # Vowel signs belong to words; accents are left out of comparisons.
+            kind[i] = (VOWEL | (DENSE if 0x0E00 <= i < 0x0E80 else 0)) if 0x0900 <= i < 0x1000 or 0x1000 <= i < 0x10A0 or 0x1780 <= i < 0x17E0 else ACCENT
     for ranges, flag in ((INVISIBLE_RANGES, INVISIBLE), (SPACE_RANGES, SPACE)):
         for a, b in ranges:
             kind[a : b + 1] = flag
@@ -52,7 +52,7 @@ def joined(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def folded(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    fold, kind = tables()
+    fold, kind = per_process("code_points", _tables)
     low = np.minimum(data, 0xFFFF)
     beyond = data > 0xFFFF
     f, k = fold[low], kind[low]

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -13,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphloom.functions.keys import running_before
+from glyphloom.functions.workers import per_process
 from glyphloom.plans.materialise import cut
 
 #: Where the public tokenizer's vocabulary is; a parameter of every function that counts tokens.
@@ -21,7 +21,6 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-@cache
 def _encoding(path: str):
     import tiktoken
 
@@ -34,7 +33,7 @@ def token_counts(df: DataFrame, *, key: str, text: str, tokenizer: str = TOKENIZ
     """``key, n_tokens``; NULL and empty texts have none. Special tokens in a text are ordinary text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = _encoding(tokenizer)
+        e = per_process("tokenizer_" + tokenizer, lambda: _encoding(tokenizer))
         for batch in batches:
             n = [len(e.encode_ordinary(t)) if t else 0 for t in batch.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(n, pa.int32())], names=[key, "n_tokens"])
