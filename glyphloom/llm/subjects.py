@@ -18,8 +18,8 @@ TRAINING_DOCUMENTS = 6000
 #: Hash buckets of words and subwords; those kept, which at least so many training sentences have; the width of their embeddings.
 BUCKETS, VOCABULARY, LEAST_SEEN, WIDTH = 1 << 20, 16_384, 6, 10
 #: Synchronised gradient steps with document labels on all sentences, and with labels only on sentences that show them.
-FIRST_STEPS, SECOND_STEPS = 30, 15
-RATE, DECAY = 0.1, 1e-5
+FIRST_STEPS, SECOND_STEPS = 24, 10
+RATE, DECAY = 0.12, 1e-5
 #: Scale of an averaged embedding: a sentence has a few telling words among dozens.
 GAIN = 8.0
 #: Probability from which a sentence of a labelled document keeps the label in the second steps.
