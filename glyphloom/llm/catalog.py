@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from glyphloom.functions.text import SPACES, half_width
 from glyphloom.llm import copied_spans, cross_split, grouped_split, leakage, lookalikes, packing, repetition, sentences, subjects
+from glyphloom.operators import components
 from glyphloom.plans.materialise import cut
 from glyphloom.sources.tables import table
 
@@ -67,7 +68,7 @@ def _article_groups(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFr
     origins = articles.where("origin_id IS NOT NULL").select(node, F.concat(F.lit("origin:"), "origin_id").alias("key"))
     text = F.sha2(F.concat_ws("\u0001", F.transform("tokens", lambda t: F.concat(F.lit("="), t))), 256)
     shared = table(spark, folder, "sentences").where(F.size("tokens") >= 10).select(node, F.concat(F.lit("tokens:"), text).alias("key"))
-    return grouped_split.groups(articles.select(node), authors.unionByName(origins).unionByName(shared))
+    return components.groups(articles.select(node), authors.unionByName(origins).unionByName(shared))
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
