@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphloom.functions.text import SPACES, half_width
+from glyphloom.functions.text import FULL_WIDTH, HALF_WIDTH, INVISIBLE_RANGES, SPACE_RANGES, SPACES, half_width
 from glyphloom.llm import copied_spans, cross_split, grouped_split, leakage, lookalikes, packing, repetition, sentences, subjects
 from glyphloom.operators import components
 from glyphloom.plans.materialise import cut
@@ -141,4 +141,39 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_ratios": p2_ratios, "p3_found": p3_found, "p3_forms": p3_forms, "p4_found": p4_found, "p4_shares": p4_shares, "p6_found": p6_found, "p6_splits": p6_splits, "p7_found": p7_found, "p7_counts": p7_counts, "p8_containers": p8_containers, "p9_found": p9_found, "p10_found": p10_found}
-SQL: dict[str, str] = {}
+
+
+def _class(ranges: list[tuple[int, int]]) -> str:
+    return "[" + "".join(f"\\x{{{a:04x}}}-\\x{{{b:04x}}}" for a, b in ranges) + "]"
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_FOLD = lambda c: f"lower(translate({c}, {_quoted(FULL_WIDTH)}, {_quoted(HALF_WIDTH)}))"
+_COVERED = lambda grams, n: f"""(SELECT rec_id, sum(least({n}, coalesce(nx - i, {n}))) AS cov FROM (SELECT *, lead(i) OVER (PARTITION BY rec_id ORDER BY i) AS nx FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rec_id, g ORDER BY i) AS rn FROM {grams}) WHERE rn > 1)) GROUP BY rec_id)"""
+_LOOK = f"nfc_normalize(trim(regexp_replace(translate(regexp_replace(text, '{_class(INVISIBLE_RANGES)}', '', 'g'), {_quoted(''.join(lookalikes.MAPPED))}, {_quoted(''.join(lookalikes.MAPPED.values()))}), '{_class(SPACE_RANGES)}', ' ', 'g')))"
+SQL: dict[str, str] = {
+    "p2_found": f"""WITH d AS (SELECT doc_id AS rec_id, regexp_replace({_FOLD('text')}, '[^\\p{{L}}\\p{{N}}]', '', 'g') AS s FROM documents),
+dg AS (SELECT rec_id, i, substr(s, i, 20) AS g FROM (SELECT rec_id, s, unnest(range(1, length(s) - 18)) AS i FROM d WHERE length(s) >= 20)),
+t AS (SELECT gen_id AS rec_id, list_transform(list_filter(tokens, lambda x: regexp_matches(x, '[\\p{{L}}\\p{{N}}]')), lambda x: {_FOLD(f"regexp_replace(x, '{_class(INVISIBLE_RANGES)}', '', 'g')")}) AS s FROM (SELECT *, row_number() OVER (PARTITION BY gen_id ORDER BY finished_at DESC) AS r FROM generations) WHERE r = 1),
+tg AS (SELECT rec_id, i, array_to_string(s[i : i + 2], chr(31)) AS g FROM (SELECT rec_id, s, unnest(range(1, len(s) - 1)) AS i FROM t WHERE len(s) >= 3))
+SELECT 'documents' AS tbl, rec_id FROM d JOIN {_COVERED('dg', 20)} USING (rec_id) WHERE cov / length(s) >= 0.4
+UNION ALL SELECT 'generations', rec_id FROM t JOIN {_COVERED('tg', 3)} USING (rec_id) WHERE cov / len(s) >= 0.4""",
+    "p3_found": f"WITH f AS (SELECT sent_id, text, {_LOOK} AS form FROM sentences WHERE len(tokens) >= 10) SELECT a.sent_id AS sent_a, b.sent_id AS sent_b FROM f a JOIN f b ON a.form = b.form AND a.text <> b.text AND a.sent_id < b.sent_id",
+    "p3_forms": f"WITH f AS (SELECT sent_id, text, {_LOOK} AS form FROM sentences) SELECT sent_id, min(text) OVER (PARTITION BY form) AS canonical FROM f",
+    "p4_found": """WITH t AS (SELECT leak_id, text AS s FROM leakage UNION ALL SELECT leak_id, source.train_sentence FROM leakage),
+w AS (SELECT DISTINCT leak_id, substr(s, i + 1, 30) AS g FROM (SELECT leak_id, s, unnest(range(0, length(s) - 29)) AS i FROM t WHERE length(s) >= 30)),
+o AS (SELECT g, min(leak_id) AS lo, max(leak_id) AS hi FROM w GROUP BY g),
+h AS (SELECT leak_id, i FROM (SELECT leak_id, text, unnest(range(0, length(text) - 29)) AS i FROM leakage WHERE length(text) >= 30) p JOIN o ON o.g = substr(p.text, p.i + 1, 30) WHERE lo <> leak_id OR hi <> leak_id),
+b AS (SELECT *, coalesce(i - lag(i) OVER (PARTITION BY leak_id ORDER BY i) > 30, true)::INT AS fresh FROM h),
+n AS (SELECT *, sum(fresh) OVER (PARTITION BY leak_id ORDER BY i) AS part FROM b)
+SELECT leak_id, min(i)::INT AS start_pos, (max(i) + 30)::INT AS end_pos FROM n GROUP BY leak_id, part""",
+    "p6_found": f"""WITH RECURSIVE k AS (SELECT article_id, 'a' || trim(regexp_replace({_FOLD('author_id')}, '^{_class(SPACE_RANGES)}+|{_class(SPACE_RANGES)}+$', '', 'g')) AS key FROM articles WHERE author_id IS NOT NULL
+UNION SELECT article_id, 'o' || origin_id FROM articles WHERE origin_id IS NOT NULL
+UNION SELECT article_id, 't' || array_to_string(tokens, chr(31)) FROM sentences WHERE len(tokens) >= 10),
+e AS (SELECT DISTINCT a.article_id AS a, b.article_id AS b FROM k a JOIN k b USING (key) WHERE key NOT IN ('adesk', 'a')),
+r(a, b) AS (SELECT DISTINCT article_id, article_id FROM articles UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT a AS article_id, min(b) AS group_id FROM r GROUP BY a HAVING count(*) > 1""",
+}
