@@ -277,9 +277,7 @@ def _runs(spark: SparkSession, settings: list[tuple[str, float, int, float]], se
 
 def _decoded(spark: SparkSession, folder: str, settings: list[tuple[str, float, int, float]], seeds: list[int], order: int = 3, copying: bool = False) -> DataFrame:
     train = cut(corpus(spark, folder, "train"))
-    known = None
-    if copying:
-        known = {hash(tuple(r["t"][i : i + n])) for r in train.select(F.col("tokens").alias("t")).limit(20_000).collect() for n in range(2, 9) for i in range(len(r["t"]) - n + 1)}
+    known = decoding.copy_index(train) if copying else None
     g = decoding.generated(_runs(spark, settings, seeds), lm.train(train, order), known=known)
     return g.select("policy", "value", "top_k", "top_p", "seed", F.array_join("tokens", " ").alias("words"), F.size("tokens").alias("length"), "hit_eos", F.round(F.log10(F.aggregate("probabilities", F.lit(1.0), lambda a, x: a * x)), 6).alias("log10_p"))
 

@@ -11,6 +11,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,7 @@ from glyphloom.operators import ngrams as ng
 from glyphloom.operators.lm import Model
 
 MODEL_ENTRIES = 3_000_000
+PROBES = 3
 
 
 class Lookup:
@@ -86,17 +89,60 @@ def temperature_for(p: np.ndarray, bits: float, low: float = 0.05, high: float =
     return (low + high) / 2
 
 
-def copy_run(known: set, tokens: list[str], longest: int = 8) -> int:
+class CopyIndex:
+    """Which runs of 2..longest words training has, as a bit table of fixed size; a run that training lacks is taken for one with probability of about 2^-PROBES at a half-full table."""
+
+    def __init__(self, bits: bytes, size: int, longest: int):
+        self.bits, self.size, self.longest = bits, size, longest
+
+    def has(self, run: list[str]) -> bool:
+        return all(self.bits[x >> 3] >> (x & 7) & 1 for x in _places(ng.SEP.join(run), self.size))
+
+
+def _places(run: str, size: int) -> list[int]:
+    h = xxhash.xxh3_128_intdigest(run.encode())
+    return [(h >> 32 * i & 0xFFFFFFFF) % size for i in range(PROBES)]
+
+
+def copy_index(train: DataFrame, *, longest: int = 8, size: int = 1 << 25) -> CopyIndex:
+    """The index over all training sentences: every task sets bits, the tables (size / 8 bytes each) are joined by OR in the executors."""
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(size, dtype=bool)
+        for batch in batches:
+            for t in batch.column("tokens").to_pylist():
+                t = t or []
+                for n in range(2, longest + 1):
+                    for i in range(len(t) - n + 1):
+                        table[_places(ng.SEP.join(t[i : i + n]), size)] = True
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([np.packbits(table, bitorder="little").tobytes()], pa.binary())], names=["part", "bits"])
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(size // 8, dtype=np.uint8)
+        for batch in batches:
+            for b in batch.column("bits").to_pylist():
+                table |= np.frombuffer(b, dtype=np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([table.tobytes()], pa.binary())], names=["part", "bits"])
+
+    schema = "part int, bits binary"
+    one = train.select("tokens").mapInArrow(bits, schema).repartition(8).mapInArrow(merged, schema)
+    out = np.zeros(size // 8, dtype=np.uint8)
+    for r in one.collect():
+        out |= np.frombuffer(r["bits"], dtype=np.uint8)
+    return CopyIndex(out.tobytes(), size, longest)
+
+
+def copy_run(known: CopyIndex, tokens: list[str]) -> int:
     """How many words at the end of ``tokens`` are a run of two or more that training has."""
     run = 0
-    for n in range(2, min(longest, len(tokens)) + 1):
-        if hash(tuple(tokens[-n:])) not in known:
+    for n in range(2, min(known.longest, len(tokens)) + 1):
+        if not known.has(tokens[-n:]):
             break
         run = n
     return run
 
 
-def decode(lookup: Lookup, prompt: list[str], policy: str, value: float, top_k: int, top_p: float, seed: int, longest: int, known: set | None = None) -> tuple[list[str], bool, list[float]]:
+def decode(lookup: Lookup, prompt: list[str], policy: str, value: float, top_k: int, top_p: float, seed: int, longest: int, known: CopyIndex | None = None) -> tuple[list[str], bool, list[float]]:
     """Generated words, whether they ended by themselves, and the probabilities the model gave them.
 
     Policies: greedy; fixed (value: temperature); entropy (value: bits to hold); anticopy (0.7, or 1.3 once the last ``value`` words copy training).
@@ -112,7 +158,7 @@ def decode(lookup: Lookup, prompt: list[str], policy: str, value: float, top_k:
             if policy == "entropy":
                 t = temperature_for(p / p.sum(), value)
             elif policy == "anticopy":
-                t = 1.3 if copy_run(known or set(), (prompt + out)[-(len(out) + 1) :]) >= value else 0.7
+                t = 1.3 if copy_run(known, (prompt + out)[-(len(out) + 1) :]) >= value else 0.7
             order, q = transform(p, t, top_k, top_p)
             i = int(order[int(rng.choice(len(order), p=q))])
         steps.append(float(p[i]))
@@ -147,13 +193,13 @@ def beam(lookup: Lookup, prompt: list[str], width: int, longest: int) -> list[tu
     return done + [(s, t, False) for s, t in live]
 
 
-def generated(runs: DataFrame, model: Model, *, longest: int = 40, known: set | None = None) -> DataFrame:
+def generated(runs: DataFrame, model: Model, *, longest: int = 40, known: CopyIndex | None = None) -> DataFrame:
     """``runs`` (prompt, policy, value, top_k, top_p, seed and keys) with ``tokens, hit_eos, probabilities``; policy beam takes value as width and top_p as length penalty."""
-    sent = runs.sparkSession.sparkContext.broadcast((gathered(model), known))
+    sent = runs.sparkSession.sparkContext.broadcast((gathered(model), vars(known) if known else None))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state, known = sent.value
-        lookup = Lookup(*state)
+        lookup, known = Lookup(*state), CopyIndex(**known) if known else None
         for batch in batches:
             rows = []
             for r in batch.itertuples():
