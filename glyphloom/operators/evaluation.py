@@ -67,8 +67,8 @@ def bootstrap(groups: DataFrame, key: str, a: str, b: str, events: str, *, repet
         total += term
         steps = steps + (u > total).cast("int")
         term /= k
-    reps = groups.select(key, a, b, events, F.explode(F.sequence(F.lit(1), F.lit(repetitions))).alias("rep")).withColumn("n", steps)
-    per = reps.groupBy("rep").agg((F.pow(F.lit(10.0), F.sum(F.col("n") * (F.col(b) - F.col(a))) / F.nullif(F.sum(F.col("n") * F.col(events)), F.lit(0))) - 1).alias("x"))
+    reps = groups.select(key, a, b, events, F.explode(F.sequence(F.lit(1), F.lit(repetitions))).alias("rep")).withColumn("_times", steps)
+    per = reps.groupBy("rep").agg((F.pow(F.lit(10.0), F.sum(F.col("_times") * (F.col(b) - F.col(a))) / F.nullif(F.sum(F.col("_times") * F.col(events)), F.lit(0))) - 1).alias("x"))
     point = groups.agg((F.pow(F.lit(10.0), (F.sum(b) - F.sum(a)) / F.sum(events)) - 1).alias("change"), F.count("*").alias("groups"))
     return point.join(per.agg(F.percentile("x", F.lit(0.025)).alias("low"), F.percentile("x", F.lit(0.975)).alias("high")))
 
