@@ -187,3 +187,9 @@ SQL = {
     "long_sentence_leak": f"WITH {CORPUS_SQL} SELECT sent_id FROM sen WHERE split = 'test' AND len(tokens) >= 10 AND tokens IN (SELECT tokens FROM sen WHERE split = 'train')",
     "tag_ambiguity": "WITH t AS (SELECT unnest(tokens) AS w, unnest(tags) AS tag FROM sentences WHERE tags IS NOT NULL), c AS (SELECT w, tag, count(*) AS c FROM t GROUP BY w, tag), r AS (SELECT *, row_number() OVER (PARTITION BY w ORDER BY c DESC, tag DESC) AS r FROM c) SELECT w, max(CASE WHEN r = 1 THEN tag END) AS top_tag, count(*) AS tags, sum(c)::BIGINT AS c FROM r GROUP BY w",
 }
+SQL["format_profile"] = f"""WITH {_P.replace("SELECT DISTINCT para_id, value FROM raw_first WHERE para_id IS NOT NULL AND", "SELECT row_number() OVER () AS para_id, value FROM raw_first WHERE")}
+SELECT (SELECT count(*) FROM raw_first) AS lines, (SELECT count(*) FROM raw_first WHERE trim(coalesce(value, '')) = '') AS blank_lines,
+(SELECT count(DISTINCT trim(value)[1:8]) FROM pp) AS dates, (SELECT count(DISTINCT trim(value)[1:15]) FROM pp) AS articles, count(*) AS tokens, (SELECT count(*) FROM tk3 WHERE word = '') AS empty_words,
+count(*) FILTER (tag IS NULL) AS untagged, count(*) FILTER (starts_entity) AS entity_starts, count(*) FILTER (entity_type IS NOT NULL) AS entity_ends,
+count(*) FILTER (regexp_matches(word, '[0-9A-Za-z]')) AS half_width, count(*) FILTER (regexp_matches(word, '[０-９Ａ-Ｚａ-ｚ]')) AS full_width, count(*) FILTER (word IN ('。', '！', '？')) AS end_marks,
+(SELECT max(n) FROM (SELECT count(*) AS n FROM tok GROUP BY para_id)) AS longest_line FROM tok"""

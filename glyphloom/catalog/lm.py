@@ -132,7 +132,7 @@ SQL["continuation_diversity"] = _C3 + """, b AS (SELECT w, hist, c, row_number()
 SELECT w, sum(c)::BIGINT AS count, count(*) AS left_types, max(CASE WHEN r = 1 THEN hist END) AS top_left, round(count(*) / sum(c), 8) AS ratio FROM b WHERE w <> '</s>' GROUP BY w HAVING sum(c) >= 20"""
 
 
-def _events3(spark: SparkSession, folder: str, split: str = "test") -> DataFrame:
+def event_rows(spark: SparkSession, folder: str, split: str = "test") -> DataFrame:
     train, test = _train(spark, folder), corpus(spark, folder, split)
     words = ng.vocabulary(train)
     e = lm.events_of(test, words.unionByName(spark.createDataFrame([(ng.EOS, 0)], "w string, c bigint")), 3, ["sent_id"])
@@ -141,13 +141,13 @@ def _events3(spark: SparkSession, folder: str, split: str = "test") -> DataFrame
 
 def smooth_events(spark: SparkSession, folder: str) -> DataFrame:
     """The probability of every test event under five smoothers."""
-    e = _events3(spark, folder)
+    e = event_rows(spark, folder)
     p = {"p_mle": smoothing.p_mle(), "p_addk": smoothing.p_addk(0.01), "p_jm": smoothing.p_jm(0.5, 0.3, 0.19, 0.01), "p_wb": smoothing.p_witten_bell(), "p_kn": smoothing.p_kneser_ney()}
     return e.select("sent_id", "pos", *[F.round(x, 10).alias(n) for n, x in p.items()])
 
 
 def ppl_by_smoother(spark: SparkSession, folder: str) -> DataFrame:
-    e = cut(_events3(spark, folder))
+    e = cut(event_rows(spark, folder))
     p = {"mle": smoothing.p_mle(), "add_1": smoothing.p_addk(1.0), "add_k": smoothing.p_addk(0.01), "jm": smoothing.p_jm(0.5, 0.3, 0.19, 0.01), "wb": smoothing.p_witten_bell(), "kn": smoothing.p_kneser_ney()}
     parts = F.explode(F.array(*[F.struct(F.lit(n).alias("smoother"), x.alias("p")) for n, x in p.items()])).alias("_s")
     return e.select(parts).select("_s.*").groupBy("smoother").agg(*smoothing.perplexity(F.col("p")))
@@ -155,14 +155,14 @@ def ppl_by_smoother(spark: SparkSession, folder: str) -> DataFrame:
 
 def addk_grid(spark: SparkSession, folder: str) -> DataFrame:
     """Dev perplexity of add-k over a grid of k, each row of which joins every event: the grid is a stated handful."""
-    e = _events3(spark, folder, "dev")
+    e = event_rows(spark, folder, "dev")
     grid = F.explode(F.array(*[F.lit(k) for k in (1.0, 0.5, 0.1, 0.05, 0.01, 0.005, 0.001)])).alias("k_add")
     return e.select("*", grid).select("k_add", smoothing.p_addk(F.col("k_add")).alias("p")).groupBy("k_add").agg(*smoothing.perplexity(F.col("p"))).select("k_add", "ppl")
 
 
 def jm_grid(spark: SparkSession, folder: str) -> DataFrame:
     """Dev perplexity over interpolation weights in steps of a tenth (weight of the uniform part 0.01)."""
-    e = _events3(spark, folder, "dev")
+    e = event_rows(spark, folder, "dev")
     weights = [(a / 10, b / 10, round(0.99 - a / 10 - b / 10, 2)) for a in range(0, 10) for b in range(0, 10) if 0.99 - a / 10 - b / 10 >= 0.04]
     grid = F.explode(F.array(*[F.struct(F.lit(a).alias("l3"), F.lit(b).alias("l2"), F.lit(c).alias("l1")) for a, b, c in weights])).alias("l")
     p = smoothing.p_jm(F.col("l.l3"), F.col("l.l2"), F.col("l.l1"), 0.01)
@@ -171,7 +171,7 @@ def jm_grid(spark: SparkSession, folder: str) -> DataFrame:
 
 def zero_prob_events(spark: SparkSession, folder: str) -> DataFrame:
     """Test trigrams with a frequent history (20 and more) and a seen bigram that never occur in training, with all smoothers."""
-    e = _events3(spark, folder).where("context = 3 AND d3 >= 20 AND c2 > 0 AND c3 = 0")
+    e = event_rows(spark, folder).where("context = 3 AND d3 >= 20 AND c2 > 0 AND c3 = 0")
     return e.select("sent_id", "pos", "w", F.col("d3").alias("history"), F.col("c2").alias("bigram"), F.round(smoothing.p_witten_bell(), 10).alias("p_wb"), F.round(smoothing.p_kneser_ney(), 10).alias("p_kn"))
 
 
@@ -249,6 +249,10 @@ def pruning_impact(spark: SparkSession, folder: str) -> DataFrame:
 
 SQL |= {
     "lm_entries": f"WITH {model_sql(3)} SELECT k::INT AS k, replace(hist, chr(31), ' ') AS hist, w, round(p, 10) AS p FROM en",
+    "match_bucket_means": "SELECT f.match::INT AS bucket, count(*) AS events, " + ", ".join(f"round(avg(log10(m{k}.p)), 6) AS mean_log10_{k}" for k in (2, 3, 5)) + f" FROM (WITH {model_sql(5)} SELECT sent_id, pos, match FROM sc WHERE NOT oov) f " + " ".join(f"JOIN (WITH {model_sql(k)} SELECT sent_id, pos, p FROM sc) m{k} USING (sent_id, pos)" for k in (2, 3, 5)) + " GROUP BY f.match",
+    "pruning_impact": f"""SELECT CASE WHEN oov THEN 'oov' WHEN NOT long THEN 'short' WHEN c = 0 THEN '0' WHEN c = 1 THEN '1' WHEN c <= 4 THEN '2-4' ELSE '5+' END AS bucket, count(*) AS events, round(pow(10.0, -avg(log10(a.p))), 4) AS ppl_full, round(pow(10.0, -avg(log10(b.p))), 4) AS ppl_pruned, count(*) FILTER (abs(log10(a.p) - log10(b.p)) > 1e-6) AS changed
+FROM (WITH {model_sql(3)} SELECT sc.sent_id, sc.pos, sc.oov, sc.p, e.sent_id IS NOT NULL AS long, coalesce(e.c, 0) AS c FROM sc LEFT JOIN (SELECT ev.sent_id, ev.pos, c.c FROM ev LEFT JOIN c ON c.k = 3 AND c.hist = ev.hist AND c.w = ev.w WHERE ev.k = 3) e ON e.sent_id = sc.sent_id AND e.pos = sc.pos) a
+JOIN (WITH {model_sql(3, prune=[0, 0, 1])} SELECT sent_id, pos, p FROM sc) b USING (sent_id, pos) GROUP BY 1""",
     "matched_orders": f"WITH {model_sql(5)} SELECT match::INT AS match, count(*) AS events FROM sc WHERE NOT oov GROUP BY match",
 }
 

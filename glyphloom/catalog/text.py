@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphloom.catalog import Query
-from glyphloom.catalog.lm import corpus, counts_sql, model_sql
+from glyphloom.catalog.lm import corpus, counts_sql, event_rows, model_sql
 from glyphloom.functions.keys import seeded
-from glyphloom.operators import backoff, decoding, document_cache, evaluation, lm, overlap, sampling
+from glyphloom.operators import backoff, decoding, document_cache, evaluation, lm, overlap, sampling, smoothing, tuning
 from glyphloom.operators import ngrams as ng
 from glyphloom.plans.materialise import cut
 from glyphloom.sources.tables import table
@@ -34,6 +34,22 @@ def sb_alpha_grid(spark: SparkSession, folder: str) -> DataFrame:
     return p.select("*", grid).groupBy("alpha").agg(F.count("*").alias("events"), F.round(F.pow(F.lit(10.0), -F.avg(F.log10(backoff.normalised(F.col("alpha"))))), 4).alias("ppl"))
 
 
+def sb_alpha_tuned(spark: SparkSession, folder: str) -> DataFrame:
+    """The best common factor of a grid that grows upwards, then two rounds of coordinate descent over a factor per order; dev perplexities."""
+    p = cut(_profiles(spark, folder, "dev").where("value > 0"))
+    one, found = tuning.growing_grid(p, [0.1, 0.2, 0.4, 0.8], backoff.normalised, factor=1.5, bound=10.0)
+    per, ppl = tuning.coordinate_descent(p, [one, one], [0.5, 0.75, 1.25, 1.5, 2.0], backoff.normalised_by_order)
+    return spark.createDataFrame([("common", [one, one], found[one]), ("by_order", per, ppl)], "kind string, alphas array<double>, ppl double").withColumn("ppl", F.round("ppl", 4))
+
+
+def addk_tuned(spark: SparkSession, folder: str) -> DataFrame:
+    """Add-k with k from a grid that goes on downwards while its least value is best: dev and test perplexity."""
+    dev, test = cut(event_rows(spark, folder, "dev")), event_rows(spark, folder, "test")
+    k, found = tuning.growing_grid(dev, [1.0, 0.1, 0.01], smoothing.p_addk, factor=0.5, bound=1e-6)
+    own = tuning.perplexities(test, [k], smoothing.p_addk)[0]
+    return spark.createDataFrame([(k, found[k], own)], "k_add double, dev_ppl double, test_ppl double")
+
+
 def sb_sentences(spark: SparkSession, folder: str) -> DataFrame:
     """Unnormalised log10 score of whole test sentences; minus infinity with an unknown word."""
     p = _profiles(spark, folder, "test").withColumn("s", backoff.score(0.4))
@@ -245,10 +261,10 @@ def repetition_census(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def pairwise_jaccard(spark: SparkSession, folder: str) -> DataFrame:
-    """Mean likeness of the word sets of generations from one prompt, over the texts of a prompt (a few seeds each)."""
+    """Mean likeness of the word sets of generations from one prompt."""
     g = table(spark, folder, "generations").groupBy("gen_id").agg(F.max_by(F.struct("prompt", "tokens"), "finished_at").alias("r"))
-    g = g.select("gen_id", F.array_join("r.prompt", " ").alias("prompt"), F.col("r.tokens").alias("tokens")).where(F.size("tokens") > 0)
-    return overlap.jaccard(g, "gen_id", "prompt").groupBy("prompt").agg(F.count("*").alias("pairs"), F.round(F.avg("jaccard"), 8).alias("mean_jaccard"))
+    g = g.select("gen_id", F.array_join("r.prompt", " ").alias("prompt"), F.col("r.tokens").alias("tokens"))
+    return overlap.mean_jaccard(g, "gen_id", "prompt").withColumn("mean_jaccard", F.round("mean_jaccard", 8))
 
 
 _G = """gl AS (SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY gen_id ORDER BY finished_at DESC) AS r FROM generations) WHERE r = 1),
@@ -317,4 +333,4 @@ def topk_topp_transform(spark: SparkSession, folder: str) -> DataFrame:
     return decoding.reshaped(cut(d), 0.7, 50, 0.9).withColumn("q", F.round("q", 8))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (sb_scores, sb_alpha_grid, sb_sentences, pair_discrimination, rank_metrics, cache_plain, cache_decay, cache_grid, cache_parts, bootstrap_ci, learning_curve, growth_laws, overlap_5gram, longest_copied_span, copy_histogram, longest_copies, copies_by_setting, source_sentence, repetition_stats, repetition_census, pairwise_jaccard, greedy_decode, sample_decode, beam_decode, adaptive_entropy, anticopy_decode, temperature_entropy, topk_topp_transform)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (sb_scores, sb_alpha_grid, sb_alpha_tuned, addk_tuned, sb_sentences, pair_discrimination, rank_metrics, cache_plain, cache_decay, cache_grid, cache_parts, bootstrap_ci, learning_curve, growth_laws, overlap_5gram, longest_copied_span, copy_histogram, longest_copies, copies_by_setting, source_sentence, repetition_stats, repetition_census, pairwise_jaccard, greedy_decode, sample_decode, beam_decode, adaptive_entropy, anticopy_decode, temperature_entropy, topk_topp_transform)}

@@ -61,3 +61,15 @@ def normalised(alpha: Column | float) -> Column:
     a = F.lit(float(alpha)) if isinstance(alpha, int | float) else alpha
     z = F.aggregate(F.transform("mass", lambda m, i: m * F.pow(a, F.col("n") - i - 1)), F.lit(0.0), lambda s, x: s + x)
     return score(a) / z
+
+
+def _factor(alphas: list[float], level: Column, top: Column) -> Column:
+    """The product of the factors of orders above ``level`` up to ``top``; alphas[0] belongs to order 2."""
+    a = F.array(*[F.lit(float(x)) for x in alphas])
+    return F.aggregate(F.filter(F.sequence(F.lit(2), F.lit(len(alphas) + 1)), lambda k: (k > level) & (k <= top)), F.lit(1.0), lambda s, k: s * F.element_at(a, k - 1))
+
+
+def normalised_by_order(alphas: list[float]) -> Column:
+    """Like ``normalised`` with a factor for each order from 2 on."""
+    z = F.aggregate(F.transform("mass", lambda m, i: m * _factor(alphas, i + 1, F.col("n"))), F.lit(0.0), lambda s, x: s + x)
+    return F.col("value") * _factor(alphas, F.col("level"), F.col("n")) / z

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from glyphloom.operators import ngrams as ng
 
+#: Texts of a group up to which all pairs are made, and hashes that estimate the mean beyond.
+PAIRED, MIN_HASHES = 100, 128
+
 
 def _spans(df: DataFrame, keep: list[str], tokens: str, longest: int, shortest: int = 1) -> DataFrame:
     """``keep, i, n, h``: every run of n words from place i, as a hash (two of 64 bits: equal hashes are equal runs)."""
@@ -81,8 +84,21 @@ def repetition(tokens: Column) -> dict[str, Column]:
     return {"length": n, "type_token_ratio": F.when(n > 0, F.size(F.array_distinct(tokens)) / n).otherwise(F.lit(0.0)), "repeated_2gram_rate": rate(2), "repeated_3gram_rate": rate(3)}
 
 
-def jaccard(texts: DataFrame, key: str, within: str, tokens: str = "tokens") -> DataFrame:
-    """``within, a, b, jaccard`` of the word sets of texts that were made under the same setting; groups are stated small sets of seeds."""
-    a, b = (texts.select(within, F.col(key).alias(k), F.array_distinct(tokens).alias(f"_{k}")) for k in ("a", "b"))
-    both = a.join(b, within).where("a < b")
-    return both.select(within, "a", "b", (F.size(F.array_intersect("_a", "_b")) / F.greatest(F.size(F.array_union("_a", "_b")), F.lit(1))).alias("jaccard"))
+def mean_jaccard(texts: DataFrame, key: str, within: str, tokens: str = "tokens") -> DataFrame:
+    """``within, pairs, mean_jaccard``: mean likeness of the word sets of all pairs of texts in a group.
+
+    Groups of up to PAIRED texts are paired. In larger ones two texts' least hashes are equal with the probability of
+    their likeness, so the mean over all pairs is read off how often each least hash occurs: MIN_HASHES numbers a text, no pairs.
+    """
+    t = texts.select(within, F.col(key).alias("_id"), F.array_distinct(tokens).alias("_s")).where(F.size("_s") > 0)
+    sizes = t.groupBy(within).agg(F.count("*").alias("_n")).where("_n > 1")
+    sized = t.join(sizes, within)
+    few = sized.where(F.col("_n") <= PAIRED)
+    a, b = (few.select(within, F.col("_id").alias(f"_i{k}"), F.col("_s").alias(f"_s{k}")) for k in "ab")
+    likeness = F.size(F.array_intersect("_sa", "_sb")) / F.size(F.array_union("_sa", "_sb"))
+    exact = a.join(b, within).where("_ia < _ib").groupBy(within).agg(F.count("*").alias("pairs"), F.avg(likeness).alias("mean_jaccard"))
+    hashes = F.explode(F.transform(F.sequence(F.lit(1), F.lit(MIN_HASHES)), lambda i: F.struct(i.alias("h"), F.array_min(F.transform("_s", lambda w: F.xxhash64(i, w))).alias("v"))))
+    many = sized.where(F.col("_n") > PAIRED).select(within, "_n", hashes.alias("x")).groupBy(within, "_n", "x.h", "x.v").agg(F.count("*").alias("c"))
+    pairs = F.col("_n") * (F.col("_n") - 1) / 2
+    rough = many.groupBy(within, "_n").agg((F.sum(F.col("c") * (F.col("c") - 1) / 2) / MIN_HASHES).alias("_e"))
+    return exact.unionByName(rough.select(within, pairs.cast("bigint").alias("pairs"), (F.col("_e") / pairs).alias("mean_jaccard")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,16 +13,17 @@ from glyphloom.functions.keys import seeded
 def coverage(vocabulary: DataFrame, share: float) -> DataFrame:
     """The most frequent words up to the one that reaches ``share`` of all tokens: ``w, c``. Ties in the order of the words.
 
-    The running sum is taken over counts (few distinct values), not over words; only the words of the count at the edge are numbered.
+    The running sum is taken over distinct counts, not over words; of the words with the count at the edge the first ones are taken.
     """
     total = vocabulary.agg(F.sum("c")).first()[0] or 0
-    levels = vocabulary.groupBy("c").agg(F.count("*").alias("n"), F.sum("c").alias("mass"))
-    w = Window.orderBy(F.desc("c")).rowsBetween(Window.unboundedPreceding, -1)
-    levels = levels.withColumn("before", F.coalesce(F.sum("mass").over(w), F.lit(0)))
-    edge = levels.where(F.col("before") < share * total)
-    words = vocabulary.join(edge.select("c", "before"), "c")
-    ranked = words.withColumn("_i", F.row_number().over(Window.partitionBy("c").orderBy("w")) - 1)
-    return ranked.where(F.col("before") + F.col("_i") * F.col("c") < share * total).select("w", "c")
+    levels = vocabulary.groupBy("c").agg(F.sum("c").alias("mass"))
+    w = Window.orderBy(F.desc("c")).rowsBetween(Window.unboundedPreceding, -1)  # one row per distinct count
+    edge = levels.withColumn("before", F.coalesce(F.sum("mass").over(w), F.lit(0))).where(F.col("before") < share * total).orderBy("c").first()
+    if edge is None:
+        return vocabulary.select("w", "c").limit(0)
+    need = math.ceil((share * total - edge["before"]) / edge["c"])
+    last = vocabulary.where(F.col("c") == edge["c"]).orderBy("w").limit(need)
+    return vocabulary.where(F.col("c") > edge["c"]).select("w", "c").unionByName(last.select("w", "c"))
 
 
 def nested_articles(sentences: DataFrame, target: int, seed: int, article: str = "article_id") -> DataFrame:

@@ -5,7 +5,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from glyphloom.operators import backoff, decoding, document_cache, evaluation, lm, overlap, sampling, smoothing
+from glyphloom.operators import backoff, decoding, document_cache, evaluation, lm, overlap, sampling, smoothing, tuning
 from glyphloom.operators import ngrams as ng
 from glyphloom.sources import arpa
 
@@ -185,6 +185,27 @@ def test_overlap_and_repetition(spark, train):
     assert r["type_token_ratio"] == 0.25 and r["repeated_2gram_rate"] == pytest.approx(2 / 3)
 
 
+def test_tuning(spark, train):
+    p = backoff.profiles(backoff.train(train, 3), spark.createDataFrame([(1, "the cat sat on a mat".split())], "sent_id bigint, tokens array<string>"), ["sent_id"]).where("value > 0").cache()
+    same = p.select(F.max(F.abs(backoff.normalised(0.4) - backoff.normalised_by_order([0.4, 0.4])))).first()[0]
+    assert same == pytest.approx(0, abs=1e-12)
+    one, found = tuning.growing_grid(p, [0.1, 0.2], backoff.normalised, factor=1.5, bound=10.0)
+    assert found[one] == min(found.values())
+    best, value = tuning.coordinate_descent(p, [one, one], [0.5, 1.5], backoff.normalised_by_order)
+    assert value <= found[one] + 1e-9 and len(best) == 2
+
+
+def test_mean_jaccard_with_and_without_pairs(spark, monkeypatch):
+    rng = random.Random(1)
+    rows = [(i, "g", [rng.choice("abcdefgh") for _ in range(5)]) for i in range(40)] + [(90, "one", ["a"]), (91, "g", []), (92, "g", None)]
+    df = spark.createDataFrame(rows, "id int, g string, tokens array<string>")
+    exact = {r["g"]: r for r in overlap.mean_jaccard(df, "id", "g").collect()}
+    assert set(exact) == {"g"} and exact["g"]["pairs"] == 780
+    monkeypatch.setattr(overlap, "PAIRED", 10)
+    rough = overlap.mean_jaccard(df, "id", "g").first()
+    assert rough["pairs"] == 780 and rough["mean_jaccard"] == pytest.approx(exact["g"]["mean_jaccard"], abs=0.06)
+
+
 def test_samples_are_nested(spark):
     s = spark.createDataFrame([(f"a{i}", ["w"] * 4) for i in range(10)], "article_id string, tokens array<string>")
     small, large, all_ = ({r[0] for r in sampling.nested_articles(s, t, 7).collect()} for t in (5, 20, 10**9))
