@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -43,6 +44,18 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
     return fold, kind
 
 
+def slices(texts: list[str | None], most: int = 1_000_000) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about ``most`` characters, one row at least, so that long texts don't multiply a batch's memory."""
+    low, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t or "")
+        if size >= most:
+            yield low, i + 1
+            low, size = i + 1, 0
+    if low < len(texts):
+        yield low, len(texts)
+
+
 def joined(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """All code points with BREAK after each text, and where each text begins (one more at the end)."""
     sizes = np.fromiter((len(t) if t else 0 for t in texts), dtype=np.int64, count=len(texts))

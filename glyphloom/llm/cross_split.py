@@ -22,6 +22,8 @@ from glyphloom.plans.materialise import cut
 SHARD_TOKENS = 2_000_000
 #: Every so many text positions a row of the index knows its place; the rest walk there.
 SAMPLE = 4
+#: Cells of the edit-distance table that are held at a time.
+CELLS = 2_000_000
 
 _TABLE = {ord(a): b for a, b in MAPPED.items()} | {c: None for lo, hi in INVISIBLE_RANGES for c in range(lo, hi + 1)} | {c: " " for lo, hi in SPACE_RANGES for c in range(lo, hi + 1)}
 
@@ -170,8 +172,8 @@ def edits_within(a: np.ndarray, a_at: np.ndarray, n: np.ndarray, b: np.ndarray,
         change = row + (letters != a[a_at[live] + i - 1][:, None])
         drop = np.concatenate([row[:, 1:], np.full((len(live), 1), far)], axis=1) + 1
         new = np.where(ok, np.minimum(change, drop), np.where((j == 0)[None, :], i, far))
-        for x in range(1, width):
-            new[:, x] = np.where(ok[:, x], np.minimum(new[:, x], new[:, x - 1] + 1), new[:, x])
+        # An insertion costs one more than the cell to its left: a running minimum along the band.
+        new = np.where(ok, np.minimum.accumulate(new - j0, axis=1) + j0, new)
         alive = new.min(axis=1) <= k[live]
         live, row = live[alive], new[alive]
     return result
@@ -223,8 +225,16 @@ def _matches(index: Index, ids: list[bytes], cids: list[bytes], lists: pa.ListAr
     codes = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, dtype=np.int64)
     out_a: list[bytes] = []
     out_b: list[bytes] = []
-    for x in range(0, len(codes), 50_000):
-        t, other = np.divmod(codes[x : x + 50_000], max(len(ids), 1))
+    t, other = np.divmod(codes, max(len(ids), 1))
+    band = 2 * (np.maximum(n[t], index.sizes[other]) // 10) + 1
+    codes, band = codes[np.argsort(band, kind="stable")], np.sort(band)
+    x = 0
+    while x < len(codes):
+        # Few pairs at a time where bands are wide: the cells of a row bound the memory.
+        take = max(1, CELLS // int(band[x]))
+        take = max(1, CELLS // int(band[min(x + take, len(band)) - 1]))
+        t, other = np.divmod(codes[x : x + take], max(len(ids), 1))
+        x += take
         good = edits_within(symbols, start[t], n[t], index.text, index.starts[other], index.sizes[other], np.maximum(n[t], index.sizes[other]) // 10)
         out_a += [cids[i] for i in t[good]]
         out_b += [ids[i] for i in other[good]]

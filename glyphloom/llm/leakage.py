@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphloom.llm.codepoints import BREAK, DENSE, DIGIT, LETTER, UPPER, folded, joined
+from glyphloom.llm.codepoints import BREAK, DENSE, DIGIT, LETTER, UPPER, folded, joined, slices
 
 #: Bounds of what one pass sends to the executors; more items make more passes over the documents.
 BLOCK_ITEMS, BLOCK_CHARS = 4096, 4_000_000
@@ -194,10 +194,10 @@ def _scan(index: dict, batches: Iterator[pa.RecordBatch], share: bool = False) -
     hashes, items, places, letters = index["hash"], index["item"], index["place"], index["letters"]
     sizes, widths = np.array([len(x) for x in letters], dtype=np.int64), np.where(index["dense"], DENSE_WINDOW, WINDOW)
     for batch in batches:
-        for low in range(0, batch.num_rows, 1000):
-            part = batch.slice(low, 1000)
-            ids = part.column("id").to_pylist()
-            s = Streams(part.column("text").to_pylist())
+        texts = batch.column("text").to_pylist()
+        for low, high in slices(texts):
+            ids = batch.column("id").slice(low, high - low).to_pylist()
+            s = Streams(texts[low:high])
             h, place = s.windows()
             maybe = np.flatnonzero(bits[(h & np.uint64((1 << _BITS) - 1)).astype(np.int64)])
             h, place = h[maybe], place[maybe]

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphloom.llm import sentences
-from glyphloom.llm.codepoints import ACCENT, BREAK, DENSE, INVISIBLE, LETTER, VOWEL, folded, joined
+from glyphloom.llm.codepoints import ACCENT, BREAK, DENSE, INVISIBLE, LETTER, VOWEL, folded, joined, slices
 from glyphloom.plans.materialise import cut
 
 #: Labelled documents that the classifier is fitted on at most, in a fixed hash order; scoring covers every document.
@@ -85,14 +85,16 @@ def _pieces(model: sentences.Model, text: str | None, memo: dict) -> list[str]:
 def _training_rows(model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     memo: dict = {}
     for batch in batches:
-        own, labels = [], []
-        for text, label in zip(batch.column("text").to_pylist(), batch.column("labels").to_pylist(), strict=True):
-            p = _pieces(model, text, memo)
-            own += p
-            labels += [label] * len(p)
-        bucket, starts = features(own)
-        lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(bucket, pa.int32()))
-        yield pa.RecordBatch.from_arrays([lists, pa.array(labels, pa.list_(pa.int32()))], names=["buckets", "labels"])
+        texts, given = batch.column("text").to_pylist(), batch.column("labels").to_pylist()
+        for low, high in slices(texts):
+            own, labels = [], []
+            for text, label in zip(texts[low:high], given[low:high], strict=True):
+                p = _pieces(model, text, memo)
+                own += p
+                labels += [label] * len(p)
+            bucket, starts = features(own)
+            lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(bucket, pa.int32()))
+            yield pa.RecordBatch.from_arrays([lists, pa.array(labels, pa.list_(pa.int32()))], names=["buckets", "labels"])
 
 
 def _averaged(table: np.ndarray, bucket: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -224,11 +226,12 @@ def scored(documents: DataFrame, parameters, lookup: np.ndarray, names: list[str
         model = sentences.Model(**state)
         memo: dict = {}
         for batch in batches:
-            for low in range(0, batch.num_rows, 500):
-                part = batch.slice(low, 500)
+            texts = batch.column("_text").to_pylist()
+            for low, high in slices(texts, 300_000):
+                part = batch.slice(low, high - low)
                 own: list[str] = []
                 which: list[int] = []
-                for i, t in enumerate(part.column("_text").to_pylist()):
+                for i, t in enumerate(texts[low:high]):
                     p = _pieces(model, t, memo)
                     own += p
                     which += [i] * len(p)
