@@ -251,3 +251,23 @@ def test_subjects_on_held_out_documents(spark):
         got.setdefault(r["doc_id"], set()).add(r["subject"])
     right = sum(got.get(i, set()) == {n for n in names if any(w in t for w in words[n])} for i, t in rows if i % 2 == 0)
     assert right >= 114 and 900 not in got and 901 not in got
+
+
+def test_subjects_take_all_steps(monkeypatch):
+    """30 steps on all sentences and 15 narrowed ones, at the rate that was found for them."""
+    steps = []
+
+    class Rows:
+        sparkSession = sparkContext = property(lambda self: self)
+        broadcast = lambda self, value: self
+        destroy = lambda self: None
+
+        def mapInArrow(self, run, schema):
+            steps.append(run.__defaults__[1])
+            return self
+
+        def collect(self):
+            return [{"n": 1, "gradient": np.ones(2 * subjects.WIDTH + subjects.WIDTH + 1, dtype=np.float32).tobytes()}]
+
+    subjects.fit(Rows(), 1, np.array([0, 1], dtype=np.int32))
+    assert steps == [False] * 30 + [True] * 15 and subjects.RATE == 0.1
