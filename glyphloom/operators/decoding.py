@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 
 from glyphloom.operators import ngrams as ng
 from glyphloom.operators.lm import Model
+from glyphloom.plans.materialise import cut
 
 MODEL_ENTRIES = 3_000_000
-PROBES = 3
 
 
 class Lookup:
@@ -90,46 +90,34 @@ def temperature_for(p: np.ndarray, bits: float, low: float = 0.05, high: float =
 
 
 class CopyIndex:
-    """Which runs of 2..longest words training has, as a bit table of fixed size; a run that training lacks is taken for one with probability of about 2^-PROBES at a half-full table."""
+    """Which runs of 2..longest words training has, as the sorted 64-bit hashes of all distinct ones; n of them take an absent run for one with probability n / 2^64."""
 
-    def __init__(self, bits: bytes, size: int, longest: int):
-        self.bits, self.size, self.longest = bits, size, longest
+    def __init__(self, hashes: np.ndarray, longest: int):
+        self.hashes, self.longest = hashes, longest
 
     def has(self, run: list[str]) -> bool:
-        return all(self.bits[x >> 3] >> (x & 7) & 1 for x in _places(ng.SEP.join(run), self.size))
+        h = _hash(run)
+        at = int(np.searchsorted(self.hashes, h))
+        return at < len(self.hashes) and self.hashes[at] == h
 
 
-def _places(run: str, size: int) -> list[int]:
-    h = xxhash.xxh3_128_intdigest(run.encode())
-    return [(h >> 32 * i & 0xFFFFFFFF) % size for i in range(PROBES)]
+def _hash(run: list[str]) -> np.int64:
+    return np.uint64(xxhash.xxh3_64_intdigest(ng.SEP.join(run).encode())).astype(np.int64)
 
 
 def copy_index(train: DataFrame, *, longest: int = 8, size: int = 1 << 25) -> CopyIndex:
-    """The index over all training sentences: every task sets bits, the tables (size / 8 bytes each) are joined by OR in the executors."""
+    """The index over all training sentences: 8 bytes a distinct run, however many the corpus has; more than ``size`` raise ValueError."""
 
-    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(size, dtype=bool)
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for t in batch.column("tokens").to_pylist():
-                t = t or []
-                for n in range(2, longest + 1):
-                    for i in range(len(t) - n + 1):
-                        table[_places(ng.SEP.join(t[i : i + n]), size)] = True
-        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([np.packbits(table, bitorder="little").tobytes()], pa.binary())], names=["part", "bits"])
-
-    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(size // 8, dtype=np.uint8)
-        for batch in batches:
-            for b in batch.column("bits").to_pylist():
-                table |= np.frombuffer(b, dtype=np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([table.tobytes()], pa.binary())], names=["part", "bits"])
-
-    schema = "part int, bits binary"
-    one = train.select("tokens").mapInArrow(bits, schema).repartition(8).mapInArrow(merged, schema)
-    out = np.zeros(size // 8, dtype=np.uint8)
-    for r in one.collect():
-        out |= np.frombuffer(r["bits"], dtype=np.uint8)
-    return CopyIndex(out.tobytes(), size, longest)
+            own = [xxhash.xxh3_64_intdigest(ng.SEP.join(t[i : i + n]).encode()) for t in batch.column("tokens").to_pylist() if t for n in range(2, longest + 1) for i in range(len(t) - n + 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.array(own, dtype=np.uint64).astype(np.int64)))], names=["h"])
+
+    runs = cut(train.select("tokens").mapInArrow(hashed, "h bigint").distinct())
+    n = runs.count()
+    if n > size:
+        raise ValueError(f"training has {n} distinct runs of up to {longest} words; the index takes {size}")
+    return CopyIndex(np.sort(runs.toPandas()["h"].to_numpy(dtype=np.int64)), longest)
 
 
 def copy_run(known: CopyIndex, tokens: list[str]) -> int:

@@ -213,3 +213,16 @@ def test_samples_are_nested(spark):
     v = spark.createDataFrame([("a", 4), ("b", 3), ("c", 1)], "w string, c bigint")
     assert {r["w"] for r in sampling.coverage(v, 0.8).collect()} == {"a", "b"}
     assert math.isclose(sum(r["c"] for r in sampling.coverage(v, 1.0).collect()), 8)
+
+
+def test_copy_index_holds_every_run_and_no_other(spark):
+    rng = random.Random(4)
+    own = [[f"w{rng.randrange(1000)}" for _ in range(20)] for _ in range(50)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(own)] + [(90, []), (91, None)], "sent_id bigint, tokens array<string>")
+    runs = {tuple(t[i : i + n]) for t in own for n in range(2, 9) for i in range(len(t) - n + 1)}
+    index = decoding.copy_index(df, size=1 << 13)
+    assert all(index.has(list(r)) for r in runs)
+    absent = [r for r in ([f"w{rng.randrange(1000)}" for _ in range(2)] for _ in range(3000)) if tuple(r) not in runs]
+    assert not any(index.has(r) for r in absent)
+    with pytest.raises(ValueError, match="distinct runs"):
+        decoding.copy_index(df, size=len(runs) - 1)
