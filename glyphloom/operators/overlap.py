@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from glyphloom.operators import ngrams as ng
 
-#: Texts of a group up to which all pairs are made, and hashes that estimate the mean beyond.
-PAIRED, MIN_HASHES = 100, 128
+#: Texts of a block: larger groups are paired block by block, so that no task holds a whole group's pairs.
+PAIRED = 100
 
 
 def _spans(df: DataFrame, keep: list[str], tokens: str, longest: int, shortest: int = 1) -> DataFrame:
@@ -87,18 +87,13 @@ def repetition(tokens: Column) -> dict[str, Column]:
 def mean_jaccard(texts: DataFrame, key: str, within: str, tokens: str = "tokens") -> DataFrame:
     """``within, pairs, mean_jaccard``: mean likeness of the word sets of all pairs of texts in a group.
 
-    Groups of up to PAIRED texts are paired. In larger ones two texts' least hashes are equal with the probability of
-    their likeness, so the mean over all pairs is read off how often each least hash occurs: MIN_HASHES numbers a text, no pairs.
+    All pairs are made, whatever the size of a group. A group is dealt into blocks of about PAIRED texts by hash, and every pair of
+    blocks is a join key of its own; the result is a sum over them.
     """
-    t = texts.select(within, F.col(key).alias("_id"), F.array_distinct(tokens).alias("_s")).where(F.size("_s") > 0)
-    sizes = t.groupBy(within).agg(F.count("*").alias("_n")).where("_n > 1")
-    sized = t.join(sizes, within)
-    few = sized.where(F.col("_n") <= PAIRED)
-    a, b = (few.select(within, F.col("_id").alias(f"_i{k}"), F.col("_s").alias(f"_s{k}")) for k in "ab")
+    t = texts.select(within, F.col(key).alias("_id"), F.array_distinct(tokens).alias("_s")).where((F.size("_s") > 0) & F.col(key).isNotNull())
+    sizes = t.groupBy(within).agg(F.ceil(F.count("*") / PAIRED).cast("int").alias("_n"), F.count("*").alias("_c")).where("_c > 1")
+    dealt = t.join(sizes, within).withColumn("_own", F.pmod(F.xxhash64("_id"), F.col("_n")).cast("int"))
+    a = dealt.select(within, F.col("_id").alias("_ia"), F.col("_s").alias("_sa"), F.col("_own").alias("_a"), F.explode(F.sequence("_own", F.col("_n") - 1)).alias("_b"))
+    b = dealt.select(within, F.col("_id").alias("_ib"), F.col("_s").alias("_sb"), F.explode(F.sequence(F.lit(0), "_own")).alias("_a"), F.col("_own").alias("_b"))
     likeness = F.size(F.array_intersect("_sa", "_sb")) / F.size(F.array_union("_sa", "_sb"))
-    exact = a.join(b, within).where("_ia < _ib").groupBy(within).agg(F.count("*").alias("pairs"), F.avg(likeness).alias("mean_jaccard"))
-    hashes = F.explode(F.transform(F.sequence(F.lit(1), F.lit(MIN_HASHES)), lambda i: F.struct(i.alias("h"), F.array_min(F.transform("_s", lambda w: F.xxhash64(i, w))).alias("v"))))
-    many = sized.where(F.col("_n") > PAIRED).select(within, "_n", hashes.alias("x")).groupBy(within, "_n", "x.h", "x.v").agg(F.count("*").alias("c"))
-    pairs = F.col("_n") * (F.col("_n") - 1) / 2
-    rough = many.groupBy(within, "_n").agg((F.sum(F.col("c") * (F.col("c") - 1) / 2) / MIN_HASHES).alias("_e"))
-    return exact.unionByName(rough.select(within, pairs.cast("bigint").alias("pairs"), (F.col("_e") / pairs).alias("mean_jaccard")))
+    return a.join(b, [within, "_a", "_b"]).where("_a < _b OR _ia < _ib").groupBy(within).agg(F.count("*").alias("pairs"), F.avg(likeness).alias("mean_jaccard"))

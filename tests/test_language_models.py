@@ -226,3 +226,13 @@ def test_copy_index_holds_every_run_and_no_other(spark):
     assert not any(index.has(r) for r in absent)
     with pytest.raises(ValueError, match="distinct runs"):
         decoding.copy_index(df, size=len(runs) - 1)
+
+
+def test_mean_jaccard_of_large_groups_is_exact(spark):
+    rng = random.Random(2)
+    rows = [(i, "g" if i < 130 else "h", [rng.choice("abcdefgh") for _ in range(5)]) for i in range(360)]
+    got = {r["g"]: r for r in overlap.mean_jaccard(spark.createDataFrame(rows, "id int, g string, tokens array<string>"), "id", "g").collect()}
+    for g, n in (("g", 130), ("h", 230)):
+        sets = [set(t) for _, own, t in rows if own == g]
+        pairs = [len(a & b) / len(a | b) for i, a in enumerate(sets) for b in sets[:i]]
+        assert got[g]["pairs"] == n * (n - 1) // 2 and got[g]["mean_jaccard"] == pytest.approx(sum(pairs) / len(pairs), abs=1e-9)
