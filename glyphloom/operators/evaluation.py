@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from glyphloom.functions.keys import seeded
 from glyphloom.operators import ngrams as ng
 from glyphloom.operators.lm import Model, events_of
+from glyphloom.plans.materialise import cut
 
 
 def harmonic(n: Column) -> Column:
@@ -26,33 +27,36 @@ def rank_metrics(greater: Column, equal: Column, known: Column) -> dict[str, Col
 def ranks(model: Model, sentences: DataFrame, key: str) -> DataFrame:
     """``key, pos, w, oov, greater, equal``: how many words of the whole vocabulary score above and beside the true one.
 
-    Only followers of an event's histories differ from scaled unigrams. Those are joined; of the rest a table of
-    distinct unigram probabilities with running counts tells how many lie above. The sentences are a stated sample.
+    Only followers of an event's histories differ from scaled unigrams. Level by level, a follower's score there counts and the
+    score it had by its next lower entry is taken back; followers with equal probabilities on both levels are one row with a
+    count. Of the unigrams a table of distinct probabilities with counts tells how many lie above.
     """
+    entries = model.entries.where(F.col("w") != ng.UNK)
     e = events_of(sentences, model.words, model.order, [key])
     with_gamma = e.join(model.backoff, ["k", "hist"], "left").select(key, "pos", "k", "hist", F.col("w").alias("true"), "oov", F.coalesce("gamma", F.lit(1.0)).alias("gamma"))
     chain = with_gamma.groupBy(key, "pos", "true", "oov").agg(F.collect_list(F.struct("k", "hist", "gamma")).alias("lv"))
-    weight = lambda k: F.aggregate(F.filter("lv", lambda x: x["k"] > k), F.lit(1.0), lambda s, x: s * x["gamma"])
-    chain = chain.withColumn("g1", weight(F.lit(1)))
-    per = chain.select(key, "pos", "true", F.explode("lv").alias("x"), "lv").select(key, "pos", "true", F.col("x.k").alias("k"), F.col("x.hist").alias("hist"), weight(F.col("x.k")).alias("g"))
-    follow = per.where("k > 1").join(model.entries, ["k", "hist"]).select(key, "pos", "true", "w", F.struct("k", (F.col("g") * F.col("p")).alias("s")).alias("m"))
-    explicit = follow.groupBy(key, "pos", "true", "w").agg(F.max("m")["s"].alias("s"))
-    uni = model.entries.where((F.col("k") == 1) & (F.col("w") != ng.UNK)).select("w", F.col("p").alias("p1"))
-    explicit = explicit.join(uni, "w")
-    truth = chain.select(key, "pos", "true", "oov", "g1").join(uni.withColumnRenamed("w", "true"), "true", "left")
-    own = explicit.where(F.col("w") == F.col("true")).select(key, "pos", F.col("s").alias("own"))
-    truth = truth.join(own, [key, "pos"], "left").withColumn("t", F.coalesce("own", F.col("g1") * F.col("p1")))
-    x = explicit.join(truth.select(key, "pos", "t", "g1"), [key, "pos"])
-    above = x.groupBy(key, "pos").agg(
-        F.count_if(F.col("s") > F.col("t")).alias("ga"), F.count_if(F.col("s") == F.col("t")).alias("ea"), F.count_if(F.col("g1") * F.col("p1") > F.col("t")).alias("gu"), F.count_if(F.col("g1") * F.col("p1") == F.col("t")).alias("eu")
-    )
-    levels = uni.groupBy("p1").agg(F.count("*").alias("n"))  # one row per distinct count: about the root of the corpus size
-    rest = truth.select(key, "pos", "t", "g1").join(F.broadcast(levels.withColumnRenamed("p1", "lp").coalesce(1)), F.col("g1") * F.col("lp") >= F.col("t"), "left")
-    uni_above = rest.groupBy(key, "pos").agg(F.coalesce(F.sum(F.when(F.col("g1") * F.col("lp") > F.col("t"), F.col("n"))), F.lit(0)).alias("gl"), F.coalesce(F.sum(F.when(F.col("g1") * F.col("lp") == F.col("t"), F.col("n"))), F.lit(0)).alias("el"))
+    weight = lambda k: F.aggregate(F.array_sort(F.filter("lv", lambda x: x["k"] > k)), F.lit(1.0), lambda s, x: s * x["gamma"])
+    chain = cut(chain.withColumn("g", F.array(*[weight(k) for k in range(1, model.order + 1)])))
+    at = lambda k: F.element_at("g", F.col(k))
+    per = chain.select(key, "pos", "true", "g", F.explode("lv").alias("x")).select(key, "pos", "true", "g", F.col("x.k").alias("k"), F.col("x.hist").alias("hist"))
+    own = per.join(entries.withColumnRenamed("w", "true"), ["k", "hist", "true"]).groupBy(key, "pos").agg(F.max(F.struct("k", (at("k") * F.col("p")).alias("s")))["s"].alias("t"))
+    truth = cut(chain.drop("lv").join(own, [key, "pos"], "left"))
+    follow = entries.where("k > 1").join(per.select("k", "hist").distinct(), ["k", "hist"], "left_semi")
+    below = follow.select("k", "hist", "w", "p", F.explode(F.sequence(F.lit(1), F.col("k") - 1)).alias("j")).withColumn("low", F.expr(f"substring_index(hist, '{ng.SEP}', 1 - j)"))
+    lower = entries.select(F.col("k").alias("j"), F.col("hist").alias("low"), "w", F.col("p").alias("q"))
+    steps = below.join(lower, ["j", "low", "w"]).groupBy("k", "hist", "w", "p").agg(F.max(F.struct("j", "q")).alias("m"))
+    steps = cut(steps.groupBy("k", "hist", "p", F.col("m.j").alias("j"), F.col("m.q").alias("q")).agg(F.count("*").alias("n")))
+    x = per.drop("true", "g").join(truth.where("t IS NOT NULL").select(key, "pos", "t", "g"), [key, "pos"]).join(steps, ["k", "hist"])
+    here, there = at("k") * F.col("p"), at("j") * F.col("q")
+    changed = lambda new, old: F.sum(F.col("n") * (new.cast("int") - old.cast("int")))
+    above = x.groupBy(key, "pos").agg(changed(here > F.col("t"), there > F.col("t")).alias("ga"), changed(here == F.col("t"), there == F.col("t")).alias("ea"))
+    levels = entries.where("k = 1").groupBy(F.col("p").alias("lp")).agg(F.count("*").alias("n"))  # one row per distinct count: about the root of the corpus size
+    rest = truth.select(key, "pos", "t", F.element_at("g", 1).alias("g1")).join(F.broadcast(levels.coalesce(1)), F.col("g1") * F.col("lp") >= F.col("t"))
+    scaled = F.col("g1") * F.col("lp")
+    uni_above = rest.groupBy(key, "pos").agg(F.sum(F.when(scaled > F.col("t"), F.col("n"))).alias("gl"), F.sum(F.when(scaled == F.col("t"), F.col("n"))).alias("el"))
     out = truth.join(above, [key, "pos"], "left").join(uni_above, [key, "pos"], "left")
     z = lambda c: F.coalesce(c, F.lit(0))
-    greater, equal = z("ga") + z("gl") - z("gu"), z("ea") + z("el") - z("eu") - 1
-    return out.select(key, "pos", F.col("true").alias("w"), "oov", greater.alias("greater"), F.greatest(equal, F.lit(0)).alias("equal"))
+    return out.select(key, "pos", F.col("true").alias("w"), "oov", (z("ga") + z("gl")).alias("greater"), F.greatest(z("ea") + z("el") - 1, F.lit(0)).alias("equal"))
 
 
 def bootstrap(groups: DataFrame, key: str, a: str, b: str, events: str, *, repetitions: int = 200, seed: int = 20260930) -> DataFrame:

@@ -5,6 +5,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from glyphloom.catalog import text
 from glyphloom.operators import backoff, decoding, document_cache, evaluation, lm, overlap, sampling, smoothing, tuning
 from glyphloom.operators import ngrams as ng
 from glyphloom.sources import arpa
@@ -236,3 +237,23 @@ def test_mean_jaccard_of_large_groups_is_exact(spark):
         sets = [set(t) for _, own, t in rows if own == g]
         pairs = [len(a & b) / len(a | b) for i, a in enumerate(sets) for b in sets[:i]]
         assert got[g]["pairs"] == n * (n - 1) // 2 and got[g]["mean_jaccard"] == pytest.approx(sum(pairs) / len(pairs), abs=1e-9)
+
+
+def test_rank_metrics_take_every_test_sentence(spark, train, monkeypatch):
+    rng = random.Random(6)
+    words = sorted({w for t in TEXT for w in t.split()})
+    own = [[rng.choice([*words, "zebra"]) for _ in range(rng.randrange(1, 6))] for _ in range(130)]
+    test = spark.createDataFrame(list(enumerate(own)), "sent_id bigint, tokens array<string>").cache()
+    monkeypatch.setattr(text, "corpus", lambda spark, folder, split: train if split == "train" else test)
+    assert text.rank_metrics(spark, "").first()["n"] == sum(len(t) + 1 for t in own)
+    model = lm.train(train, 3)
+    state = decoding.Lookup(*decoding.gathered(model))
+    got = {(r["sent_id"], r["pos"]): (r["greater"], r["equal"]) for r in evaluation.ranks(model, test, "sent_id").collect()}
+    for i, t in enumerate(own):
+        s = ["<s>", *[w if w in words else "<unk>" for w in t], "</s>"]
+        for j in range(1, len(s)):
+            if s[j] != "<unk>":
+                p = state.distribution(s[:j])
+                own_p = p[state.ids[s[j]]]
+                low, high = (p > own_p * (1 + 1e-12)).sum(), (p >= own_p * (1 - 1e-12)).sum()
+                assert low <= got[i, j - 1][0] and sum(got[i, j - 1]) <= high - 1
