@@ -178,9 +178,30 @@ def learning_curve(spark: SparkSession, folder: str) -> DataFrame:
     return reduce(DataFrame.unionByName, out)
 
 
+def learning_curve_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """The learning curve over a 16th, an eighth, a quarter and half of the training words and the whole training set; the SQL of learning_curve ends at 16,000 words."""
+    train, test = cut(corpus(spark, folder, "train")), cut(corpus(spark, folder, "test"))
+    total = train.agg(F.sum(F.size("tokens"))).first()[0] or 0
+    out = []
+    for part in (16, 8, 4, 2, 1):
+        target = -(-total // part)
+        own = train if part == 1 else cut(train.join(sampling.nested_articles(train, target, 20260929).select("article_id"), "article_id", "left_semi"))
+        size = own.select(F.explode("tokens").alias("w")).agg(F.count("*").alias("words"), F.countDistinct("w").alias("types"))
+        out.append(lm.summary(lm.scores(lm.train(own, 3), test, ["sent_id"])).select(F.lit(target).cast("bigint").alias("target"), "ppl").join(size))
+    return reduce(DataFrame.unionByName, out)
+
+
 def growth_laws(spark: SparkSession, folder: str) -> DataFrame:
     """Heaps' law of types over words, and the power law of perplexity, extrapolated to twice the words."""
-    c = cut(learning_curve(spark, folder))
+    return _growth(cut(learning_curve(spark, folder)))
+
+
+def growth_laws_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """The growth laws of learning_curve_whole, extrapolated to twice the training set."""
+    return _growth(cut(learning_curve_whole(spark, folder)))
+
+
+def _growth(c: DataFrame) -> DataFrame:
     heaps, ppl = evaluation.power_law(c, "words", "types"), evaluation.power_law(c, "words", "ppl").withColumnsRenamed({"factor": "f2", "exponent": "e2"})
     n = c.agg((2 * F.max("words")).alias("words"))
     r = lambda x: F.round(x, 4)
@@ -332,4 +353,4 @@ def topk_topp_transform(spark: SparkSession, folder: str) -> DataFrame:
     return decoding.reshaped(cut(d), 0.7, 50, 0.9).withColumn("q", F.round("q", 8))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (sb_scores, sb_alpha_grid, sb_alpha_tuned, addk_tuned, sb_sentences, pair_discrimination, rank_metrics, cache_plain, cache_decay, cache_grid, cache_parts, bootstrap_ci, learning_curve, growth_laws, overlap_5gram, longest_copied_span, copy_histogram, longest_copies, copies_by_setting, source_sentence, repetition_stats, repetition_census, pairwise_jaccard, greedy_decode, sample_decode, beam_decode, adaptive_entropy, anticopy_decode, temperature_entropy, topk_topp_transform)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (sb_scores, sb_alpha_grid, sb_alpha_tuned, addk_tuned, sb_sentences, pair_discrimination, rank_metrics, cache_plain, cache_decay, cache_grid, cache_parts, bootstrap_ci, learning_curve, growth_laws, learning_curve_whole, growth_laws_whole, overlap_5gram, longest_copied_span, copy_histogram, longest_copies, copies_by_setting, source_sentence, repetition_stats, repetition_census, pairwise_jaccard, greedy_decode, sample_decode, beam_decode, adaptive_entropy, anticopy_decode, temperature_entropy, topk_topp_transform)}

@@ -257,3 +257,13 @@ def test_rank_metrics_take_every_test_sentence(spark, train, monkeypatch):
                 own_p = p[state.ids[s[j]]]
                 low, high = (p > own_p * (1 + 1e-12)).sum(), (p >= own_p * (1 - 1e-12)).sum()
                 assert low <= got[i, j - 1][0] and sum(got[i, j - 1]) <= high - 1
+
+
+def test_learning_curve_ends_with_all_training_words(spark, monkeypatch):
+    rng = random.Random(9)
+    own = [(i, f"a{i // 20}", [f"w{int(rng.paretovariate(0.6)) % 3000}" for _ in range(20)]) for i in range(1600)]
+    df = spark.createDataFrame(own, "sent_id bigint, article_id string, tokens array<string>").cache()
+    monkeypatch.setattr(text, "corpus", lambda spark, folder, split: df if split == "train" else df.where("sent_id < 30"))
+    rows = sorted(text.learning_curve_whole(spark, "").collect(), key=lambda r: r["target"])
+    assert [r["target"] for r in rows] == [2000, 4000, 8000, 16000, 32000]
+    assert rows[-1]["words"] == 32000 and rows[-1]["types"] == len({w for _, _, t in own for w in t})
