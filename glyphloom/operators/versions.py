@@ -25,9 +25,8 @@ def _differs(a: Column, b: Column, tolerance: float | None) -> Column:
 def compare_versions(first: DataFrame, second: DataFrame, *, key: str, fields: list[str], tolerance: dict[str, float] | None = None, latest: list[str] | None = None, labels: list[str] | None = None) -> DataFrame:
     """One row per key that isn't the same on both sides: ``_key, side, changed`` and the labels of either side.
 
-    EXCEPT ALL runs in both directions over normalised rows (one row per key, tolerated numbers
-    rounded); only keys in one of the two residues are full-joined, and there the exact values
-    decide, so rounding can't hide or invent a difference. ``side`` is 'both', 'only_first' or
+    EXCEPT ALL runs in both directions over normalised rows (one row per key, no number rounded);
+    only keys in one of the two residues are full-joined, and there the tolerance decides. ``side`` is 'both', 'only_first' or
     'only_second'; ``changed`` lists the differing fields (empty: equal within the tolerance).
 
     NULL equals NULL only; an empty string isn't NULL; NaN equals NaN. Rows without a key are left
@@ -39,7 +38,7 @@ def compare_versions(first: DataFrame, second: DataFrame, *, key: str, fields: l
     a, b = (_one_row_per_key(x, key, keep, latest) for x in (first, second))
 
     def normal(x: DataFrame) -> DataFrame:
-        return x.select("_key", *[F.round(c, 8).alias(c) if c in tolerance else F.col(c) for c in fields])
+        return x.select("_key", *fields)
 
     residue = normal(a).exceptAll(normal(b)).select("_key").union(normal(b).exceptAll(normal(a)).select("_key")).distinct()
     pick = lambda x, tag: x.join(residue, "_key", "left_semi").select("_key", F.struct(*keep).alias(tag))

@@ -24,3 +24,9 @@ def test_empty_tables(spark):
     one = spark.createDataFrame([("1", "f", "x", None, None, 1, "q")], SCHEMA)
     assert compare_versions(none, none, key="id", fields=["value"]).count() == 0
     assert [r["side"] for r in compare_versions(none, one, key="id", fields=["value"]).collect()] == ["only_second"]
+
+
+def test_difference_below_eight_digits(spark):
+    a, b = (spark.createDataFrame([("1", w), ("2", 1.0 + d)], "id string, weight double") for w, d in ((0.123456781, 0.0), (0.123456784, 1e-12)))
+    found = compare_versions(a, b, key="id", fields=["weight"], tolerance={"weight": 1e-9})
+    assert [tuple(r) for r in field_report(found, "id").collect()] == [("1", "weight", "differs")]
