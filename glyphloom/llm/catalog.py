@@ -121,7 +121,8 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "documents").select(F.lit("documents").alias("tbl"), F.col("doc_id").alias("rec_id"), "text")
     rows = rows.unionByName(table(spark, folder, "sentences").select(F.lit("sentences").alias("tbl"), F.col("sent_id").alias("rec_id"), "text"))
-    return sentences.sentence_ends(rows, sentences.fitted(rows), keys=["tbl", "rec_id"], text="text")
+    seen = sentences.observed(rows, keys=["tbl", "rec_id"], text="text")
+    return sentences.sentence_ends(seen, sentences.fitted(seen), keys=["tbl", "rec_id"])
 
 
 def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
@@ -133,11 +134,12 @@ def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "text")
     names = sorted(r["subject"] for r in table(spark, folder, "subjects").select("subject").where("subject IS NOT NULL").distinct().collect())
-    model = sentences.fitted(documents)
-    rows = subjects.training_rows(documents, table(spark, folder, "labels"), names, model, key="doc_id", text="text")
+    seen = sentences.observed(documents, keys=["doc_id"], text="text", keep_text=True)
+    model = sentences.fitted(seen)
+    rows = subjects.training_rows(seen, table(spark, folder, "labels"), names, model, key="doc_id")
     lookup = subjects.vocabulary(rows)
-    fitted = subjects.fit(subjects.numbered(rows, lookup), len(names), lookup)
-    return subjects.scored(documents, fitted, lookup, names, model, key="doc_id", text="text").select("doc_id", "subject")
+    fitted = subjects.fit(subjects.numbered(rows, lookup, len(names)), len(names), lookup)
+    return subjects.scored(seen, fitted, lookup, names, model, key="doc_id").select("doc_id", "subject")
 
 
 QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_ratios": p2_ratios, "p3_found": p3_found, "p3_forms": p3_forms, "p4_found": p4_found, "p4_shares": p4_shares, "p6_found": p6_found, "p6_splits": p6_splits, "p7_found": p7_found, "p7_counts": p7_counts, "p8_containers": p8_containers, "p9_found": p9_found, "p10_found": p10_found}

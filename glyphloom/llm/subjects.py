@@ -15,16 +15,19 @@ from glyphloom.plans.materialise import cut
 
 #: Labelled documents that the classifier is fitted on at most, in a fixed hash order; scoring covers every document.
 TRAINING_DOCUMENTS = 6000
-#: Hash buckets of words and subwords; those kept, which at least so many training sentences have; the width of their embeddings.
-BUCKETS, VOCABULARY, LEAST_SEEN, WIDTH = 1 << 20, 16_384, 6, 10
+#: Hash buckets of words and subwords; those kept, which at least so many training sentences have (training is bounded, so they are); the width of their embeddings.
+BUCKETS, VOCABULARY, LEAST_SEEN, WIDTH = 1 << 20, 32_768, 4, 10
+#: Letters of the runs that are the subwords of a word.
+SUBWORD = 4
 #: Synchronised gradient steps with document labels on all sentences, and with labels only on sentences that show them.
 FIRST_STEPS, SECOND_STEPS = 30, 15
-RATE, DECAY = 0.1, 1e-5
+RATE, DECAY = 0.1, 2e-4
 #: Scale of an averaged embedding: a sentence has a few telling words among dozens.
 GAIN = 8.0
 #: Probability from which a sentence of a labelled document keeps the label in the second steps.
-KEPT = 0.3
+KEPT = 0.2
 SHARE = 0.25
+#: Partitions of the training sentences: a fixed number, as their count is bounded and gradients are summed in this order.
 PARTS = 8
 
 
@@ -32,7 +35,7 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all words and subwords, and where each text's begin (one more at the end); an empty text has one bucket of its own.
 
     Scripts written without spaces give runs of two and three letters, others whole words and
-    their first five letters. Case, width and accents don't matter; digits are left out.
+    all runs of SUBWORD letters inside them. Case, width and accents don't matter; digits are left out.
     """
     data, _ = joined(texts)
     fold, kind = folded(data)
@@ -66,70 +69,84 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         edge = np.flatnonzero(np.concatenate([[True], np.diff(number) > 0]))
         parts.append(np.add.reduceat(value, edge) >> np.uint64(17))
         owners.append(text[starts])
-        parts.append((np.add.reduceat(np.where(place < 5, value, np.uint64(0)), edge) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(23))
-        owners.append(text[starts])
+        n = len(inside) - SUBWORD + 1
+        if n > 0:
+            whole = np.flatnonzero(number[SUBWORD - 1 :] == number[:n])
+            h = np.zeros(len(whole), dtype=np.uint64)
+            for k in range(SUBWORD):
+                h = h * np.uint64(0x9E3779B97F4A7C15) + c[inside[whole + k]]
+            parts.append(h >> np.uint64(23))
+            owners.append(text[inside[whole]])
     owner = np.concatenate(owners)
     order = np.argsort(owner, kind="stable")
     bucket = (np.concatenate(parts)[order] % np.uint64(BUCKETS)).astype(np.int32)
     return bucket, np.searchsorted(owner[order], np.arange(len(texts) + 1))
 
 
-def _pieces(model: sentences.Model, text: str | None, memo: dict) -> list[str]:
-    out, a = [], 0
-    for b in sentences.ends_of(model, text, memo):
-        out.append(text[a:b])
-        a = b
-    return out
+def _pieces(model: sentences.Model, batch: pa.RecordBatch, texts: list[str | None]) -> Iterator[tuple[int, int, list[str], np.ndarray]]:
+    """A few rows of observed texts at a time: their range, all their sentences, and where each row's begin (one more at the end)."""
+    ends, starts = sentences.decided(model, batch.column("_stops"), batch.column("_events"))
+    for low, high in slices(texts, 300_000):
+        out: list[str] = []
+        for i in range(low, high):
+            a, t = 0, texts[i]
+            for b in ends[starts[i] : starts[i + 1]].tolist():
+                out.append(t[a:b])
+                a = b
+        yield low, high, out, starts[low : high + 1] - starts[low]
 
 
 def _training_rows(model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    memo: dict = {}
     for batch in batches:
-        texts, given = batch.column("text").to_pylist(), batch.column("labels").to_pylist()
-        for low, high in slices(texts):
-            own, labels = [], []
-            for text, label in zip(texts[low:high], given[low:high], strict=True):
-                p = _pieces(model, text, memo)
-                own += p
-                labels += [label] * len(p)
+        given = batch.column("labels")
+        for low, _, own, at in _pieces(model, batch, batch.column("_text").to_pylist()):
             bucket, starts = features(own)
             lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(bucket, pa.int32()))
-            yield pa.RecordBatch.from_arrays([lists, pa.array(labels, pa.list_(pa.int32()))], names=["buckets", "labels"])
+            which = np.repeat(np.arange(low, low + len(at) - 1), np.diff(at))
+            yield pa.RecordBatch.from_arrays([lists, given.take(pa.array(which))], names=["buckets", "labels"])
 
 
 def _averaged(table: np.ndarray, bucket: np.ndarray, starts: np.ndarray) -> np.ndarray:
     if len(starts) < 2:
         return np.zeros((0, table.shape[1]), dtype=np.float32)
-    return np.add.reduceat(table[bucket], starts[:-1], axis=0) * (np.float32(GAIN) / np.diff(starts).astype(np.float32))[:, None]
+    return np.add.reduceat(table.take(bucket, axis=0), starts[:-1], axis=0) * (np.float32(GAIN) / np.diff(starts).astype(np.float32))[:, None]
+
+
+def _block(bucket: np.ndarray, starts: np.ndarray, labels: list[list[int]], subjects: int) -> dict[str, bytes]:
+    """Training sentences as arrays: their buckets in order, and which sentences have each bucket, so that no step has to sort them again."""
+    truth = np.zeros((len(labels), subjects), dtype=np.uint8)
+    for i, own in enumerate(labels):
+        truth[i, own] = 1
+    order = np.argsort(bucket, kind="stable")
+    ordered = bucket[order]
+    edge = np.flatnonzero(np.concatenate([[True], np.diff(ordered) > 0]))
+    row = np.repeat(np.arange(len(labels)), np.diff(starts))[order]
+    arrays = {"bucket": bucket, "starts": starts, "row": row, "edge": edge, "held": ordered[edge]}
+    return {k: v.astype(np.int32).tobytes() for k, v in arrays.items()} | {"truth": truth.tobytes()}
+
+
+BLOCK = ["bucket", "starts", "row", "edge", "held", "truth"]
 
 
 def _gradients(parameters, narrowed: bool, subjects: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The summed gradient of a partition. Narrowed: a document's label counts on sentences where the model sees it too."""
+    """The summed gradient of a partition. Narrowed: of a document's labels the likeliest counts on a sentence, if the model sees it there."""
     table, weight, bias = parameters
     total_t, total_w, total_b, n = np.zeros_like(table), np.zeros_like(weight), np.zeros_like(bias), 0
     for batch in batches:
-        lists = batch.column("buckets")
-        bucket = lists.flatten().to_numpy(zero_copy_only=False)
-        starts = np.asarray(lists.offsets) - lists.offsets[0].as_py()
-        if len(starts) < 2:
-            continue
-        truth = np.zeros((len(lists), subjects), dtype=np.float32)
-        for i, own in enumerate(batch.column("labels").to_pylist()):
-            truth[i, own] = 1
-        mean = _averaged(table, bucket, starts)
-        p = 1 / (1 + np.exp(-(mean @ weight + bias)))
-        if narrowed:
-            truth *= p > KEPT
-        error = (p - truth).astype(np.float32)
-        total_w += mean.T @ error
-        total_b += error.sum(axis=0)
-        back = (error @ weight.T) * (GAIN / np.diff(starts))[:, None]
-        row = np.repeat(np.arange(len(lists)), np.diff(starts))
-        order = np.argsort(bucket, kind="stable")
-        ordered = bucket[order]
-        edge = np.flatnonzero(np.concatenate([[True], np.diff(ordered) > 0]))
-        total_t[ordered[edge]] += np.add.reduceat(back[row[order]], edge, axis=0)
-        n += len(lists)
+        for r in batch.to_pylist():
+            bucket, starts, row, edge, held = (np.frombuffer(r[k], dtype=np.int32) for k in BLOCK[:5])
+            truth = np.frombuffer(r["truth"], dtype=np.uint8).reshape(-1, subjects).astype(np.float32)
+            mean = _averaged(table, bucket, starts)
+            p = 1 / (1 + np.exp(-(mean @ weight + bias)))
+            if narrowed:
+                own = truth * p
+                truth *= (p > KEPT) & (own == own.max(axis=1, keepdims=True))
+            error = (p - truth).astype(np.float32)
+            total_w += mean.T @ error
+            total_b += error.sum(axis=0)
+            back = (error @ weight.T) * (np.float32(GAIN) / np.diff(starts).astype(np.float32))[:, None]
+            total_t[held] += np.add.reduceat(back.take(row, axis=0), edge, axis=0)
+            n += len(truth)
     blob = np.concatenate([total_t.ravel(), total_w.ravel(), total_b]).astype(np.float32).tobytes()
     yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([blob], pa.binary())], names=["n", "gradient"])
 
@@ -152,8 +169,7 @@ def _kept(lookup: np.ndarray, bucket: np.ndarray, starts: np.ndarray) -> tuple[n
 def fit(rows: DataFrame, subjects: int, lookup: np.ndarray, *, seed: int = 11) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Embeddings, weights and biases after synchronised steps: every partition's gradient is summed, then one step is made (Adam).
 
-    ``rows`` has ``buckets`` (vocabulary numbers) and ``labels`` (numbers of subjects) of training
-    sentences; what comes back per step is one gradient a partition, whose size is fixed.
+    ``rows`` are the blocks of ``numbered``; what comes back per step is one gradient a partition, whose size is fixed.
     """
     spark = rows.sparkSession
     rng = np.random.default_rng(seed)
@@ -183,26 +199,32 @@ def fit(rows: DataFrame, subjects: int, lookup: np.ndarray, *, seed: int = 11) -
     return tuple(parameters)
 
 
-def numbered(rows: DataFrame, lookup: np.ndarray) -> DataFrame:
-    """The rows with vocabulary numbers for buckets, others left out."""
+def numbered(rows: DataFrame, lookup: np.ndarray, subjects: int) -> DataFrame:
+    """The training sentences in blocks of arrays, with vocabulary numbers for buckets, others left out."""
     sent = rows.sparkSession.sparkContext.broadcast(lookup)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("buckets")
+            if not len(lists):
+                continue
             number, starts = _kept(sent.value, lists.flatten().to_numpy(zero_copy_only=False), np.asarray(lists.offsets) - lists.offsets[0].as_py())
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(number, pa.int32())), batch.column("labels")], names=["buckets", "labels"])
+            own = _block(number, starts, batch.column("labels").to_pylist(), subjects)
+            yield pa.RecordBatch.from_arrays([pa.array([own[k]], pa.binary()) for k in BLOCK], names=BLOCK)
 
-    return cut(rows.mapInArrow(run, "buckets array<int>, labels array<int>"))
+    return cut(rows.mapInArrow(run, ", ".join(f"{k} binary" for k in BLOCK)))
 
 
-def training_rows(documents: DataFrame, labels: DataFrame, names: list[str], model: sentences.Model, *, key: str, text: str, limit: int = TRAINING_DOCUMENTS) -> DataFrame:
-    """``buckets, labels`` of the sentences of at most ``limit`` labelled documents. A document has every subject that a label gives it; 'none' gives none."""
-    spark = documents.sparkSession
+def training_rows(seen: DataFrame, labels: DataFrame, names: list[str], model: sentences.Model, *, key: str, limit: int = TRAINING_DOCUMENTS) -> DataFrame:
+    """``buckets, labels`` of the sentences of at most ``limit`` labelled documents. A document has every subject that a label gives it; 'none' gives none.
+
+    ``seen`` has the observed documents with their texts.
+    """
+    spark = seen.sparkSession
     number = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("subject")).cast("int") - 1
     per = labels.where(F.col(key).isNotNull() & F.col("subject").isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.array_sort(F.collect_set(F.when(number >= 0, number))).alias("labels"))
     few = per.orderBy(F.xxhash64("_k"), "_k").limit(limit)
-    rows = documents.join(F.broadcast(few), F.col(key) == F.col("_k")).select(F.col(text).alias("text"), "labels").repartition(PARTS)
+    rows = seen.where("_kind IS NULL").join(F.broadcast(few), F.col(key) == F.col("_k")).select("_text", "_stops", "_events", "labels").repartition(PARTS)
     sent = spark.sparkContext.broadcast(vars(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,41 +233,28 @@ def training_rows(documents: DataFrame, labels: DataFrame, names: list[str], mod
     return cut(rows.mapInArrow(run, "buckets array<int>, labels array<int>"))
 
 
-def scored(documents: DataFrame, parameters, lookup: np.ndarray, names: list[str], model: sentences.Model, *, key: str, text: str, share: float = SHARE) -> DataFrame:
-    """``key, subject, share``: the subjects of at least ``share`` of a document's sentences, in one narrow pass.
+def scored(seen: DataFrame, parameters, lookup: np.ndarray, names: list[str], model: sentences.Model, *, key: str, share: float = SHARE) -> DataFrame:
+    """``key, subject, share``: the subjects of at least ``share`` of a document's sentences, in one narrow pass over the observed documents.
 
-    A sentence has its likeliest subject if the model gives that at least even odds, else none. NULL and empty
+    A sentence has every subject that the model gives at least even odds; outputs are independent. NULL and empty
     texts have no subject; repeated rows are scored each; NULL keys stay.
     """
-    spark = documents.sparkSession
+    spark = seen.sparkSession
     table, weight, bias = parameters
     sent = spark.sparkContext.broadcast(((table @ weight).astype(np.float32), bias, lookup, vars(model)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logits, bias, lookup, state = sent.value
         model = sentences.Model(**state)
-        memo: dict = {}
         for batch in batches:
-            texts = batch.column("_text").to_pylist()
-            for low, high in slices(texts, 300_000):
-                part = batch.slice(low, high - low)
-                own: list[str] = []
-                which: list[int] = []
-                for i, t in enumerate(texts[low:high]):
-                    p = _pieces(model, t, memo)
-                    own += p
-                    which += [i] * len(p)
+            for low, high, own, at in _pieces(model, batch, batch.column("_text").to_pylist()):
                 if not own:
                     continue
-                scores = _averaged(logits, *_kept(lookup, *features(own))) + bias
-                best = scores.argmax(axis=1)
-                shown = scores[np.arange(len(own)), best] >= 0
-                doc = np.array(which)
-                n = np.bincount(doc, minlength=part.num_rows)
-                hits = np.zeros((part.num_rows, len(names)), dtype=np.int64)
-                np.add.at(hits, (doc[shown], best[shown]), 1)
+                shown = _averaged(logits, *_kept(lookup, *features(own))) + bias >= 0
+                n = np.diff(at)
+                hits = np.diff(np.concatenate([np.zeros((1, len(names)), np.int64), np.cumsum(shown, axis=0)])[at], axis=0)
                 a, b = np.nonzero((hits > 0) & (hits >= share * n[:, None]))
-                yield pa.RecordBatch.from_arrays([part.column(key).take(pa.array(a)), pa.array([names[i] for i in b], pa.string()), pa.array(hits[a, b] / n[a], pa.float64())], names=[key, "subject", "share"])
+                yield pa.RecordBatch.from_arrays([batch.column(key).slice(low, high - low).take(pa.array(a)), pa.array([names[i] for i in b], pa.string()), pa.array(hits[a, b] / n[a], pa.float64())], names=[key, "subject", "share"])
 
-    plain = documents.select(key, F.col(text).alias("_text"))
-    return plain.mapInArrow(run, f"`{key}` {documents.schema[key].dataType.simpleString()}, subject string, share double")
+    rows = seen.where("_kind IS NULL").select(key, "_text", "_stops", "_events")
+    return rows.mapInArrow(run, f"`{key}` {seen.schema[key].dataType.simpleString()}, subject string, share double")

@@ -4,6 +4,7 @@ import random
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -197,26 +198,48 @@ def test_sentences(spark):
     zh = ["甲县开会了。", "乙镇讨论了问题！", "他说：“好的。”", "大家同意。"]
     texts = [" ".join(rng.choice(made)() for _ in range(rng.randrange(1, 5))) for _ in range(300)] + ["".join(rng.choice(zh) for _ in range(rng.randrange(1, 5))) for _ in range(200)]
     df = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string").withColumn("end_pos", F.lit(None).cast("int"))
-    model = sentences.fitted(df)
+    model = sentences.fitted(sentences.observed(df, keys=["id"], text="text"))
     text = "Mr. Samike met Dr. Lobatu in Kelomi. They talked for 3.5 hours. Was Tusaba late? Nobody knew Milosa!"
-    assert [text[:e] for e in sentences.ends_of(model, text, {})] == [text[:36], text[:63], text[:80], text]
+    assert [text[:e] for e in sentences.ends_of(model, text)] == [text[:36], text[:63], text[:80], text]
     zh = "甲县开会了。乙镇讨论了问题！他说：“好的。”大家同意。"
-    assert sentences.ends_of(model, zh, {}) == [6, 14, 22, 27]
-    assert sentences.ends_of(model, None, {}) == sentences.ends_of(model, " \n\n ", {}) == []
-    assert sentences.ends_of(model, "Title\n\nNo mark here\nnor here  ", {}) == [5, 19, 28]
+    assert sentences.ends_of(model, zh) == [6, 14, 22, 27]
+    assert sentences.ends_of(model, None) == sentences.ends_of(model, " \n\n ") == []
+    assert sentences.ends_of(model, "Title\n\nNo mark here\nnor here  ") == [5, 19, 28]
     wrapped = "The train to Tusaba left at noon and then\nnobody in the whole town knew where it had\ngone or when it would return to Kelomi. They\ntalked for 3.5 hours."
-    assert len(sentences.ends_of(model, wrapped, {})) == 2
+    assert len(sentences.ends_of(model, wrapped)) == 2
     edge = spark.createDataFrame([(1, None, "a"), (2, "", "a"), (3, "x. " * 20_000, "a"), (3, "x", "a")], "id bigint, text string, tbl string")
-    got = sentences.sentence_ends(edge, model, keys=["tbl", "id"], text="text").collect()
+    got = sentences.sentence_ends(sentences.observed(edge, keys=["tbl", "id"], text="text"), model, keys=["tbl", "id"]).collect()
     assert {r["id"] for r in got} == {3} and max(r["end_pos"] for r in got) == 59_999
-    assert sentences.sentence_ends(edge.limit(0), sentences.fitted(edge.limit(0)), keys=["id"], text="text").count() == 0
+    none = sentences.observed(edge.limit(0), keys=["id"], text="text")
+    assert sentences.sentence_ends(none, sentences.fitted(none), keys=["id"]).count() == 0
+
+
+def test_sentences_without_any_punctuation(spark):
+    """Runs of text without marks are cut by the words that begin and end sentences elsewhere."""
+    rng = random.Random(12)
+    en = ["Today the mayor opened a bridge", "Nobody wanted to leave the harbour", "Later some children sang near the station", "Trains were late again this week"]
+    zh = ["今天市长剪彩了大桥", "昨夜渔民修理着旧船", "老师们称赞学生努力"]
+    th = ["วันนี้นายกเปิดสะพาน", "เมื่อคืนชาวประมงซ่อมเรือ", "ครูชมนักเรียนขยัน"]
+    texts = [" ".join(rng.choice(en) + "." for _ in range(4)) for _ in range(150)] + ["".join(rng.choice(zh) + "。" for _ in range(4)) for _ in range(150)] + [rng.choice(th) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")
+    model = sentences.fitted(sentences.observed(df, keys=["id"], text="text"))
+    for own, sep in ((en, " "), (zh, ""), (th, " ")):
+        parts = [rng.choice(own) for _ in range(24)]
+        text = sep.join(parts)
+        want = np.cumsum([len(x) + len(sep) for x in parts]) - len(sep)
+        got = set(sentences.ends_of(model, text))
+        assert len(got & set(want.tolist())) >= 22 and len(got) <= 26, (text, got)
+    assert sentences.ends_of(model, en[0] + " and nothing else") == [len(en[0]) + 17]
 
 
 def test_posteriors_sum_over_all_paths():
     rng = random.Random(7)
     m = sentences.Model({"l0": 0.3, "l1": 0.8}, {"r0": 2.0, "r1": 0.5}, {(e, d): (rng.uniform(0.5, 2), rng.uniform(0.5, 2)) for e in (0, 1) for d in (0, 1, 2)})
     c = [(i, f"l{i % 2}", "x", f"r{i // 2 % 2}", "zz", i % 3) for i in range(6)]
-    got = sentences.posteriors(m, c, {})
+    lines = [[sentences._event(x) for x in c] + [""], [""], [sentences._event(c[3]), ""]]
+    got = sentences.posteriors(m, pa.array([lines[0] + lines[1], lines[2]], pa.list_(pa.string())))
+    assert got[6] == got[7] == got[9] == 1
+    got = got[:6]
     weights = np.zeros((6, 2))
     for path in range(64):
         w, before = 1.0, 1
@@ -242,12 +265,13 @@ def test_subjects_on_held_out_documents(spark):
     docs = spark.createDataFrame([*rows, (900, None), (901, "")], "doc_id bigint, text string").withColumn("subject", F.lit(1))
     lab = spark.createDataFrame(labels + labels[:3] + [(None, "law", "a"), (1000, "law", "a"), (1, None, "a")], "doc_id bigint, subject string, annotator string")
     names = ["law", "sport"]
-    model = sentences.fitted(docs)
-    t = subjects.training_rows(docs, lab, names, model, key="doc_id", text="text")
+    seen = sentences.observed(docs, keys=["doc_id"], text="text", keep_text=True)
+    model = sentences.fitted(seen)
+    t = subjects.training_rows(seen, lab, names, model, key="doc_id")
     lookup = subjects.vocabulary(t)
-    p = subjects.fit(subjects.numbered(t, lookup), 2, lookup)
+    p = subjects.fit(subjects.numbered(t, lookup, 2), 2, lookup)
     got = {}
-    for r in subjects.scored(docs, p, lookup, names, model, key="doc_id", text="text").collect():
+    for r in subjects.scored(seen, p, lookup, names, model, key="doc_id").collect():
         got.setdefault(r["doc_id"], set()).add(r["subject"])
     right = sum(got.get(i, set()) == {n for n in names if any(w in t for w in words[n])} for i, t in rows if i % 2 == 0)
     assert right >= 114 and 900 not in got and 901 not in got
