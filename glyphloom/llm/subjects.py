@@ -122,10 +122,12 @@ def _block(bucket: np.ndarray, starts: np.ndarray, labels: list[list[int]], subj
     edge = np.flatnonzero(np.concatenate([[True], np.diff(ordered) > 0]))
     row = np.repeat(np.arange(len(labels)), np.diff(starts))[order]
     arrays = {"bucket": bucket, "starts": starts, "row": row, "edge": edge, "held": ordered[edge]}
-    return {k: v.astype(np.int32).tobytes() for k, v in arrays.items()} | {"truth": truth.tobytes()}
+    return {k: v.astype(BLOCK[k]).tobytes() for k, v in arrays.items()} | {"truth": truth.tobytes()}
 
 
-BLOCK = ["bucket", "starts", "row", "edge", "held", "truth"]
+#: What a block of at most BLOCK_ROWS training sentences holds.
+BLOCK = {"bucket": np.uint16, "starts": np.int32, "row": np.uint16, "edge": np.int32, "held": np.uint16, "truth": np.uint8}
+BLOCK_ROWS = 1 << 16
 
 
 def _gradients(parameters, narrowed: bool, subjects: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,8 +136,8 @@ def _gradients(parameters, narrowed: bool, subjects: int, batches: Iterator[pa.R
     total_t, total_w, total_b, n = np.zeros_like(table), np.zeros_like(weight), np.zeros_like(bias), 0
     for batch in batches:
         for r in batch.to_pylist():
-            bucket, starts, row, edge, held = (np.frombuffer(r[k], dtype=np.int32) for k in BLOCK[:5])
-            truth = np.frombuffer(r["truth"], dtype=np.uint8).reshape(-1, subjects).astype(np.float32)
+            bucket, starts, row, edge, held, truth = (np.frombuffer(r[k], dtype=kind) for k, kind in BLOCK.items())
+            truth = truth.reshape(-1, subjects).astype(np.float32)
             mean = _averaged(table, bucket, starts)
             p = 1 / (1 + np.exp(-(mean @ weight + bias)))
             if narrowed:
@@ -204,13 +206,11 @@ def numbered(rows: DataFrame, lookup: np.ndarray, subjects: int) -> DataFrame:
     sent = rows.sparkSession.sparkContext.broadcast(lookup)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(k, BLOCK_ROWS) for b in batches for k in range(0, b.num_rows, BLOCK_ROWS)):
             lists = batch.column("buckets")
-            if not len(lists):
-                continue
             number, starts = _kept(sent.value, lists.flatten().to_numpy(zero_copy_only=False), np.asarray(lists.offsets) - lists.offsets[0].as_py())
             own = _block(number, starts, batch.column("labels").to_pylist(), subjects)
-            yield pa.RecordBatch.from_arrays([pa.array([own[k]], pa.binary()) for k in BLOCK], names=BLOCK)
+            yield pa.RecordBatch.from_arrays([pa.array([own[k]], pa.binary()) for k in BLOCK], names=list(BLOCK))
 
     return cut(rows.mapInArrow(run, ", ".join(f"{k} binary" for k in BLOCK)))
 
