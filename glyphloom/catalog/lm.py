@@ -134,9 +134,7 @@ SELECT w, sum(c)::BIGINT AS count, count(*) AS left_types, max(CASE WHEN r = 1 T
 
 def event_rows(spark: SparkSession, folder: str, split: str = "test") -> DataFrame:
     train, test = _train(spark, folder), corpus(spark, folder, split)
-    words = ng.vocabulary(train)
-    e = lm.events_of(test, words.unionByName(spark.createDataFrame([(ng.EOS, 0)], "w string, c bigint")), 3, ["sent_id"])
-    return smoothing.event_statistics(train, e.drop("oov"), ["sent_id"])
+    return smoothing.event_statistics(train, ng.grams(test, 3, ["sent_id"]), ["sent_id"])
 
 
 def smooth_events(spark: SparkSession, folder: str) -> DataFrame:
@@ -239,7 +237,7 @@ def pruning_impact(spark: SparkSession, folder: str) -> DataFrame:
     full = lm.train(train, 3)
     a = lm.scores(full, test, ["sent_id"]).select("sent_id", "pos", "oov", F.col("p").alias("pa"))
     b = lm.scores(lm.train(train, 3, prune=[0, 0, 1]), test, ["sent_id"]).select("sent_id", "pos", F.col("p").alias("pb"))
-    e = lm.events_of(test, full.words, 3, ["sent_id"]).where("k = 3").join(ng.counts(train, 3).where("k = 3"), ["k", "hist", "w"], "left").select("sent_id", "pos", F.coalesce("c", F.lit(0)).alias("c"))
+    e = ng.grams(test, 3, ["sent_id"]).where("k = 3").join(full.counted.where("k = 3"), ["k", "hist", "w"], "left").select("sent_id", "pos", F.coalesce("c", F.lit(0)).alias("c"))
     c = F.col("c")
     bucket = F.when(F.col("oov"), "oov").when(c.isNull(), "short").when(c == 0, "0").when(c == 1, "1").when(c <= 4, "2-4").otherwise("5+")
     rows = a.join(b, ["sent_id", "pos"]).join(e, ["sent_id", "pos"], "left").withColumn("bucket", bucket)

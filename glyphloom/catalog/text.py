@@ -57,12 +57,13 @@ def sb_sentences(spark: SparkSession, folder: str) -> DataFrame:
     return p.groupBy("sent_id").agg(F.when(bad, F.lit(float("-inf"))).otherwise(F.round(F.sum(F.when(F.col("s") > 0, F.log10("s"))), 6)).alias("log10_score"))
 
 
-def _sb_sql(split: str) -> str:
+def _sb_sql(split: str, test: str = "") -> str:
+    test = test or f"SELECT sent_id, tokens FROM sen WHERE split = '{split}'"
     return f"""WITH {counts_sql(3)},
 tt AS (SELECT k, hist, sum(c)::DOUBLE AS total FROM c GROUP BY k, hist), se AS (SELECT c.k, c.hist, w, c / total AS s FROM c JOIN tt ON c.k = tt.k AND c.hist = tt.hist),
 cv AS (SELECT u.k, u.hist, sum(l.s) AS covered FROM se u JOIN se l ON u.k > 1 AND l.k = u.k - 1 AND l.w = u.w AND l.hist = CASE WHEN contains(u.hist, chr(31)) THEN substr(u.hist, instr(u.hist, chr(31)) + 1) ELSE '' END GROUP BY u.k, u.hist UNION ALL SELECT 1, '', NULL),
 wd AS (SELECT DISTINCT unnest(tokens) AS w FROM tr UNION SELECT '</s>'),
-tm AS (SELECT x.sent_id, list(coalesce(wd.w, '<unk>') ORDER BY i) AS tokens FROM (SELECT sent_id, unnest(tokens) AS t, generate_subscripts(tokens, 1) AS i FROM sen WHERE split = '{split}') x LEFT JOIN wd ON x.t = wd.w GROUP BY ALL),
+tm AS (SELECT x.sent_id, list(coalesce(wd.w, '<unk>') ORDER BY i) AS tokens FROM (SELECT sent_id, unnest(tokens) AS t, generate_subscripts(tokens, 1) AS i FROM ({test})) x LEFT JOIN wd ON x.t = wd.w GROUP BY ALL),
 ep AS (SELECT sent_id, list_concat(['<s>'], tokens, ['</s>']) AS q, unnest(range(0, len(tokens) + 1)) AS pos FROM tm),
 ev AS (SELECT sent_id, pos, k, array_to_string(q[pos + 3 - k : pos + 1], chr(31)) AS hist, q[pos + 2] AS w FROM ep, range(1, 4) t(k) WHERE k <= pos + 2),
 ej AS (SELECT ev.sent_id, ev.pos, ev.w, ev.k, se.s, cv.hist IS NOT NULL AS seen, coalesce(cv.covered, 0) AS covered FROM ev LEFT JOIN se ON ev.k = se.k AND ev.hist = se.hist AND ev.w = se.w LEFT JOIN cv ON ev.k = cv.k AND ev.hist = cv.hist),
@@ -306,36 +307,68 @@ SQL |= {
 }
 
 
+PROMPT = ["近日"]
+
+
 def _runs(spark: SparkSession, settings: list[tuple[str, float, int, float]], seeds: list[int]) -> DataFrame:
-    rows = [(["近日"], p, v, k, t, s) for p, v, k, t in settings for s in seeds]
-    return spark.createDataFrame(rows, "prompt array<string>, policy string, value double, top_k int, top_p double, seed int").repartition(8)
+    rows = [(PROMPT, p, v, k, t, s) for p, v, k, t in settings for s in seeds]
+    return spark.createDataFrame(rows, "prompt array<string>, policy string, value double, top_k int, top_p double, seed int")
 
 
 def _decoded(spark: SparkSession, folder: str, settings: list[tuple[str, float, int, float]], seeds: list[int], order: int = 3, copying: bool = False) -> DataFrame:
     train = cut(corpus(spark, folder, "train"))
-    known = decoding.copy_index(train) if copying else None
-    g = decoding.generated(_runs(spark, settings, seeds), lm.train(train, order), known=known)
-    return g.select("policy", "value", "top_k", "top_p", "seed", F.array_join("tokens", " ").alias("words"), F.size("tokens").alias("length"), "hit_eos", F.round(F.log10(F.aggregate("probabilities", F.lit(1.0), lambda a, x: a * x)), 6).alias("log10_p"))
+    known = decoding.training_runs(train) if copying else None
+    return decoding.generated(_runs(spark, settings, seeds), lm.train(train, order), known=known)
+
+
+def _listed(g: DataFrame) -> DataFrame:
+    logs = F.aggregate("steps", F.lit(0.0), lambda a, x: a + F.log10(x["p"]))
+    return g.select("policy", "value", "top_k", "top_p", "seed", F.array_join("tokens", " ").alias("words"), F.size("tokens").alias("length"), "hit_eos", F.round(logs, 6).alias("log10_p"))
 
 
 def greedy_decode(spark: SparkSession, folder: str) -> DataFrame:
-    return _decoded(spark, folder, [("greedy", 1.0, 0, 1.0)], [11])
+    return _listed(_decoded(spark, folder, [("greedy", 1.0, 0, 1.0)], [11]))
 
 
 def sample_decode(spark: SparkSession, folder: str) -> DataFrame:
-    return _decoded(spark, folder, [("fixed", t, k, p) for t in (0.7, 1.0, 1.3) for k, p in ((0, 1.0), (50, 1.0), (0, 0.9))], [11, 22, 33])
+    return _listed(_decoded(spark, folder, [("fixed", t, k, p) for t in (0.7, 1.0, 1.3) for k, p in ((0, 1.0), (50, 1.0), (0, 0.9))], [11, 22, 33]))
 
 
 def beam_decode(spark: SparkSession, folder: str) -> DataFrame:
-    return _decoded(spark, folder, [("beam", w, 0, a) for w in (1.0, 5.0) for a in (0.0, 1.0)], [11])
+    return _listed(_decoded(spark, folder, [("beam", w, 0, a) for w in (1.0, 5.0) for a in (0.0, 1.0)], [11]))
 
 
 def adaptive_entropy(spark: SparkSession, folder: str) -> DataFrame:
-    return _decoded(spark, folder, [("entropy", b, 0, 1.0) for b in (2.0, 4.0)], [11, 22])
+    return _listed(_decoded(spark, folder, [("entropy", b, 0, 1.0) for b in (2.0, 4.0)], [11, 22], order=5))
 
 
 def anticopy_decode(spark: SparkSession, folder: str) -> DataFrame:
-    return _decoded(spark, folder, [("anticopy", r, 0, 1.0) for r in (4.0, 6.0)], [11, 22], copying=True)
+    return _listed(_decoded(spark, folder, [("anticopy", r, 0, 1.0) for r in (4.0, 6.0)], [11, 22], order=5, copying=True))
+
+
+def generation_trace(spark: SparkSession, folder: str) -> DataFrame:
+    """Every step of sampled texts: word, probability, entropy before the choice, words that stood to choose, the likeliest one's probability and the matched order."""
+    g = _decoded(spark, folder, [("fixed", 0.7, 50, 1.0), ("fixed", 1.0, 0, 0.9)], [11, 22], order=5)
+    s = g.select("value", "seed", F.posexplode("steps").alias("step", "s"))
+    r = lambda c: F.round(f"s.{c}", 6).alias(c)
+    return s.select("value", "seed", "step", "s.word", r("p"), r("q"), r("entropy"), "s.kept", r("top"), "s.match")
+
+
+def generation_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts generated under several policies, then held against training: self-perplexity (also its geometric mean), means over steps, copied spans and repetition per policy."""
+    g = _decoded(spark, folder, [("greedy", 1.0, 0, 1.0), ("fixed", 0.7, 50, 1.0), ("fixed", 1.0, 0, 0.9), ("entropy", 3.0, 0, 1.0)], [11, 22, 33])
+    g = cut(g.withColumn("id", F.xxhash64("policy", "value", "seed")).withColumn("own", F.col("tokens")).withColumn("tokens", F.concat("prompt", "tokens")).withColumn("start", F.size("prompt")))
+    f = cut(overlap.found_spans(g, ["id"], corpus(spark, folder, "train"), longest=12))
+    mean = lambda c: F.aggregate(F.transform("steps", lambda x: x[c].cast("double")), F.lit(0.0), lambda a, x: a + x) / F.size("steps")
+    self_ppl = F.pow(F.lit(10.0), -F.aggregate("steps", F.lit(0.0), lambda a, x: a + F.log10(x["p"])) / F.size("steps"))
+    rep = overlap.repetition(F.col("own"))["repeated_3gram_rate"]
+    t = g.select("id", "policy", "value", "hit_eos", self_ppl.alias("ppl"), mean("entropy").alias("entropy"), mean("match").alias("match"), mean("top").alias("top"), rep.alias("rep"))
+    x = t.join(overlap.longest_copied(g, "id", f, "start"), "id").join(overlap.overlap_rate(g, "id", f, 5), "id")
+    a = lambda c, n: F.round(F.avg(c), 6).alias(n)
+    return x.groupBy("policy", "value").agg(
+        F.count("*").alias("texts"), F.round(F.exp(F.avg(F.ln("ppl"))), 4).alias("geometric_ppl"), a("ppl", "mean_ppl"), a("entropy", "mean_entropy"), a("match", "mean_match"), a("top", "mean_top"), a("rep", "mean_repeated"),
+        a("span", "mean_span"), F.round(F.avg(F.nanvl("rate", F.lit(None).cast("double"))), 6).alias("mean_overlap"), F.round(F.avg(F.col("hit_eos").cast("double")), 6).alias("ended"),
+    )
 
 
 def temperature_entropy(spark: SparkSession, folder: str) -> DataFrame:
@@ -353,4 +386,69 @@ def topk_topp_transform(spark: SparkSession, folder: str) -> DataFrame:
     return decoding.reshaped(cut(d), 0.7, 50, 0.9).withColumn("q", F.round("q", 8))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (sb_scores, sb_alpha_grid, sb_alpha_tuned, addk_tuned, sb_sentences, pair_discrimination, rank_metrics, cache_plain, cache_decay, cache_grid, cache_parts, bootstrap_ci, learning_curve, growth_laws, learning_curve_whole, growth_laws_whole, overlap_5gram, longest_copied_span, copy_histogram, longest_copies, copies_by_setting, source_sentence, repetition_stats, repetition_census, pairwise_jaccard, greedy_decode, sample_decode, beam_decode, adaptive_entropy, anticopy_decode, temperature_entropy, topk_topp_transform)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (sb_scores, sb_alpha_grid, sb_alpha_tuned, addk_tuned, sb_sentences, pair_discrimination, rank_metrics, cache_plain, cache_decay, cache_grid, cache_parts, bootstrap_ci, learning_curve, growth_laws, learning_curve_whole, growth_laws_whole, overlap_5gram, longest_copied_span, copy_histogram, longest_copies, copies_by_setting, source_sentence, repetition_stats, repetition_census, pairwise_jaccard, greedy_decode, sample_decode, beam_decode, adaptive_entropy, anticopy_decode, generation_trace, generation_quality, temperature_entropy, topk_topp_transform)}
+
+
+_TEST_ALL = "SELECT sent_id, article_id, tokens FROM sen WHERE split = 'test'"
+#: Each known test sentence of 8 to 40 words, and its copy with two neighbours swapped under the negative id.
+_PLACES = "list_filter(range(1, len(tokens)), lambda i: tokens[i] <> tokens[i + 1])"
+_SWAPPED = f"""SELECT CASE WHEN s THEN -sent_id - 1 ELSE sent_id END AS sent_id, article_id, CASE WHEN s THEN list_concat(tokens[:i - 1], [tokens[i + 1], tokens[i]], tokens[i + 2:]) ELSE tokens END AS tokens
+FROM (SELECT sent_id, article_id, tokens, {_PLACES}[(('0x' || md5('20260930:' || sent_id)[1:12])::BIGINT % len({_PLACES}) + 1)::INT]::INT AS i FROM sen WHERE split = 'test' AND len(tokens) BETWEEN 8 AND 40 AND len({_PLACES}) > 0), (SELECT unnest([false, true]) AS s)"""
+_JUDGE = "CASE WHEN abs({m}t - {m}s) < 1e-9::DOUBLE THEN 0.5::DOUBLE WHEN {m}t > {m}s THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END"
+_DIST = f"""{model_sql(3)}, hs AS (SELECT * FROM (VALUES (1, ''), (2, '近日'), (3, '<s>' || chr(31) || '近日')) v(k, hist)),
+hg AS (SELECT hs.k, coalesce(gamma, 1.0) AS gamma FROM hs LEFT JOIN bo ON bo.k = hs.k AND bo.hist = hs.hist),
+ds AS (SELECT w, arg_max(p, en.k) * coalesce((SELECT product(gamma) FROM hg WHERE hg.k > max(en.k)), 1.0) AS p FROM en JOIN hs ON en.k = hs.k AND en.hist = hs.hist WHERE w <> '<unk>' GROUP BY w)"""
+
+
+def _reshaped_sql(temperature: float, top_k: int, top_p: float) -> str:
+    limit = f"WHERE r <= {top_k}" if top_k else ""
+    return f"""(SELECT w, q / sum(q) OVER () AS q FROM (SELECT w, q, coalesce(sum(q) OVER (ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (SELECT w, r, x / sum(x) OVER () AS q FROM (SELECT w, r, pow(p, 1 / {temperature}::DOUBLE) AS x FROM (SELECT w, p, row_number() OVER (ORDER BY p DESC, w) AS r FROM ds) {limit}))) WHERE before < {top_p})"""
+
+
+_DRAWS = "(SELECT unnest(range(1, 1001)) AS rep)"
+_U = "((('0x' || md5('20260930:' || {key} || ':' || rep)[1:12])::BIGINT + 0.5::DOUBLE) / 281474976710656::DOUBLE)"
+
+
+def _poisson_sql(key: str) -> str:
+    u, total, term, parts = _U.format(key=key), 0.0, 0.36787944117144233, []
+    for k in range(1, 8):
+        total += term
+        parts.append(f"({u} > {total!r}::DOUBLE)::INT")
+        term /= k
+    return " + ".join(parts)
+
+
+def _walk_sql() -> str:
+    """The likeliest word again and again, by recursion."""
+    step = """SELECT gr.n, gr.c1, gr.words, gr.lp, en.w, max(struct_pack(k := en.k, s := en.p * CASE en.k WHEN 3 THEN 1.0 WHEN 2 THEN coalesce(b3.gamma, 1.0) ELSE coalesce(b2.gamma, 1.0) * coalesce(b3.gamma, 1.0) END)).s AS s
+FROM gr LEFT JOIN bo b2 ON b2.k = 2 AND b2.hist = gr.c1 LEFT JOIN bo b3 ON b3.k = 3 AND b3.hist = gr.c2 || chr(31) || gr.c1 JOIN en ON en.w <> '<unk>' AND en.hist = CASE en.k WHEN 1 THEN '' WHEN 2 THEN gr.c1 ELSE gr.c2 || chr(31) || gr.c1 END
+WHERE gr.n < 40 AND gr.c1 <> '</s>' GROUP BY ALL"""
+    return f"""WITH RECURSIVE {model_sql(3)}, gr(n, c2, c1, words, lp) AS (SELECT 0, '<s>', '近日', []::VARCHAR[], 0.0::DOUBLE UNION ALL
+SELECT n + 1, c1, w, CASE WHEN w = '</s>' THEN words ELSE list_append(words, w) END, lp + log10(s) FROM (SELECT *, row_number() OVER (ORDER BY s DESC, w) AS r FROM ({step})) WHERE r = 1)
+SELECT 'greedy' AS policy, 1.0::DOUBLE AS value, 0 AS top_k, 1.0::DOUBLE AS top_p, 11 AS seed, array_to_string(words, ' ') AS words, len(words)::INT AS length, c1 = '</s>' AS hit_eos, round(lp, 6) AS log10_p FROM gr ORDER BY n DESC LIMIT 1"""
+
+
+SQL |= {
+    "greedy_decode": _walk_sql(),
+    "topk_topp_transform": f"WITH {_DIST} SELECT w, round(q, 8) AS q FROM {_reshaped_sql(0.7, 50, 0.9)}",
+    "temperature_entropy": f"WITH {_DIST} " + " UNION ALL ".join(f"SELECT {t}::DOUBLE AS temperature, round(h, 6) AS bits, round(pow(2.0, h), 4) AS effective, (SELECT count(*) FROM {_reshaped_sql(t, 0, 0.9)}) AS nine_tenths FROM (SELECT -sum(q * log2(q)) AS h FROM {_reshaped_sql(t, 0, 1.5)})" for t in (0.5, 0.7, 1.0, 1.3)),
+    "pair_discrimination": f"""SELECT sent_id, {_JUDGE.format(m='k')} AS kn, {_JUDGE.format(m='b')} AS sb
+FROM (SELECT CASE WHEN sent_id < 0 THEN -sent_id - 1 ELSE sent_id END AS sent_id, max(CASE WHEN sent_id >= 0 THEN v END) AS kt, max(CASE WHEN sent_id < 0 THEN v END) AS ks, bool_or(o AND sent_id >= 0) AS o FROM (WITH {model_sql(3, test=_SWAPPED)} SELECT sent_id, sum(log10(p)) AS v, bool_or(oov) AS o FROM sc GROUP BY sent_id) GROUP BY 1) kn
+JOIN (SELECT CASE WHEN sent_id < 0 THEN -sent_id - 1 ELSE sent_id END AS sent_id, max(CASE WHEN sent_id >= 0 THEN v END) AS bt, max(CASE WHEN sent_id < 0 THEN v END) AS bs FROM ({_sb_sql('test', _SWAPPED)} SELECT sent_id, sum(log10(greatest({_SC.format(a='0.4::DOUBLE')}, 1e-300::DOUBLE))) AS v FROM pr GROUP BY sent_id) GROUP BY 1) sb USING (sent_id) WHERE NOT o""",
+    "bootstrap_ci": _cache_sql("test", None) + f""", ga AS (SELECT article_id, -sum(log10(p)) AS a, -sum(log10({_MIX.format(x='0.15::DOUBLE')})) AS b, count(*) AS n FROM cc GROUP BY article_id),
+re AS (SELECT rep, pow(10.0, sum(t * (b - a)) / sum(t * n)) - 1 AS x FROM (SELECT *, {_poisson_sql('article_id')} AS t FROM ga, {_DRAWS}) GROUP BY rep)
+SELECT (SELECT count(*) FROM ga) AS groups, (SELECT round(pow(10.0, (sum(b) - sum(a)) / sum(n)) - 1, 6) FROM ga) AS change, round(quantile_cont(x, 0.025), 6) AS low, round(quantile_cont(x, 0.975), 6) AS high FROM re""",
+    "rank_metrics": f"""WITH {model_sql(3, test=_TEST_ALL)}, ctx AS (SELECT sent_id, pos, any_value(w) AS w, max(CASE WHEN k = 2 THEN hist END) AS h2, max(CASE WHEN k = 3 THEN hist END) AS h3 FROM ev GROUP BY sent_id, pos),
+cd AS (SELECT DISTINCT h2, h3 FROM ctx), cg AS (SELECT cd.*, coalesce(b2.gamma, 1.0) AS g2, coalesce(b3.gamma, 1.0) AS g3 FROM cd LEFT JOIN bo b2 ON b2.k = 2 AND b2.hist = h2 LEFT JOIN bo b3 ON b3.k = 3 AND b3.hist = h3),
+al AS (SELECT cg.h2, cg.h3, u.w, coalesce(e3.p, g3 * coalesce(e2.p, g2 * u.p)) AS p FROM cg JOIN en u ON u.k = 1 AND u.w <> '<unk>' LEFT JOIN en e2 ON e2.k = 2 AND e2.hist = h2 AND e2.w = u.w LEFT JOIN en e3 ON e3.k = 3 AND e3.hist = h3 AND e3.w = u.w),
+tru AS (SELECT ctx.sent_id, ctx.pos, ctx.h2, ctx.h3, ctx.w, al.p FROM ctx LEFT JOIN al ON al.w = ctx.w AND al.h2 = ctx.h2 AND al.h3 IS NOT DISTINCT FROM ctx.h3),
+gq AS (SELECT tru.sent_id, tru.pos, any_value(tru.p) AS p, count(*) FILTER (al.p > tru.p * (1 + 1e-12::DOUBLE))::DOUBLE AS g, count(*) FILTER (abs(al.p - tru.p) <= tru.p * 1e-12::DOUBLE)::DOUBLE - 1 AS e FROM tru JOIN al ON al.h2 = tru.h2 AND al.h3 IS NOT DISTINCT FROM tru.h3 GROUP BY tru.sent_id, tru.pos),
+hm AS (SELECT i, sum(1.0::DOUBLE / i) OVER (ORDER BY i) AS h FROM range(1, 2000000) t(i)),
+m AS (SELECT p IS NOT NULL AS k, g, e, CASE WHEN p IS NULL THEN 0 ELSE (hb.h - coalesce(ha.h, 0)) / (e + 1) END AS rr FROM gq LEFT JOIN hm ha ON ha.i = g::BIGINT LEFT JOIN hm hb ON hb.i = (g + e + 1)::BIGINT)
+SELECT count(*) AS n, """ + ", ".join(f"round(avg(CASE WHEN k THEN least(greatest(({x} - g) / (e + 1), 0), 1) ELSE 0 END), 6) AS hit_{x}" for x in (1, 5, 10)) + ", round(avg(rr), 6) AS mrr, median(CASE WHEN k THEN g + 1 + e / 2 END) AS median_rank FROM m",
+    "source_sentence": f"""WITH {_G}, bt AS (SELECT gen_id, n, i, t FROM (SELECT *, row_number() OVER (PARTITION BY gen_id ORDER BY n DESC, i) AS r FROM gf WHERE n >= 4) WHERE r = 1),
+so AS (SELECT sent_id, tokens AS s, j, n, array_to_string(tokens[j : j + n - 1], chr(31)) AS t FROM (SELECT sent_id, tokens, unnest(range(1, len(tokens) + 1)) AS j FROM sentences), range(4, 13) x(n) WHERE j + n - 1 <= len(tokens)),
+fs AS (SELECT * FROM (SELECT bt.gen_id, bt.i, bt.n, gt.tokens AS q, sent_id, j, s, row_number() OVER (PARTITION BY bt.gen_id ORDER BY sent_id, j) AS r FROM bt JOIN gt USING (gen_id) JOIN so USING (t, n)) WHERE r = 1)
+SELECT gen_id, sent_id, (n + coalesce(list_position(list_transform(range(1, 1000), lambda x: coalesce(i - x >= 1 AND j - x >= 1 AND q[greatest(i - x, 1)] = s[greatest(j - x, 1)], false)), false), 1) - 1
++ coalesce(list_position(list_transform(range(1, 1000), lambda x: coalesce(i + n - 1 + x <= len(q) AND j + n - 1 + x <= len(s) AND q[i + n - 1 + x] = s[j + n - 1 + x], false)), false), 1) - 1)::INT AS words FROM fs""",
+}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,14 +14,19 @@ def seeded(seed: int, *key: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("long")
 
 
-def running_before(df: DataFrame, part: list[str], order: list[str], weight: Column, out: str, *, buckets: int = 64) -> DataFrame:
+def draw(seed: int, *key: object) -> float:
+    """A number from 0 to under 1: what ``seeded`` gives on the driver, as a share."""
+    return int(hashlib.md5(":".join(map(str, (seed, *key))).encode()).hexdigest()[:12], 16) / (1 << 48)
+
+
+def running_before(df: DataFrame, part: list[str], order: list[str], weight: Column, out: str, *, buckets: int = 64, bucket: Column | None = None) -> DataFrame:
     """Adds the sum of ``weight`` over the rows of the same part that come before in a hash order.
 
-    The order is by bucket of the hashed order columns, then by the columns: any fixed order does. No
-    task holds more than one bucket of one part, so a part with a third of all rows is spread; only
+    The order is by bucket of the hashed order columns, then by the columns: any fixed order does (or by
+    ``bucket``, whose numbers rise with the order columns; then it is their order). No task holds more than one bucket of one part, so a part with a third of all rows is spread; only
     the bucket totals (parts x buckets rows) meet in a window of their own.
     """
-    b = df.withColumn("_w", weight).withColumn("_b", F.pmod(F.xxhash64(*order), F.lit(buckets)))
+    b = df.withColumn("_w", weight).withColumn("_b", F.pmod(F.xxhash64(*order), F.lit(buckets)) if bucket is None else bucket)
     keys = [*part, "_b"]
     inner = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     b = b.withColumn("_in", F.coalesce(F.sum("_w").over(inner), F.lit(0)))

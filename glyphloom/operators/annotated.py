@@ -29,17 +29,19 @@ def parse_token(token: Column) -> Column:
     )
 
 
-def parsed(lines: DataFrame, value: str = "value") -> DataFrame:
+def parsed(lines: DataFrame, value: str = "value", *, strict: bool = True) -> DataFrame:
     """``lines`` with ``date, page, article, paragraph`` and ``parsed``: its tokens in order, those without a word left out.
 
-    NULL and blank lines are dropped. A line without an id raises an error, as nothing tells which article it belongs to.
+    NULL and blank lines are dropped. A line without an id raises an error, as nothing tells which article it belongs to; if not
+    ``strict`` it has NULLs there and all its pieces are tokens.
     """
     v = F.trim(F.col(value))
     rows = lines.where(F.coalesce(v, F.lit("")) != "")
     pieces = F.filter(F.split(v, r"(?U)\s+"), lambda x: x != "")
     ok = v.rlike(ID)
-    part = lambda i: F.when(ok, F.regexp_extract(v, ID, i)).otherwise(F.raise_error(F.concat(F.lit("no id in the line: "), F.left(v, F.lit(40)))))
-    out = rows.select("*", *[part(i + 1).alias(n) for i, n in enumerate(("date", "page", "article", "paragraph"))], F.transform(F.slice(pieces, 2, 1_000_000), parse_token).alias("_all"))
+    none = F.raise_error(F.concat(F.lit("no id in the line: "), F.left(v, F.lit(40)))) if strict else F.lit(None).cast("string")
+    part = lambda i: F.when(ok, F.regexp_extract(v, ID, i)).otherwise(none)
+    out = rows.select("*", *[part(i + 1).alias(n) for i, n in enumerate(("date", "page", "article", "paragraph"))], F.transform(F.slice(pieces, F.when(ok, 2).otherwise(1), F.size(pieces)), parse_token).alias("_all"))
     return out.withColumn("parsed", F.filter("_all", lambda t: t["word"] != "")).withColumn("empty_words", F.size("_all") - F.size("parsed")).drop("_all")
 
 
@@ -79,6 +81,52 @@ def profile(lines: DataFrame, value: str = "value") -> DataFrame:
     return raw.join(per)
 
 
+def full_profile(lines: DataFrame, value: str = "value") -> DataFrame:
+    """One row with what ``profile`` doesn't tell: ids missing, first and last date, pages, extra marks, tags raw and plain, slashes in words, nested and unclosed entities, lines of several sentences, entity types and the 25 most frequent tags.
+
+    An entity is open from its first word to the word that names its type; one that opens inside another is nested, one that the line doesn't close is unclosed.
+    """
+    rows = lines.where(F.trim(F.coalesce(F.col(value), F.lit(""))) != "")
+    v = F.trim(F.col(value))
+    pieces = F.filter(F.split(v, r"(?U)\s+"), lambda x: x != "")
+    ok = v.rlike(ID)
+    page = F.regexp_extract(v, ID, 2)
+    raw = F.transform(F.slice(pieces, F.when(ok, 2).otherwise(1), F.size(pieces)), lambda t: F.struct(t.alias("text"), parse_token(t).alias("t")))
+    p = rows.select(ok.alias("ok"), F.regexp_extract(v, ID, 1).alias("date"), page.alias("page"), raw.alias("_t"))
+    tagged = p.withColumn("_t", F.filter("_t", lambda x: x["t"]["tag"].isNotNull())).withColumn("_extra", F.size(F.filter(F.transform("_t", lambda x: x["text"]), lambda x: x.endswith(EXTRA))))
+    start = F.struct(F.lit(False).alias("open"), F.lit(0).alias("nested"))
+
+    def walk(state: Column, x: Column) -> Column:
+        t = x["t"]
+        return F.struct(
+            F.when(t["entity_type"].isNotNull(), F.lit(False)).otherwise(t["starts_entity"] | state["open"]).alias("open"),
+            (state["nested"] + F.when(t["starts_entity"] & state["open"], 1).otherwise(0)).alias("nested"),
+        )
+
+    slashes = lambda x: F.char_length(F.regexp_replace(F.regexp_replace(F.regexp_replace(x["text"], r"^\[+", ""), "/%$", ""), "[^/]", ""))
+    ends = lambda x: (x["t"]["tag"] == "w") & x["t"]["word"].isin(END_MARKS)
+    lined = tagged.withColumn("_s", F.aggregate("_t", start, walk))
+    per = lined.agg(
+        F.count_if(~F.col("ok")).alias("no_id"), F.min(F.when(F.col("ok"), F.col("date"))).alias("first_date"), F.max(F.when(F.col("ok"), F.col("date"))).alias("last_date"),
+        F.array_join(F.array_sort(F.collect_set(F.when(F.col("ok"), F.col("page")))), " ").alias("pages"), F.sum("_extra").cast("bigint").alias("extra_marks"),
+        F.sum(F.size(F.filter("_t", lambda x: slashes(x) > 1))).cast("bigint").alias("slash_in_word"), F.sum("_s.nested").cast("bigint").alias("nested"), F.count_if("_s.open").alias("unclosed"),
+        F.count_if(F.size(F.filter("_t", ends)) > 1).alias("multi_end_lines"),
+    )
+    tokens = tagged.select(F.explode("_t").alias("x")).select(F.substring_index("x.text", "/", -1).alias("raw"), F.col("x.t.tag").alias("tag"), F.col("x.t.entity_type").alias("type"))
+    kinds = tokens.agg(F.countDistinct("raw").alias("raw_tags"), F.countDistinct("tag").alias("plain_tags"))
+    listed = lambda d: d.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "c"))), lambda x: F.concat(x["c"], F.lit(":"), (-x["m"]).cast("string"))), " "))
+    types = listed(tokens.where("type IS NOT NULL").groupBy(F.col("type").alias("c")).agg(F.count("*").alias("n"))).toDF("entity_types")
+    top = listed(tokens.groupBy(F.col("tag").alias("c")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "c").limit(25)).toDF("top_tags")
+    return per.join(kinds).join(types).join(top)
+
+
+def plain_dialect(token: Column) -> Column:
+    """A token of another dialect as ``word, tag``: readings in braces and a final ``!`` are dropped, all tags of punctuation become ``w``."""
+    body = F.regexp_replace(F.regexp_replace(token, r"\{[^{}]*\}", ""), "!$", "")
+    t = parse_token(body)
+    return F.struct(t["word"].alias("word"), F.when(t["tag"].startswith("w"), F.lit("w")).otherwise(t["tag"]).alias("tag"))
+
+
 def tag_counts(p: DataFrame, limit: int = 25) -> DataFrame:
     """The most frequent tags; ties in the order of the tags."""
     return p.select(F.explode("parsed").alias("t")).where("t.tag IS NOT NULL").groupBy(F.col("t.tag").alias("tag")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "tag").limit(limit)

@@ -7,7 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glyphloom.functions.joins import left_lookup
 from glyphloom.operators import ngrams as ng
+from glyphloom.operators.lm import HOT
 from glyphloom.plans.materialise import cut
 
 
@@ -36,11 +38,14 @@ def profiles(model: Backoff, sentences: DataFrame, keep: list[str]) -> DataFrame
 
     None of it depends on the factors, so any factors can be tried on the same table. An unknown word has value 0.
     """
-    from glyphloom.operators.lm import events_of
-
-    e = events_of(sentences, model.words, model.order, keep)
+    e = ng.grams(sentences, model.order, keep)
     known = model.covered.withColumn("_seen", F.lit(True))
-    j = e.join(model.entries, ["k", "hist", "w"], "left").join(known, ["k", "hist"], "left")
+    # The empty history covers nothing below it; frequent words and the histories that they alone are come by broadcast.
+    frequent = model.entries.where("k = 1").orderBy(F.desc("s"), "w").limit(int(1 / HOT))
+    salt = F.xxhash64(*keep, "pos", "k")
+    j = left_lookup(e, model.entries, ["k", "hist", "w"], frequent, salt)
+    hot = known.join(F.broadcast(frequent.select(F.lit(2).alias("k"), F.col("w").alias("hist"))), ["k", "hist"]).unionByName(known.where("k = 1"))
+    j = left_lookup(j, known, ["k", "hist"], hot, salt)
     g = j.groupBy(*keep, "pos", "w").agg(F.max("k").alias("n"), F.max(F.when(F.col("s").isNotNull(), F.struct("k", "s"))).alias("m"), F.array_sort(F.collect_list(F.struct("k", F.coalesce("_seen", F.lit(False)).alias("seen"), F.coalesce("covered", F.lit(0.0)).alias("covered")))).alias("lv"))
 
     def mass(x: Column, i: Column) -> Column:

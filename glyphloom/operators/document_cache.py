@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,9 +12,12 @@ def cached(events: DataFrame, article: str, order: list[str], decay: float | Non
     """``events`` with ``pc, has, seen``: cache probability of the event's word, whether the cache holds anything, whether it holds the word.
 
     ``events`` has w and oov. The cache holds the article's earlier known words and sentence ends;
-    unknown ones don't enter it but move the distance on. With a decay a word counts decay^distance. Weights are
-    grown instead of shrunk, from 1 at the last place of a block of places, so no power overflows. One article is one window.
+    unknown ones don't enter it but move the distance on. With a decay (between 0 and 1, else ValueError) a word counts decay^distance.
+    Weights grow from the start of a block of places to at most 1e200; the block's length follows from the decay, so that no power
+    overflows and even a long article has few blocks. One article is one window.
     """
+    if decay is not None and not 0 < decay < 1:
+        raise ValueError("a decay lies between 0 and 1")
     w = Window.partitionBy(article).orderBy(*order)
     past = w.rowsBetween(Window.unboundedPreceding, -1)
     own = Window.partitionBy(article, "w").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
@@ -22,8 +27,8 @@ def cached(events: DataFrame, article: str, order: list[str], decay: float | Non
         e = e.withColumn("_x", known)
         total, mine = F.sum("_x").over(past), F.sum("_x").over(own)
     else:
-        # log-sum by blocks: sums are kept relative to the block of the current place.
-        block = 2048
+        # Sums are kept relative to the block of the current place.
+        block = max(1, int(200 * math.log(10) / -math.log(decay)))
         e = e.withColumn("_b", F.floor((F.col("_i") - 1) / block)).withColumn("_x", known * F.pow(F.lit(1 / decay), F.col("_i") - F.col("_b") * block))
         in_block = Window.partitionBy(article, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
         own_block = Window.partitionBy(article, "w", "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)

@@ -1,94 +1,187 @@
-"""Back-off language models of any order as two relations, and the longest-match scorer.
+"""Back-off language models of any order as relations.
 
-``entries``: k, hist, w, p (the interpolated probability of an n-gram that was seen);
-``backoff``: k, hist, gamma (what a history leaves to the next lower order).
+A trained model is two tables: ``counted`` (k, hist, w with raw and adjusted counts) and ``stats`` (what a
+history's followers add up to and what it leaves to the next lower order). Interpolated probabilities
+are sums over the orders, so events are scored from these two tables alone; ``entries`` and
+``backoff``, the usual form of a model (the interpolated probability of each n-gram seen, and the weight
+of each history), are only built where the model itself is wanted.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property, reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glyphloom.functions.joins import left_lookup
 from glyphloom.operators import ngrams as ng
 from glyphloom.plans.materialise import cut
 
+#: A history or n-gram with more than this share of all training words is hot; an order has at most 1 / HOT of them.
+HOT = 0.001
+
 
 @dataclass
 class Model:
+    """A model given by its entries, as read from a file or quantised."""
+
     order: int
     entries: DataFrame
     backoff: DataFrame
     words: DataFrame  # w: the words that aren't out of vocabulary
 
 
-def _pruned(a: DataFrame, c: DataFrame, thresholds: list[int]) -> DataFrame:
-    """``a`` with ``kept``: whether the raw count is above the order's threshold (the last one holds for higher orders)."""
-    limit = F.element_at(F.array(*[F.lit(t) for t in thresholds]), F.least(F.col("k"), F.lit(len(thresholds))))
-    return a.join(c, ["k", "hist", "w"]).withColumn("kept", F.col("c") > limit).drop("c")
-
+@dataclass
+class Trained:
+    """``counted``: k, hist, w, c, a, kept; ``stats``: k, hist, n, denom, types, gamma; discounts per order (none for Witten-Bell); words with the sentence end and the unknown one; weight and total of order 1."""
 
-def train(sentences: DataFrame, order: int, *, method: str = "modified", prune: list[int] | None = None, fallback: tuple[float, float, float] | None = (0.5, 1.0, 1.5)) -> Model:
+    order: int
+    counted: DataFrame
+    stats: DataFrame
+    discounts: dict[int, tuple[float, float, float]] | None
+    size: int
+    total: int
+    first: tuple[float, float, float]  # denom, types and gamma of the empty history
+
+    def own(self, a: Column, denom: Column, types: Column) -> Column:
+        """An n-gram's discounted share of its history."""
+        if self.discounts is None:
+            return a / (denom + types)
+        return (a - _discount(self.discounts, a)) / denom
+
+    @property
+    def hot_stats(self) -> DataFrame:
+        """The empty history and those that more than HOT of all words follow; at most 1 / HOT an order."""
+        return self.stats.where((F.col("k") == 1) | (F.col("n") > self.total * HOT))
+
+    @property
+    def words(self) -> DataFrame:
+        return self.counted.where("k = 1").select("w")
+
+    @property
+    def backoff(self) -> DataFrame:
+        return self.stats.select("k", "hist", "gamma")
+
+    @cached_property
+    def entries(self) -> DataFrame:
+        """``k, hist, w, p``, order by order: each one's discounted share, and its history's weight times the next lower order's p."""
+        s = self.stats.select("k", "hist", "denom", "types", "gamma")
+        seen = self.counted.where("kept AND k > 1").join(s.where("k > 1"), ["k", "hist"])
+        seen = cut(seen.select("k", "hist", "w", self.own(F.col("a"), F.col("denom"), F.col("types")).alias("own"), "gamma"))
+        spark = self.counted.sparkSession
+        denom, types, gamma = self.first
+        one = self.counted.where("kept AND k = 1").select("k", "hist", "w", self.own(F.col("a"), F.lit(denom), F.lit(types)).alias("own"))
+        unknown = spark.createDataFrame([(1, "", ng.UNK, 0.0)], "k int, hist string, w string, own double")
+        level = cut(one.unionByName(unknown).select("k", "hist", "w", (F.col("own") + gamma / self.size).alias("p")))
+        out = level
+        for k in range(2, self.order + 1):
+            lower = level.select(F.col("hist").alias("_h"), "w", F.col("p").alias("_p"))
+            at = seen.where(F.col("k") == k).withColumn("_h", ng.suffix(F.col("hist")))
+            level = cut(at.join(lower, ["_h", "w"]).select("k", "hist", "w", (F.col("own") + F.col("gamma") * F.col("_p")).alias("p")))
+            out = out.unionByName(level)
+        return out
+
+
+def _discount(discounts: dict[int, tuple[float, float, float]], a: Column) -> Column:
+    own = F.element_at(F.array(*[F.array(*[F.lit(x) for x in discounts[k]]) for k in sorted(discounts)]), F.col("k"))
+    return F.element_at(own, F.least(a, F.lit(3)).cast("int"))
+
+
+def train(sentences: DataFrame, order: int, *, method: str = "modified", prune: list[int] | None = None, fallback: tuple[float, float, float] | None = (0.5, 1.0, 1.5)) -> Trained:
     """Interpolated modified or original Kneser-Ney, or recursive Witten-Bell ('witten_bell'), of orders 1..order.
 
     Pruning drops n-grams whose raw count is at most the order's threshold and gives their discounted
-    mass to the back-off weight, so every history's probabilities still sum to one.
+    mass to the back-off weight, so every history's probabilities still sum to one. Two tables are
+    written; one row an order comes to the driver.
     """
-    c = cut(ng.counts(sentences, order))
-    a = c.withColumnRenamed("c", "a") if method == "witten_bell" else cut(ng.adjusted(c, order))
-    stats = ng.history_stats(a)
+    limits = (prune or [0])[: order]
+    limit = F.element_at(F.array(*[F.lit(t) for t in limits]), F.least(F.col("k"), F.lit(len(limits))))
+    both = ng.both_counts(sentences, order)
     if method == "witten_bell":
-        stats = stats.withColumn("gamma", F.col("types") / (F.col("denom") + F.col("types")))
-        own = F.col("a") / (F.col("denom") + F.col("types"))
-        seen = a.join(stats.select("k", "hist", "denom", "types"), ["k", "hist"]).select("k", "hist", "w", own.alias("own"))
+        both = both.withColumn("a", F.col("c"))
+    counted = cut(both.withColumn("kept", F.col("c") > limit))
+    per = {r["k"]: r for r in ng.counts_of_counts(counted).join(counted.groupBy("k").agg(F.count("*").alias("types"), F.sum("c").alias("total")), "k").collect()}
+    discounts = None
+    if method != "witten_bell":
+        coc = counted.sparkSession.createDataFrame([(k, *[r[f"n{i}"] for i in (1, 2, 3, 4)]) for k, r in per.items()], "k int, n1 bigint, n2 bigint, n3 bigint, n4 bigint")
+        d = ng.modified_discounts(coc, fallback) if method == "modified" else ng.original_discount(coc)
+        discounts = {r["k"]: (r["d1"], r["d2"], r["d3"]) for r in d.collect()}
+        for k in range(1, order + 1):
+            discounts.setdefault(k, (0.5, 1.0, 1.5))  # an order that no sentence is long enough for
+    a, gone = F.col("a"), ~F.col("kept")
+    size = lambda which: [F.sum(F.when(which, a).otherwise(0)), F.count_if(which & (a == 1)), F.count_if(which & (a == 2)), F.count_if(which & (a >= 3))]
+    names = [f"{side}{i}" for side in ("b", "g") for i in range(4)]
+    sums = [x.alias(n) for x, n in zip(size(F.lit(True)) + size(gone), names, strict=True)]
+    s = counted.groupBy("k", "hist").agg(F.sum("c").alias("n"), F.count("*").alias("types"), *sums)
+    denom, types = F.col("b0").cast("double"), F.col("types").cast("double")
+    if discounts is None:
+        gamma = (types + F.col("g0")) / (denom + types)
     else:
-        coc = ng.counts_of_counts(a)
-        d = F.broadcast(ng.modified_discounts(coc, fallback) if method == "modified" else ng.original_discount(coc))  # one row an order
-        stats = stats.join(d, "k").withColumn("gamma", (F.col("d1") * F.col("b1") + F.col("d2") * F.col("b2") + F.col("d3") * F.col("b3")) / F.col("denom"))
-        own = F.greatest(F.col("a") - ng.discount(F.col("a")), F.lit(0.0)) / F.col("denom")
-        seen = a.join(d, "k").join(stats.select("k", "hist", "denom"), ["k", "hist"]).select("k", "hist", "w", own.alias("own"))
-    backoff = stats.select("k", "hist", "gamma")
-    if prune and any(prune):
-        seen = cut(_pruned(seen, c, prune))
-        lost = seen.where(~F.col("kept")).groupBy("k", "hist").agg(F.sum("own").alias("lost"))
-        backoff = backoff.join(lost, ["k", "hist"], "left").select("k", "hist", (F.col("gamma") + F.coalesce("lost", F.lit(0.0))).alias("gamma"))
-        seen = seen.where("kept").drop("kept")
-    backoff, seen = cut(backoff), cut(seen)
-    words = cut(sentences.select(F.explode("tokens").alias("w")).distinct().unionByName(sentences.sparkSession.createDataFrame([(ng.EOS,)], "w string")))
-    size = words.count() + 1
-    gamma1 = F.broadcast(backoff.where("k = 1").select(F.col("gamma").alias("g1")))  # one row
-    unk = sentences.sparkSession.createDataFrame([(1, "", ng.UNK, 0.0)], "k int, hist string, w string, own double")
-    level = cut(seen.where("k = 1").unionByName(unk).join(gamma1).select("k", "hist", "w", (F.col("own") + F.col("g1") / size).alias("p")))
-    entries = level
-    for k in range(2, order + 1):
-        lower = level.select(F.col("hist").alias("_h"), "w", F.col("p").alias("_p"))
-        at = seen.where(F.col("k") == k).withColumn("_h", ng.suffix(F.col("hist"))).join(backoff.where(F.col("k") == k).drop("k"), "hist")
-        level = cut(at.join(lower, ["_h", "w"]).select("k", "hist", "w", (F.col("own") + F.col("gamma") * F.col("_p")).alias("p")))
-        entries = entries.unionByName(level)
-    return Model(order, entries, backoff, words)
-
-
-def events_of(sentences: DataFrame, words: DataFrame, order: int, keep: list[str]) -> DataFrame:
-    """``keep, pos, k, hist, w, oov``: every event with its histories; unknown words are ``<unk>`` and match nothing as context."""
-    key = keep[0]
-    known = ng.restricted(sentences.select(*keep, "tokens"), words, ng.UNK, key)
-    e = ng.grams(known, order, keep)
-    return e.withColumn("oov", F.col("w") == ng.UNK)
-
-
-def scores(model: Model, sentences: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep, pos, w, oov, p, match``: probability by the longest match and the back-off weights above it.
-
-    All orders of an event are looked up in one join on (k, hist, w) and one on (k, hist), and meet
-    again in an aggregate of at most ``order`` rows an event. A history that was never seen weighs 1.
+        of = [F.element_at(F.array(*[F.lit(discounts[k][i]) for k in range(1, order + 1)]), F.col("k")) for i in range(3)]
+        weight = lambda side: reduce(Column.__add__, [of[i] * F.col(f"{side}{i + 1}") for i in range(3)])
+        # What discounts take from all n-grams, and what pruned ones leave of themselves.
+        gamma = (weight("b") + F.col("g0") - weight("g")) / denom
+    stats = cut(s.select("k", "hist", "n", denom.alias("denom"), types.alias("types"), gamma.alias("gamma")))
+    one = stats.where("k = 1").first()
+    first = (one["denom"], one["types"], one["gamma"]) if one else (1.0, 0.0, 1.0)
+    known = per[1] if 1 in per else {"types": 0, "total": 0}
+    return Trained(order, counted, stats, discounts, known["types"] + 1, known["total"], first)
+
+
+def scores(model: Trained | Model, sentences: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep, pos, w, oov, p, match``: probability of every event, and the longest order that has it as an entry.
+
+    All orders of an event are looked up in one join on (k, hist, w) and one on (k, hist), hot ones by
+    broadcast, and meet again in an aggregate of at most ``order`` rows an event. A history that was
+    never seen weighs 1 and adds nothing. Unknown words are ``<unk>`` and match nothing.
     """
-    e = events_of(sentences, model.words, model.order, keep)
-    found = e.join(model.entries, ["k", "hist", "w"], "left").join(model.backoff, ["k", "hist"], "left")
-    all_ = F.collect_list(F.struct("k", "p", "gamma"))
-    best = found.groupBy(*keep, "pos", "w", "oov").agg(F.max(F.when(F.col("p").isNotNull(), F.struct("k", "p"))).alias("_m"), all_.alias("_all"))
-    weight = F.aggregate(F.filter("_all", lambda x: x["k"] > F.col("_m.k")), F.lit(1.0), lambda acc, x: acc * F.coalesce(x["gamma"], F.lit(1.0)))
-    return best.select(*keep, "pos", "w", "oov", (F.col("_m.p") * weight).alias("p"), F.col("_m.k").alias("match"))
+    e = ng.grams(sentences, model.order, keep)
+    if isinstance(model, Model):
+        return _by_match(model, e, keep)
+    salt = F.xxhash64(*keep, "pos", "k")
+    entries = model.counted.select("k", "hist", "w", "c", "a", "kept")
+    often = model.total * HOT
+    found = left_lookup(e, entries, ["k", "hist", "w"], entries.where(F.col("c") > often), salt)
+    # Order 1 has one history, known to the driver; its rows look nothing up.
+    denom, types, gamma = model.first
+    looked = found.withColumn("_h", F.when(F.col("k") == 1, F.concat(F.lit("\0"), salt.cast("string"))).otherwise(F.col("hist")))
+    table = model.stats.where("k > 1").withColumnRenamed("hist", "_h")
+    found = left_lookup(looked, table, ["k", "_h"], table.where(F.col("n") > often), salt)
+    at_one = F.col("k") == 1
+    own = F.when(F.col("kept"), model.own(F.col("a"), F.when(at_one, F.lit(denom)).otherwise(F.col("denom")), F.when(at_one, F.lit(types)).otherwise(F.col("types"))))
+    rows = found.select(*keep, "pos", "w", "k", own.alias("own"), F.when(at_one, F.lit(gamma)).otherwise(F.col("gamma")).alias("gamma"), F.col("c").isNotNull().alias("known"))
+    of = lambda k, c: F.max(F.when(F.col("k") == k, F.col(c)))
+    wide = [of(k, c).alias(f"_{c}{k}") for k in range(1, model.order + 1) for c in ("own", "gamma")]
+    g = rows.groupBy(*keep, "pos", "w").agg(*wide, of(1, "known").alias("_known"), F.max(F.when(F.col("own").isNotNull(), F.col("k"))).alias("_match"))
+    p = F.coalesce(F.col("_own1"), F.lit(0.0)) + F.col("_gamma1") / model.size
+    for k in range(2, model.order + 1):
+        p = F.coalesce(F.col(f"_own{k}"), F.lit(0.0)) + F.coalesce(F.col(f"_gamma{k}"), F.lit(1.0)) * p
+    oov = ~F.col("_known")
+    return g.select(*keep, "pos", F.when(oov, F.lit(ng.UNK)).otherwise(F.col("w")).alias("w"), oov.alias("oov"), p.alias("p"), F.coalesce("_match", F.lit(1)).alias("match"))
+
+
+def _by_match(model: Model, events: DataFrame, keep: list[str]) -> DataFrame:
+    """The scores from entries and weights: the longest match, times the weights above it."""
+    salt = F.xxhash64(*keep, "pos", "k")
+    one = model.entries.where("k = 1")
+    unknown = one.where(F.col("w") == ng.UNK).first()
+    frequent = one.orderBy(F.desc("p"), "w").limit(int(1 / HOT))
+    found = left_lookup(events, model.entries, ["k", "hist", "w"], frequent, salt)
+    w0 = model.backoff.where("k = 1").first()
+    looked = found.withColumn("_h", F.when(F.col("k") == 1, F.concat(F.lit("\0"), salt.cast("string"))).otherwise(F.col("hist")))
+    table = model.backoff.where("k > 1").withColumnRenamed("hist", "_h")
+    words = frequent.select(F.lit(2).alias("k"), F.col("w").alias("_h"))
+    found = left_lookup(looked, table, ["k", "_h"], table.join(F.broadcast(words), ["k", "_h"]), salt)
+    gamma = F.when(F.col("k") == 1, F.lit(w0["gamma"] if w0 else 1.0)).otherwise(F.coalesce("gamma", F.lit(1.0)))
+    rows = found.select(*keep, "pos", "w", "k", "p", gamma.alias("gamma"))
+    g = rows.groupBy(*keep, "pos", "w").agg(F.max(F.when(F.col("p").isNotNull(), F.struct("k", "p"))).alias("_m"), F.collect_list(F.struct("k", "gamma")).alias("_all"))
+    oov = F.col("_m").isNull()
+    match = F.coalesce(F.col("_m.k"), F.lit(1))
+    weight = F.aggregate(F.filter("_all", lambda x: x["k"] > match), F.lit(1.0), lambda acc, x: acc * x["gamma"])
+    p = F.coalesce(F.col("_m.p"), F.lit(unknown["p"] if unknown else 0.0))
+    return g.select(*keep, "pos", F.when(oov, F.lit(ng.UNK)).otherwise(F.col("w")).alias("w"), oov.alias("oov"), (p * weight).alias("p"), match.alias("match"))
 
 
 def summary(scored: DataFrame, by: list[str] | None = None, digits: int = 4) -> DataFrame:
@@ -110,11 +203,11 @@ def matched_orders(scored: DataFrame) -> DataFrame:
     return scored.where(~F.col("oov")).groupBy("match").agg(F.count("*").alias("events"))
 
 
-def entry_counts(model: Model) -> DataFrame:
+def entry_counts(model: Trained | Model) -> DataFrame:
     return model.entries.groupBy("k").agg(F.count("*").alias("entries"))
 
 
-def mass(model: Model, histories: DataFrame) -> DataFrame:
+def mass(model: Trained | Model, histories: DataFrame) -> DataFrame:
     """``hist, mass``: sum of P(w | hist) over all words for a stated set of full histories (column hist, words joined by SEP); 1 for a proper model.
 
     Only the entries of a history and its suffixes differ from scaled lower orders, so the sum
@@ -146,7 +239,7 @@ def _products(weights: DataFrame) -> DataFrame:
     return weights.select("_full", "k").join(f, ["_full", "k"], "left").select("_full", "k", F.coalesce("f", F.lit(1.0)).alias("f"))
 
 
-def quantised(model: Model, bits: int = 8) -> Model:
+def quantised(model: Trained | Model, bits: int = 8) -> Model:
     """The model with probabilities and back-off weights replaced by the means of 2^bits equal-sized bins per order."""
     bins = 1 << bits
 

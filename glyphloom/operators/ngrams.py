@@ -54,6 +54,18 @@ def counts(sentences: DataFrame, order: int, tokens: str = "tokens") -> DataFram
     return grams(sentences, order, tokens=tokens).groupBy("k", "hist", "w").agg(F.count("*").alias("c"))
 
 
+def both_counts(sentences: DataFrame, order: int, tokens: str = "tokens") -> DataFrame:
+    """``k, hist, w, c, a``: raw and adjusted counts of every n-gram in two aggregates.
+
+    Each counted n-gram adds its count to itself and one distinct left word to the n-gram without its first word.
+    """
+    c = counts(sentences, order, tokens)
+    shorter = c.where((F.col("k") > 1)).select((F.col("k") - 1).alias("k"), suffix(F.col("hist")).alias("hist"), "w", F.lit(0).cast("bigint").alias("c"), F.lit(1).cast("bigint").alias("_left"))
+    every = c.withColumn("_left", F.lit(0).cast("bigint")).unionByName(shorter).groupBy("k", "hist", "w").agg(F.sum("c").alias("c"), F.sum("_left").alias("_left"))
+    raw = (F.col("k") == order) | ((F.col("k") > 1) & (first_word(F.col("hist")) == BOS))
+    return every.select("k", "hist", "w", "c", F.when(raw, F.col("c")).otherwise(F.col("_left")).alias("a"))
+
+
 def adjusted(c: DataFrame, order: int) -> DataFrame:
     """``k, hist, w, a``: raw counts at the highest order and after ``<s>``, else the number of distinct words to the left."""
     raw = c.where((F.col("k") == order) | ((F.col("k") > 1) & (first_word(F.col("hist")) == BOS))).select("k", "hist", "w", F.col("c").alias("a"))
@@ -103,10 +115,10 @@ def vocabulary(sentences: DataFrame, tokens: str = "tokens") -> DataFrame:
 
 
 def restricted(sentences: DataFrame, words: DataFrame, other: str, key: str, tokens: str = "tokens") -> DataFrame:
-    """``sentences`` with every token that ``words`` (column w) doesn't have replaced by ``other``; a shuffle join, so any size of vocabulary works."""
+    """``sentences`` with every token that ``words`` (column w) doesn't have replaced by ``other``; a shuffle join, so any size of vocabulary works. Rows with an equal ``key`` stay apart."""
     rest = [c for c in sentences.columns if c not in (key, tokens)]
-    e = sentences.select(key, *rest, F.posexplode_outer(tokens).alias("_p", "_w"))
+    e = sentences.select(key, *rest, F.monotonically_increasing_id().alias("_row"), tokens).select(key, *rest, "_row", F.posexplode_outer(tokens).alias("_p", "_w"))
     known = words.select(F.col("w").alias("_w"), F.lit(True).alias("_in")).distinct()
     mapped = e.join(known, "_w", "left").withColumn("_w", F.when(F.col("_in"), F.col("_w")).when(F.col("_w").isNotNull(), F.lit(other)))
     whole = F.transform(F.array_sort(F.collect_list(F.when(F.col("_p").isNotNull(), F.struct("_p", "_w")))), lambda x: x["_w"])
-    return mapped.groupBy(key, *rest).agg(whole.alias(tokens))
+    return mapped.groupBy("_row", key, *rest).agg(whole.alias(tokens)).drop("_row")

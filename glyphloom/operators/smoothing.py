@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glyphloom.functions.joins import left_lookup
 from glyphloom.operators import ngrams as ng
+from glyphloom.operators.lm import HOT
 from glyphloom.plans.materialise import cut
 
 
@@ -15,19 +17,21 @@ def event_statistics(train: DataFrame, events: DataFrame, keys: list[str], fallb
     Columns c1..c3, d2, d3, t2, t3 (raw counts, history totals, distinct followers), a1..a3 and their
     histories' totals z1..z3 and discounted masses g1..g3, the discounted counts e1..e3, and V, N, types, total_a, gamma_1.
     """
-    c = cut(ng.counts(train, 3))
-    a = cut(ng.adjusted(c, 3))
-    d = F.broadcast(ng.modified_discounts(ng.counts_of_counts(a), fallback))  # three rows
-    raw = ng.history_stats(c, "c").select("k", "hist", F.col("denom").alias("rd"), F.col("types").alias("rt"))
-    adj = ng.history_stats(a).join(d, "k").select("k", "hist", F.col("denom").alias("z"), ((F.col("d1") * F.col("b1") + F.col("d2") * F.col("b2") + F.col("d3") * F.col("b3")) / F.col("denom")).alias("g"))
-    cut_a = a.join(d, "k").select("k", "hist", "w", F.col("a"), F.greatest(F.col("a") - ng.discount(F.col("a")), F.lit(0.0)).alias("e"))
-    row = events.join(c, ["k", "hist", "w"], "left").join(cut_a, ["k", "hist", "w"], "left").join(raw.join(adj, ["k", "hist"]), ["k", "hist"], "left")
+    counted = cut(ng.both_counts(train, 3))
+    total = counted.where("k = 1").agg(F.sum("c").alias("N"), F.count("*").alias("types")).withColumn("V", F.col("types") + 1)  # one row
+    often = (total.first()["N"] or 0) * HOT
+    d = F.broadcast(ng.modified_discounts(ng.counts_of_counts(counted), fallback))  # three rows
+    sums = counted.groupBy("k", "hist").agg(F.sum("c").alias("rd"), F.count("*").alias("rt"), F.sum("a").alias("z"), *[F.count_if(x).alias(f"b{i + 1}") for i, x in enumerate((F.col("a") == 1, F.col("a") == 2, F.col("a") >= 3))])
+    stats = cut(sums.join(d, "k").select("k", "hist", "rd", "rt", "z", ((F.col("d1") * F.col("b1") + F.col("d2") * F.col("b2") + F.col("d3") * F.col("b3")) / F.col("z")).alias("g")))
+    entries = counted.join(d, "k").select("k", "hist", "w", "c", F.greatest(F.col("a") - ng.discount(F.col("a")), F.lit(0.0)).alias("e"))
+    salt = F.xxhash64(*keys, "pos", "k")
+    row = left_lookup(events, entries, ["k", "hist", "w"], entries.where(F.col("c") > often), salt)
+    row = left_lookup(row, stats, ["k", "hist"], stats.where((F.col("k") == 1) | (F.col("rd") > often)), salt)
     pick = lambda col, k, zero: F.coalesce(F.max(F.when(F.col("k") == k, F.col(col))), F.lit(zero))
     wide = []
     for k in (1, 2, 3):
         wide += [pick("c", k, 0).alias(f"c{k}"), pick("rd", k, 0).alias(f"d{k}"), pick("rt", k, 0).alias(f"t{k}"), pick("e", k, 0.0).alias(f"e{k}"), pick("z", k, 0).alias(f"z{k}"), pick("g", k, 0.0).alias(f"g{k}")]
-    total = c.where("k = 1").agg(F.sum("c").alias("N"), F.count("*").alias("types")).withColumn("V", F.col("types") + 1)  # one row
-    uni = adj.where("k = 1").select(F.col("z").alias("total_a"), F.col("g").alias("gamma_1"))  # one row
+    uni = stats.where("k = 1").select(F.col("z").alias("total_a"), F.col("g").alias("gamma_1"))  # one row
     out = row.groupBy(*keys, "pos", "w").agg(*wide, F.max("k").alias("context"))
     return out.join(F.broadcast(total)).join(F.broadcast(uni))
 

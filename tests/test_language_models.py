@@ -2,11 +2,12 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from glyphloom.catalog import text
-from glyphloom.operators import backoff, decoding, document_cache, evaluation, lm, overlap, sampling, smoothing, tuning
+from glyphloom.operators import backoff, decoding, document_cache, evaluation, lm, overlap, sampling, smoothing, splitting, tuning
 from glyphloom.operators import ngrams as ng
 from glyphloom.sources import arpa
 
@@ -18,6 +19,29 @@ def train(spark):
     return spark.createDataFrame([(i, t.split()) for i, t in enumerate(TEXT)], "sent_id bigint, tokens array<string>").cache()
 
 
+class Whole:
+    """A model in memory, by its definition: the longest entry, times the weights of the longer histories."""
+
+    def __init__(self, model):
+        self.order = model.order
+        self.p = {(r["k"], r["hist"], r["w"]): r["p"] for r in model.entries.collect()}
+        self.gamma = {(r["k"], r["hist"]): r["gamma"] for r in model.backoff.collect()}
+        self.words = sorted(w for k, _, w in self.p if k == 1 and w != "<unk>")
+        self.ids = {w: i for i, w in enumerate(self.words)}
+
+    def probability(self, context, w):
+        f = 1.0
+        for k in range(min(self.order, len(context) + 1), 0, -1):
+            h = ng.SEP.join(context[len(context) - k + 1 :])
+            if (k, h, w) in self.p:
+                return f * self.p[k, h, w]
+            f *= self.gamma.get((k, h), 1.0) if k > 1 else 1.0
+        return f * self.p[1, "", "<unk>"]
+
+    def distribution(self, context):
+        return np.array([self.probability(context, w) for w in self.words])
+
+
 def test_counts_and_adjusted_counts(spark, train):
     c = {(r["k"], r["hist"], r["w"]): r["c"] for r in ng.counts(train, 3).collect()}
     expected = Counter()
@@ -57,7 +81,7 @@ def test_general_model_is_the_trigram_formula(spark, train):
     test = spark.createDataFrame([(1, "the cat saw a bird".split()), (2, []), (3, None)], "sent_id bigint, tokens array<string>")
     m = lm.train(train, 3)
     a = {(r["sent_id"], r["pos"]): r["p"] for r in lm.scores(m, test, ["sent_id"]).collect()}
-    e = lm.events_of(test, m.words, 3, ["sent_id"]).drop("oov")
+    e = ng.grams(test, 3, ["sent_id"])
     b = {(r["sent_id"], r["pos"]): r["p"] for r in smoothing.event_statistics(train, e, ["sent_id"]).select("sent_id", "pos", smoothing.p_kneser_ney().alias("p")).collect()}
     assert a.keys() == b.keys() and len(a) == 8
     for k in a:
@@ -132,7 +156,7 @@ def test_ranks_with_ties(spark, train):
     assert (r["hit_1"], r["hit_5"], r["rank"]) == (0, 1, 3) and r["rr"] == pytest.approx((1 / 2 + 1 / 3 + 1 / 4) / 3)
     model = lm.train(train, 3)
     test = spark.createDataFrame([(1, "the cat sat on the log".split())], "sent_id bigint, tokens array<string>")
-    state = decoding.Lookup(*decoding.gathered(model))
+    state = Whole(model)
     got = {r["pos"]: (r["greater"], r["equal"]) for r in evaluation.ranks(model, test, "sent_id").collect()}
     s = ["<s>", *"the cat sat on the log".split(), "</s>"]
     for i in range(1, len(s)):
@@ -152,25 +176,137 @@ def test_power_law_and_bootstrap(spark):
 
 def test_decoding_policies(spark, train):
     m = lm.train(train, 3)
-    state = decoding.Lookup(*decoding.gathered(m))
-    greedy = decoding.decode(state, ["the"], "greedy", 1, 0, 1.0, 1, 20)[0]
-    assert greedy == max(decoding.beam(state, ["the"], 1, 20), key=lambda c: c[0])[1]
-    p = state.distribution(["<s>", "the"])
-    assert p.sum() == pytest.approx(1 - m.entries.where("w = '<unk>'").first()["p"] * 0, abs=0.2)
-    assert decoding.transform(p, 1.0, 2, 1.0)[1].size == 2
-    q = __import__("numpy").array([0.5, 0.25, 0.125, 0.125])
-    assert decoding.entropy(decoding.transform(q, decoding.temperature_for(q, 1.5))[1]) == pytest.approx(1.5, abs=1e-4)
-    index = decoding.copy_index(train, size=1 << 16)
-    assert decoding.copy_run(index, "x on the mat".split()) == 3 and decoding.copy_run(index, ["mat", "mat"]) == 0
-    runs = spark.createDataFrame([(["the"], "anticopy", 3.0, 0, 1.0, 5), (["the"], "beam", 3.0, 0, 1.0, 5), (["the"], "entropy", 1.0, 0, 0.9, 5)], "prompt array<string>, policy string, value double, top_k int, top_p double, seed int")
-    assert decoding.generated(runs, m, known=index).count() == 3
+    whole = Whole(m)
+    known = decoding.training_runs(train)
+    assert decoding.copied_tails(known, [["x", "on", "the", "mat"], ["mat", "mat"], [], ["the"]]) == [3, 0, 0, 0]
+    settings = [("greedy", 1.0, 0, 1.0), ("beam", 1.0, 0, 0.0), ("beam", 3.0, 0, 0.0), ("fixed", 0.8, 5, 0.9), ("anticopy", 3.0, 0, 1.0), ("entropy", 1.0, 0, 1.0)]
+    runs = spark.createDataFrame([(i, ["the"], p, v, k, t, 5) for i, (p, v, k, t) in enumerate(settings)], "steps_of int, prompt array<string>, policy string, value double, top_k int, top_p double, seed int")
+    got = {r["steps_of"]: r for r in decoding.generated(runs, m, longest=12, known=known).collect()}
+    assert decoding.generated(runs.limit(0), m).count() == 0
+
+    def walk(policy, value, top_k, top_p):
+        context, out = ["<s>", "the"], []
+        for step in range(12):
+            p = whole.distribution(context)
+            t = value
+            if policy == "anticopy":
+                tail = (["the"] + out)[-len(out) - 1 :]
+                run = max([n for n in range(2, len(tail) + 1) if any(tail[-n:] == x.split()[i : i + n] for x in TEXT for i in range(len(x.split())))], default=0)
+                t = 1.3 if run >= value else 0.7
+            if policy == "entropy":
+                t = decoding.temperature_for(p / p.sum(), value)
+            order, q = (np.argsort(-p, kind="stable")[:1], np.ones(1)) if policy == "greedy" else decoding.reshape(p, t, top_k, top_p)
+            w = whole.words[order[min(np.searchsorted(np.cumsum(q), decoding.draw(5, step), side="right"), len(q) - 1)]]
+            if w == "</s>":
+                return out, True
+            out.append(w)
+            context.append(w)
+        return out, False
+
+    for i in (0, 3, 4, 5):
+        assert (got[i]["tokens"], got[i]["hit_eos"]) == walk(*settings[i])
+        context = ["<s>", "the"]
+        for x in got[i]["steps"]:
+            assert x["p"] == pytest.approx(whole.probability(context, x["word"]))
+            context.append(x["word"])
+    assert got[1]["tokens"] == got[0]["tokens"]
+    # A beam over everything that can be said in that many words.
+    live, done = [(0.0, [])], []
+    for _ in range(12):
+        step = sorted(((s + math.log10(p), [*t, w]) for s, t in live for w, p in zip(whole.words, whole.distribution(["<s>", "the", *t]), strict=True)), key=lambda c: -c[0])
+        live = []
+        for c in step:
+            if len(live) < 3:
+                (done if c[1][-1] == "</s>" else live).append(c)
+    best = max(done + live, key=lambda c: c[0])
+    assert math.log10(got[2]["steps"][0]["p"]) == pytest.approx(best[0])
+
+
+def test_shapes_of_a_distribution():
+    p = np.array([0.5, 0.3, 0.15, 0.05])
+    assert decoding.reshape(p, top_k=2)[1] == pytest.approx([0.625, 0.375])
+    assert len(decoding.reshape(p, top_p=0.75)[0]) == 2 and len(decoding.reshape(p, top_p=0.9)[0]) == 3
+    assert decoding.reshape(p, 0.5)[1] == pytest.approx(p * p / (p * p).sum())
+    rng = np.random.default_rng(3)
+    for n in (2, 7, 300):
+        q = rng.dirichlet(np.full(n, 0.3))
+        for bits in (0.2, 0.6 * np.log2(n), np.log2(n) + 1, 0.0):
+            t = decoding.temperature_for(q, bits)
+            h = decoding.entropy(decoding.reshape(q, t)[1])
+            assert h == pytest.approx(bits, abs=1e-6) or (t == decoding.HOTTEST and h < bits) or (t == decoding.COLDEST and h > bits)
+
+
+def test_scores_by_sums_equal_scores_by_longest_match(spark, train):
+    test = spark.createDataFrame([(1, "the cat sat on a zebra".split()), (2, []), (3, None), (4, ["zebra"])], "sent_id bigint, tokens array<string>")
+    for method, prune in (("modified", None), ("modified", [0, 0, 1]), ("original", None), ("witten_bell", [0, 1, 1])):
+        m = lm.train(train, 3, method=method, prune=prune)
+        a = {(r["sent_id"], r["pos"]): r for r in lm.scores(m, test, ["sent_id"]).collect()}
+        b = {(r["sent_id"], r["pos"]): r for r in lm.scores(lm.Model(3, m.entries, m.backoff, m.words), test, ["sent_id"]).collect()}
+        assert set(a) == set(b) and len(a) == 11
+        for k in a:
+            assert a[k]["p"] == pytest.approx(b[k]["p"]) and (a[k]["oov"], a[k]["match"], a[k]["w"]) == (b[k]["oov"], b[k]["match"], b[k]["w"])
+        whole = Whole(m)
+        s = ["<s>", *"the cat sat on a zebra".split(), "</s>"]
+        for j in range(1, len(s)):
+            assert a[1, j - 1]["p"] == pytest.approx(whole.probability(s[:j], s[j]))
+    empty = lm.train(train.limit(0), 3)
+    assert lm.scores(empty, test.limit(0), ["sent_id"]).count() == 0
+
+
+def test_restricted_keeps_rows_with_one_key_apart(spark):
+    df = spark.createDataFrame([(1, ["a", "b"]), (1, ["c", "a"]), (1, ["c", "a"]), (2, []), (3, None)], "sent_id bigint, tokens array<string>")
+    words = spark.createDataFrame([("a",)], "w string")
+    got = sorted((r["sent_id"], r["tokens"]) for r in ng.restricted(df, words, "?", "sent_id").collect())
+    assert got == [(1, ["?", "a"]), (1, ["?", "a"]), (1, ["a", "?"]), (2, []), (3, [])]
+
+
+@pytest.mark.parametrize("decay", [0.5, 0.98, 0.01])
+def test_long_articles_with_any_decay(spark, decay):
+    rng = random.Random(8)
+    words = [rng.choice("abc") if i % 7 else "rare" for i in range(1500)]
+    df = spark.createDataFrame([("x", i, w, w == "b") for i, w in enumerate(words)], "a string, pos int, w string, oov boolean")
+    got = {r["pos"]: r for r in document_cache.cached(df, "a", ["pos"], decay).collect()}
+    total, own = 0.0, Counter()
+    for i, w in enumerate(words):
+        assert got[i]["pc"] == pytest.approx(0.0 if w == "b" or not total else own[w] / total, abs=1e-9)
+        total *= decay
+        for k in own:
+            own[k] *= decay
+        if w != "b":
+            total += decay
+            own[w] += decay
+    with pytest.raises(ValueError, match="decay"):
+        document_cache.cached(df, "a", ["pos"], 1.5)
+
+
+def test_harmonic_numbers(spark):
+    r = {x["id"]: x["h"] for x in spark.range(0, 200).select("id", evaluation.harmonic(F.col("id")).alias("h")).collect()}
+    for n in r:
+        assert r[n] == pytest.approx(sum(1 / i for i in range(1, n + 1)), abs=1e-10)
+
+
+def test_greedy_split_equals_one_by_one(spark):
+    rng = random.Random(10)
+    sizes = {f"g{i}": rng.choice([1, 1, 1, 2, 3, 17, 40]) for i in range(400)}
+    df = spark.createDataFrame(list(sizes.items()), "root string, size bigint")
+    for shares in ({"train": 0.8, "dev": 0.1, "test": 0.1}, {"a": 0.5, "b": 0.5}, {"a": 1.0}, {"a": 0.0, "b": 1.0}):
+        got = dict(map(tuple, splitting.greedy_split(df, proportions=shares).collect()))
+        total, load = sum(sizes.values()), dict.fromkeys(shares, 0)
+        h = lambda g: int(__import__("hashlib").md5(f"20260929:{g}".encode()).hexdigest()[:12], 16)
+        for g in sorted(sizes, key=lambda g: (-sizes[g], h(g), g)):
+            to = max(shares, key=lambda s: round(shares[s] * total - load[s], 6))
+            assert got[g] == to
+            load[to] += sizes[g]
+    assert splitting.greedy_split(df.limit(0), proportions={"a": 1.0}).count() == 0
+    with pytest.raises(ValueError, match="sum to 1"):
+        splitting.greedy_split(df, proportions={"a": 0.5})
 
 
 def test_relational_transform_equals_arrays(spark, train):
     m = lm.train(train, 3)
     d = decoding.distribution_of(m, ["the"])
-    state = decoding.Lookup(*decoding.gathered(m))
-    order, q = decoding.transform(state.distribution(["<s>", "the"]), 0.7, 6, 0.9)
+    state = Whole(m)
+    order, q = decoding.reshape(state.distribution(["<s>", "the"]), 0.7, 6, 0.9)
     got = {r["w"]: r["q"] for r in decoding.reshaped(d, 0.7, 6, 0.9).collect()}
     assert sorted(got.values()) == pytest.approx(sorted(q.tolist()))
 
@@ -216,17 +352,16 @@ def test_samples_are_nested(spark):
     assert math.isclose(sum(r["c"] for r in sampling.coverage(v, 1.0).collect()), 8)
 
 
-def test_copy_index_holds_every_run_and_no_other(spark):
+def test_training_runs_are_all_runs_and_no_other(spark):
     rng = random.Random(4)
     own = [[f"w{rng.randrange(1000)}" for _ in range(20)] for _ in range(50)]
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(own)] + [(90, []), (91, None)], "sent_id bigint, tokens array<string>")
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(own)] + [(90, []), (91, None), (92, ["w1"])], "sent_id bigint, tokens array<string>")
     runs = {tuple(t[i : i + n]) for t in own for n in range(2, 9) for i in range(len(t) - n + 1)}
-    index = decoding.copy_index(df, size=1 << 13)
-    assert all(index.has(list(r)) for r in runs)
-    absent = [r for r in ([f"w{rng.randrange(1000)}" for _ in range(2)] for _ in range(3000)) if tuple(r) not in runs]
-    assert not any(index.has(r) for r in absent)
-    with pytest.raises(ValueError, match="distinct runs"):
-        decoding.copy_index(df, size=len(runs) - 1)
+    known = decoding.training_runs(df)
+    assert known.count() == len(runs)
+    absent = [r for r in ([f"w{rng.randrange(1000)}" for _ in range(2)] for _ in range(300)) if tuple(r) not in runs]
+    assert decoding.copied_tails(known, [list(r) for r in list(runs)[:300]]) == [len(r) for r in list(runs)[:300]]
+    assert not any(decoding.copied_tails(known, absent))
 
 
 def test_mean_jaccard_of_large_groups_is_exact(spark):
@@ -247,7 +382,7 @@ def test_rank_metrics_take_every_test_sentence(spark, train, monkeypatch):
     monkeypatch.setattr(text, "corpus", lambda spark, folder, split: train if split == "train" else test)
     assert text.rank_metrics(spark, "").first()["n"] == sum(len(t) + 1 for t in own)
     model = lm.train(train, 3)
-    state = decoding.Lookup(*decoding.gathered(model))
+    state = Whole(model)
     got = {(r["sent_id"], r["pos"]): (r["greater"], r["equal"]) for r in evaluation.ranks(model, test, "sent_id").collect()}
     for i, t in enumerate(own):
         s = ["<s>", *[w if w in words else "<unk>" for w in t], "</s>"]

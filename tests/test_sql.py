@@ -7,9 +7,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from glyphloom.catalog import corpus, lm, text, versions
+from glyphloom.catalog import corpus, lm, study, text, versions
 
-NAMES = ["p5_found", "p5_counts", "tagged_parse", "sentence_segments", "clean_stats", "vocab_coverage", "nested_sample", "article_components", "ngram_counts", "continuation_counts", "smooth_events", "kn_order_3", "kn_pruned_3", "wb_3", "sb_scores", "cache_decay", "longest_copied_span", "repetition_stats"]
+NAMES = ["p5_found", "p5_counts", "tagged_parse", "sentence_segments", "clean_stats", "vocab_coverage", "nested_sample", "article_components", "ngram_counts", "continuation_counts", "smooth_events", "kn_order_3", "kn_pruned_3", "wb_3", "sb_scores", "cache_decay", "longest_copied_span", "repetition_stats", "rank_metrics", "bootstrap_ci", "pair_discrimination", "source_sentence", "greedy_decode", "temperature_entropy", "article_split_greedy", "format_profile_full", "rendering_words", "span_cover", "oov_spelling", "core_perplexity", "kn_order_6", "pruned_effect"]
 
 
 def plain(v):
@@ -25,7 +25,7 @@ def test_query_equals_sql(spark, tiny, name):
     con = duckdb.connect()
     for p in Path(tiny).glob("*.parquet"):
         con.execute(f"create view {p.stem} as select * from read_parquet('{p}')")
-    q = {**versions.QUERIES, **corpus.QUERIES, **lm.QUERIES, **text.QUERIES}[name](spark, tiny)
+    q = {**versions.QUERIES, **corpus.QUERIES, **lm.QUERIES, **text.QUERIES, **study.QUERIES}[name](spark, tiny)
     columns = sorted(q.columns)
     got = sorted(repr([plain(r[c]) for c in columns]) for r in q.collect())
     c = con.execute(entry.oracle_sql()[name])
