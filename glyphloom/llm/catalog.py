@@ -12,22 +12,24 @@ from glyphloom.plans.materialise import cut
 from glyphloom.sources.tables import table
 
 
-def _repeats(spark: SparkSession, folder: str) -> DataFrame:
-    g = repetition.latest(table(spark, folder, "generations"), "gen_id", "finished_at")
-    g = g.select(F.lit("generations").alias("tbl"), F.col("gen_id").alias("rec_id"), repetition.token_repetition(F.col("tokens")).alias("share"))
-    d = table(spark, folder, "documents").select(F.lit("documents").alias("tbl"), F.col("doc_id").alias("rec_id"), repetition.text_repetition(F.col("text")).alias("share"))
-    return g.unionByName(d)
+#: The row of the threshold table that finds repetition; documents are held against all rows in p2_ratios.
+REPEATED = [t for t in repetition.THRESHOLDS if t[0] == "repeated_share"]
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    return _repeats(spark, folder).where("share >= 0.4").select("tbl", "rec_id")
+    """Records that don't meet the table's threshold of repetition."""
+    g = repetition.latest(table(spark, folder, "generations"), "gen_id", "finished_at").select(F.lit("generations").alias("tbl"), F.col("gen_id").alias("rec_id"), "tokens")
+    d = table(spark, folder, "documents").select(F.lit("documents").alias("tbl"), F.col("doc_id").alias("rec_id"), "text")
+    held = [repetition.measured(g, text=None, repeated=repetition.token_repetition(F.col("tokens")), thresholds=REPEATED), repetition.measured(d, text="text", repeated=repetition.text_repetition(F.col("text")), thresholds=REPEATED)]
+    parts = [x.where(F.array_contains("failed", "repeated_share")).select("tbl", "rec_id") for x in held]
+    return parts[0].unionByName(parts[1])
 
 
 def p2_ratios(spark: SparkSession, folder: str) -> DataFrame:
     """Every ratio of every document, and the thresholds it doesn't meet."""
     d = table(spark, folder, "documents").select("doc_id", "text")
     out = repetition.measured(d, text="text", repeated=repetition.text_repetition(F.col("text"), least=0.0))
-    return out.select("doc_id", *[F.round(c, 6).alias(c) for c, _, _ in repetition.THRESHOLDS], "failed")
+    return out.select("doc_id", *[F.round(F.col(c).cast("double"), 6).alias(c) for c, _, _ in repetition.THRESHOLDS], F.array_join("failed", " ").alias("failed"))
 
 
 def _long(spark: SparkSession, folder: str) -> DataFrame:
@@ -39,6 +41,11 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.select(F.col("a").alias("sent_a"), F.col("b").alias("sent_b"))
 
 
+def p3_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Sentences that read like differently written ones: their class and how many others it has."""
+    return lookalikes.lookalike_classes(_long(spark, folder).select("sent_id", "text"), key="sent_id", column="text")
+
+
 def p3_forms(spark: SparkSession, folder: str) -> DataFrame:
     """The one consistent form of every sentence."""
     return lookalikes.consistent_form(table(spark, folder, "sentences").select("sent_id", "text"), "text").select("sent_id", "canonical")
@@ -142,7 +149,7 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return subjects.scored(seen, fitted, lookup, names, model, key="doc_id").select("doc_id", "subject")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_ratios": p2_ratios, "p3_found": p3_found, "p3_forms": p3_forms, "p4_found": p4_found, "p4_shares": p4_shares, "p6_found": p6_found, "p6_splits": p6_splits, "p7_found": p7_found, "p7_counts": p7_counts, "p8_containers": p8_containers, "p9_found": p9_found, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_ratios": p2_ratios, "p3_found": p3_found, "p3_forms": p3_forms, "p3_classes": p3_classes, "p4_found": p4_found, "p4_shares": p4_shares, "p6_found": p6_found, "p6_splits": p6_splits, "p7_found": p7_found, "p7_counts": p7_counts, "p8_containers": p8_containers, "p9_found": p9_found, "p10_found": p10_found}
 
 
 def _class(ranges: list[tuple[int, int]]) -> str:
@@ -155,6 +162,7 @@ def _quoted(text: str) -> str:
 
 _FOLD = lambda c: f"lower(translate({c}, {_quoted(FULL_WIDTH)}, {_quoted(HALF_WIDTH)}))"
 _COVERED = lambda grams, n: f"""(SELECT rec_id, sum(least({n}, coalesce(nx - i, {n}))) AS cov FROM (SELECT *, lead(i) OVER (PARTITION BY rec_id ORDER BY i) AS nx FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rec_id, g ORDER BY i) AS rn FROM {grams}) WHERE rn > 1)) GROUP BY rec_id)"""
+_DENSE = "[\\x{0e01}-\\x{0e7f}\\x{3041}-\\x{30ff}\\x{3400}-\\x{9fff}\\x{ff66}-\\x{ff9f}]"
 _LOOK = f"nfc_normalize(trim(regexp_replace(translate(regexp_replace(text, '{_class(INVISIBLE_RANGES)}', '', 'g'), {_quoted(''.join(lookalikes.MAPPED))}, {_quoted(''.join(lookalikes.MAPPED.values()))}), '{_class(SPACE_RANGES)}', ' ', 'g')))"
 SQL: dict[str, str] = {
     "p2_found": f"""WITH d AS (SELECT doc_id AS rec_id, regexp_replace({_FOLD('text')}, '[^\\p{{L}}\\p{{N}}]', '', 'g') AS s FROM documents),
@@ -163,7 +171,16 @@ t AS (SELECT gen_id AS rec_id, list_transform(list_filter(tokens, lambda x: rege
 tg AS (SELECT rec_id, i, array_to_string(s[i : i + 2], chr(31)) AS g FROM (SELECT rec_id, s, unnest(range(1, len(s) - 1)) AS i FROM t WHERE len(s) >= 3))
 SELECT 'documents' AS tbl, rec_id FROM d JOIN {_COVERED('dg', 20)} USING (rec_id) WHERE cov / length(s) >= 0.4
 UNION ALL SELECT 'generations', rec_id FROM t JOIN {_COVERED('tg', 3)} USING (rec_id) WHERE cov / len(s) >= 0.4""",
+    "p2_ratios": f"""WITH d AS (SELECT doc_id AS rec_id, coalesce(text, '') AS t, lower(coalesce(text, '')) AS low, regexp_replace({_FOLD("coalesce(text, '')")}, '[^\\p{{L}}\\p{{N}}]', '', 'g') AS s, list_filter(string_split_regex(coalesce(text, ''), '\\r\\n|[\\n\\x0b\\x0c\\r\\x{{85}}\\x{{2028}}\\x{{2029}}]'), lambda x: trim(x, ' ') <> '') AS ln FROM documents),
+dg AS (SELECT rec_id, i, substr(s, i, 20) AS g FROM (SELECT rec_id, s, unnest(range(1, length(s) - 18)) AS i FROM d WHERE length(s) >= 20)), cv AS {_COVERED('dg', 20)},
+r AS (SELECT rec_id, coalesce(cov, 0) / nullif(length(s), 0) AS a, 1 - len(list_distinct(ln)) / nullif(len(ln), 0) AS b, length(regexp_replace(t, '[\\p{{L}}\\p{{N}}\\p{{M}} \\t\\n\\x0b\\f\\r　]', '', 'g')) / nullif(length(t), 0) AS c, len(list_filter(ln, lambda x: length(regexp_replace(x, '[^\\p{{L}}\\p{{N}}]', '', 'g')) < {repetition.SHORT_LINE})) / nullif(len(ln), 0) AS e, length(t)::DOUBLE AS f,
+ (len(list_filter(regexp_extract_all(regexp_replace(low, '{_DENSE}', ' ', 'g'), '\\p{{L}}[\\p{{L}}\\p{{M}}]*'), lambda x: true)) + len(regexp_extract_all(low, '{_DENSE}')) / 2) AS u,
+ len(list_filter(regexp_extract_all(low, '[\\p{{L}}\\p{{M}}]+'), lambda x: x IN ({', '.join(map(_quoted, repetition.STOP_WORDS))}))) + len(regexp_extract_all(low, '{'|'.join(repetition.DENSE_STOPS)}')) AS w FROM d LEFT JOIN cv USING (rec_id)),
+v AS (SELECT rec_id, coalesce(a, 0) AS a, coalesce(b, 0) AS b, coalesce(c, 0) AS c, coalesce(e, 0) AS e, f, CASE WHEN u > 0 THEN w / u ELSE 0 END AS g FROM r)
+SELECT rec_id AS doc_id, round(a, 6) AS repeated_share, round(b, 6) AS duplicate_line_share, round(c, 6) AS symbol_share, round(e, 6) AS short_line_share, f AS length, round(g, 6) AS stop_word_share,
+concat_ws(' ', CASE WHEN NOT a < 0.4 THEN 'repeated_share' END, CASE WHEN NOT b < 0.5 THEN 'duplicate_line_share' END, CASE WHEN NOT c < 0.4 THEN 'symbol_share' END, CASE WHEN NOT e < 0.8 THEN 'short_line_share' END, CASE WHEN NOT f >= 20 THEN 'length' END, CASE WHEN NOT g >= 0.01 THEN 'stop_word_share' END) AS failed FROM v""",
     "p3_found": f"WITH f AS (SELECT sent_id, text, {_LOOK} AS form FROM sentences WHERE len(tokens) >= 10) SELECT a.sent_id AS sent_a, b.sent_id AS sent_b FROM f a JOIN f b ON a.form = b.form AND a.text <> b.text AND a.sent_id < b.sent_id",
+    "p3_classes": f"WITH f AS (SELECT sent_id, text, {_LOOK} AS form FROM sentences WHERE len(tokens) >= 10), g AS (SELECT *, min(text) OVER (PARTITION BY form) AS canonical, max(text) OVER (PARTITION BY form) AS greatest, count(*) OVER (PARTITION BY form) AS n, count(*) OVER (PARTITION BY form, text) AS same FROM f) SELECT sent_id, canonical, n - same AS others FROM g WHERE canonical <> greatest",
     "p3_forms": f"WITH f AS (SELECT sent_id, text, {_LOOK} AS form FROM sentences) SELECT sent_id, min(text) OVER (PARTITION BY form) AS canonical FROM f",
     "p4_found": """WITH t AS (SELECT leak_id, text AS s FROM leakage UNION ALL SELECT leak_id, source.train_sentence FROM leakage),
 w AS (SELECT DISTINCT leak_id, substr(s, i + 1, 30) AS g FROM (SELECT leak_id, s, unnest(range(0, length(s) - 29)) AS i FROM t WHERE length(s) >= 30)),

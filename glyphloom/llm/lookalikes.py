@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphloom.functions.text import SPACES, visible
+from glyphloom.plans.materialise import cut
 
 # Letters of other scripts that are drawn like a Latin letter, each with that letter.
 CYRILLIC = dict(zip("аеорсухіјѕһԁԛԝӏАВСЕНІЈКМОРЅТХУҮԌёїЁЇ", "aeopcyxijshdqwlABCEHIJKMOPSTXYYGëïËÏ"))
@@ -68,16 +69,40 @@ def consistent_form(df: DataFrame, column: str, out: str = "canonical") -> DataF
 def lookalike_pairs(df: DataFrame, *, key: str, column: str) -> DataFrame:
     """``a, b`` (a < b): rows whose texts differ as strings but have the same canonical text.
 
-    Different texts of a class are paired first and then joined to their rows, so rows that hold the
+    A first aggregate under the collation carries two hashes per class (the least and the greatest of its texts') and
+    leaves the classes with different texts, which are few; only their rows get a canonical member, joined back
+    by class. Different texts of a class are paired first and then joined to their rows, so rows that hold the
     same text are never paired with one another. Rows with a NULL key or text pair with nothing.
     """
-    rows = df.select(F.col(key).alias("_id"), F.col(column).alias("_text")).where("_id IS NOT NULL AND _text IS NOT NULL")
-    forms = canonical_texts(rows, "_text")
+    spark = df.sparkSession
+    rows = df.select(F.col(key).alias("_id"), F.col(column).alias("_text")).where("_id IS NOT NULL AND _text IS NOT NULL").withColumn("look", look(F.col("_text")))
+    several = cut(
+        spark.sql(
+            f"""SELECT CAST(form AS STRING) AS form FROM (SELECT collate(look, '{COLLATION}') AS form, min(xxhash64(_text)) AS lo, max(xxhash64(_text)) AS hi FROM {{t}} GROUP BY collate(look, '{COLLATION}')) WHERE lo <> hi""",
+            t=rows,
+        )
+    )
+    members = cut(
+        spark.sql(
+            f"""WITH own AS (SELECT t._id, t._text, s.form FROM {{t}} t JOIN {{s}} s ON collate(t.look, '{COLLATION}') = collate(s.form, '{COLLATION}')),
+            canon AS (SELECT form, min(_text) AS canonical FROM own GROUP BY form)
+            SELECT own._id, own._text, canon.canonical FROM own JOIN canon ON own.form = canon.form""",
+            t=rows,
+            s=several,
+        )
+    )
+    texts = members.select("canonical", "_text").distinct()
+    x, y = texts.select("canonical", F.col("_text").alias("_x")), texts.select("canonical", F.col("_text").alias("_y"))
+    pairs = x.join(y, "canonical").where("_x < _y").select("_x", "_y")
+    one, two = members.select(F.col("_id").alias("_i"), F.col("_text").alias("_x")), members.select(F.col("_id").alias("_j"), F.col("_text").alias("_y"))
+    return pairs.join(one, "_x").join(two, "_y").select(F.least("_i", "_j").alias("a"), F.greatest("_i", "_j").alias("b"))
+
+
+def lookalike_classes(df: DataFrame, *, key: str, column: str) -> DataFrame:
+    """``key, canonical, others``: one row per row whose text has look-alikes: its class and how many rows of the class hold another string. Nothing is paired."""
+    forms = canonical_texts(df.where(F.col(key).isNotNull()), column)
     several = forms.groupBy("canonical").agg(F.count("*").alias("_n")).where("_n > 1").select("canonical")
-    members = forms.join(several, "canonical")
-    x, y = members.select("canonical", F.col("text").alias("_x")), members.select("canonical", F.col("text").alias("_y"))
-    texts = x.join(y, "canonical").where("_x < _y").select("_x", "_y")
-    one = rows.select(F.col("_id").alias("_i"), F.col("_text").alias("_x"))
-    two = rows.select(F.col("_id").alias("_j"), F.col("_text").alias("_y"))
-    pairs = texts.join(one, "_x").join(two, "_y")
-    return pairs.select(F.least("_i", "_j").alias("a"), F.greatest("_i", "_j").alias("b"))
+    own = forms.join(several, "canonical").join(df.select(F.col(key), F.col(column).alias("text")).where(F.col(key).isNotNull()), "text")
+    per = own.groupBy("canonical", "text").agg(F.count("*").alias("_same"))
+    all_ = per.groupBy("canonical").agg(F.sum("_same").alias("_all"))
+    return own.join(per, ["canonical", "text"]).join(all_, "canonical").select(key, "canonical", (F.col("_all") - F.col("_same")).alias("others"))

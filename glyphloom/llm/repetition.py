@@ -9,18 +9,23 @@ from pyspark.sql import functions as F
 
 from glyphloom.functions.text import half_width, letters_and_digits, visible, words
 
-# Frequent function words of the corpus languages.
-STOP_WORDS = ["the", "of", "and", "in", "at", "for", "der", "die", "das", "und", "den", "le", "la", "et", "de", "el", "y", "en", "и", "в", "на", "за", "的", "了", "は", "を", "في", "को", "ने", "ในการ"]
+# Frequent function words of the corpus languages, those of scripts without spaces apart.
+STOP_WORDS = ["the", "of", "and", "in", "at", "for", "near", "der", "die", "das", "und", "den", "am", "aus", "le", "la", "et", "de", "el", "en", "un", "y", "и", "в", "на", "за", "из", "में", "की", "को", "ने", "और", "في", "من", "على"]
+DENSE_STOPS = ["的", "了", "在", "和", "是", "由", "は", "が", "を", "の", "に", "で", "ที่", "และ", "ใน", "กับ"]
+# Letters of scripts written without spaces, as a class.
+DENSE_LETTERS = r"[\u0e01-\u0e7f\u3041-\u30ff\u3400-\u9fff\uff66-\uff9f]"
 
 #: Names of ratios with what a record must reach or stay under to be kept; compiled into one projection.
 THRESHOLDS: list[tuple[str, str, float]] = [
     ("repeated_share", "<", 0.4),
     ("duplicate_line_share", "<", 0.5),
     ("symbol_share", "<", 0.4),
-    ("longest_line_share", "<=", 1.0),
-    ("length", ">=", 0),
-    ("stop_word_share", ">=", 0.0),
+    ("short_line_share", "<", 0.8),
+    ("length", ">=", 20),
+    ("stop_word_share", ">=", 0.01),
 ]
+#: Letters and digits under which a line is short.
+SHORT_LINE = 10
 #: Characters that a piece of text adds before the next one begins; only a matter of speed.
 PIECE = 96
 
@@ -31,11 +36,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def _text_grams(text: Column, width: int) -> Column:
-    """64-bit hashes of all runs of ``width`` characters. Pieces keep substring() from walking a long text anew for each run."""
-    n = F.char_length(text)
-    pieces = F.transform(F.sequence(F.lit(0), F.floor((n - width) / PIECE).cast("int")), lambda k: F.substring(text, k * PIECE + 1, F.lit(PIECE + width - 1)))
-    runs = F.transform(pieces, lambda p: F.transform(F.sequence(F.lit(1), F.char_length(p) - (width - 1)), lambda i: F.xxhash64(F.substring(p, i, F.lit(width)))))
-    return F.when(n >= width, F.flatten(runs)).otherwise(F.array().cast("array<bigint>"))
+    """64-bit hashes of all runs of ``width`` characters, in time that grows with the text.
+
+    One replacement cuts the text into pieces of PIECE characters (U+0001 is neither letter nor digit), as substring() walks a long text anew for each place;
+    a piece with the beginning of the next one has all runs that start in it.
+    """
+    pieces = F.split(F.regexp_replace(text, f"(.{{{PIECE}}})", "$1\u0001"), "\u0001")
+    whole = lambda p: F.zip_with(p, F.slice(p, F.lit(2), F.size(p)), lambda a, b: F.concat(a, F.coalesce(F.left(b, F.lit(width - 1)), F.lit(""))))
+    runs = lambda p: F.transform(F.sequence(F.lit(1), F.char_length(p) - (width - 1)), lambda i: F.xxhash64(F.substring(p, i, F.lit(width))))
+    joined = let(pieces, lambda p: F.flatten(F.transform(F.filter(whole(p), lambda x: F.char_length(x) >= width), runs)))
+    return F.when(F.char_length(text) >= width, joined).otherwise(F.array().cast("array<bigint>"))
 
 
 def _list_grams(tokens: Column, width: int) -> Column:
@@ -88,24 +98,28 @@ def _ratios(text: Column, repeated: Column) -> dict[str, Column]:
     t = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(t, r"\R"), lambda x: F.trim(x) != "")
     over = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
-    pieces = words(F.lower(t))
+    low = F.lower(t)
+    # A word of a script without spaces has about two letters.
+    units = F.regexp_count(low, F.lit(r"[\p{L}&&[^\u0e01-\u0e7f\u3041-\u30ff\u3400-\u9fff\uff66-\uff9f]][\p{L}\p{M}&&[^\u0e01-\u0e7f\u3041-\u30ff\u3400-\u9fff\uff66-\uff9f]]*")) + F.regexp_count(low, F.lit(DENSE_LETTERS)) / 2
+    stops = F.regexp_count(low, F.lit(r"(?<![\p{L}\p{M}])(" + "|".join(STOP_WORDS) + r")(?![\p{L}\p{M}])")) + F.regexp_count(low, F.lit("|".join(DENSE_STOPS)))
     return {
         "length": F.char_length(t),
         "symbol_share": over(F.char_length(F.regexp_replace(t, r"[\p{L}\p{N}\p{M}\s　]", "")), F.char_length(t)),
-        "stop_word_share": over(F.size(F.filter(pieces, lambda w: w.isin(STOP_WORDS))), F.size(pieces)),
+        "stop_word_share": over(stops, units),
         "duplicate_line_share": let(lines, lambda x: over(F.size(x) - F.size(F.array_distinct(x)), F.size(x))),
-        "longest_line_share": let(lines, lambda x: over(F.coalesce(F.array_max(F.transform(x, F.char_length)), F.lit(0)), F.char_length(t))),
+        "short_line_share": let(lines, lambda x: over(F.size(F.filter(x, lambda y: F.char_length(F.regexp_replace(y, r"[^\p{L}\p{N}]", "")) < SHORT_LINE)), F.size(x))),
         "repeated_share": repeated,
     }
 
 
-def measured(df: DataFrame, *, text: str, repeated: Column, thresholds: list[tuple[str, str, float]] = THRESHOLDS) -> DataFrame:
+def measured(df: DataFrame, *, text: str | None, repeated: Column, thresholds: list[tuple[str, str, float]] = THRESHOLDS) -> DataFrame:
     """``df`` with the ratios and ``failed``: the names of the thresholds that a record doesn't meet.
 
-    One narrow projection; NULL and empty texts have length 0 and every share 0. A column of ``df``
+    One narrow projection of the ratios that the table names; NULL and empty texts have length 0 and every share 0. A column of ``df``
     named like a ratio is replaced.
     """
-    out = df.withColumns(_ratios(df[text], repeated))
+    ratios = _ratios(df[text], repeated) if text else {"repeated_share": repeated}
+    out = df.withColumns({c: ratios[c] for c, _, _ in thresholds})
     test = {"<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">=": lambda a, b: a >= b}
     return out.withColumn("failed", F.array_compact(F.array(*[F.when(~test[op](F.col(c), F.lit(v)), F.lit(c)) for c, op, v in thresholds])))
 
