@@ -2,80 +2,101 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+from collections import defaultdict
+
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphloom.functions.keys import running_before
-from glyphloom.operators.components import HOT_SHARE
 from glyphloom.plans.materialise import cut
 
-#: Labels kept apart in the stratification; rarer ones share the label 'other'.
-MAX_LABELS = 64
+#: Components that one task stratifies, on average.
+BUCKET = 20_000
+#: Components with more than this share of all nodes are placed before the others, on the driver; there are at most 1 / LARGE.
+LARGE = 0.001
+ALL = "*"
+
 
+def place(components: list[tuple[object, dict[str, int]]], need: dict[str, dict[str, float]], order: list[object]) -> dict[object, str]:
+    """The split of every component, by iterative stratification.
 
-def _need(left: dict[str, dict[str, float]], label: str, splits: list[str]) -> list[float]:
-    return [max(left[label][s], 0.0) for s in splits]
+    ``components`` are names with label vectors (ALL counts the nodes). Again and again the label with the
+    fewest outstanding nodes is taken; its components, those with most of it first (then in the order of ``order``), each go to the
+    split that needs that label most, of equal ones to the one that needs most nodes. What a component brings
+    is taken off its split's needs of all its labels and off what is outstanding. ``need`` is changed.
+    """
+    rank = {c: i for i, c in enumerate(order)}
+    vectors = dict(components)
+    outstanding: dict[str, int] = defaultdict(int)
+    having: dict[str, list] = defaultdict(list)
+    for c, v in components:
+        for x, n in v.items():
+            outstanding[x] += n
+            having[x].append(c)
+    splits = list(need[ALL])
+    placed: dict[object, str] = {}
+    while len(placed) < len(vectors):
+        # ALL comes last, for the components that no other label is left in.
+        label = min((x for x, n in outstanding.items() if n > 0 and x != ALL), key=lambda x: (outstanding[x], x), default=ALL)
+        own = sorted((c for c in having[label] if c not in placed), key=lambda c: (-vectors[c][label], rank[c]))
+        outstanding[label] = 0
+        for c in own:
+            to = max(splits, key=lambda s: (need[label][s], need[ALL][s]))
+            placed[c] = to
+            for x, n in vectors[c].items():
+                need[x][to] -= n
+                outstanding[x] -= n
+    return placed
 
 
-def stratified(members: DataFrame, *, proportions: dict[str, float], seed: int = 20260929) -> DataFrame:
+def stratified(members: DataFrame, *, proportions: dict[str, float], seed: int = 20260929, bucket: int = BUCKET) -> DataFrame:
     """``root, split`` for every component of ``members`` (``node, root, labels array<string>``).
 
-    Label vectors are aggregated per component and per stratum (a component's rarest label). Strata
-    come with the rarest label first: each split gets the share of the stratum that it still needs
-    of that label, and what it gets is taken off its needs of all labels. Components of more than HOT_SHARE
-    of all nodes (at most 1 / HOT_SHARE of them) are placed one by one before that, largest first, into the
-    split that needs their rarest label most; the rest by running sums within a stratum, which no
-    single task holds. A component is never cut. Shares that sum to other than 1 raise ValueError.
+    Label vectors are aggregated per component. Components of more than LARGE of all nodes (at most 1 / LARGE) are
+    placed on the driver against the needs of the whole; the others are dealt by hash into buckets of about ``bucket``
+    components, and each bucket is stratified by ``place`` in a task of its own, with its share of what
+    the splits still need. A component is never cut. Labels are not limited in number; one total per label comes to the driver.
+    Shares that sum to other than 1 raise ValueError. NULL and missing labels count as none.
     """
     if abs(sum(proportions.values()) - 1) > 1e-9 or min(proportions.values(), default=-1) < 0:
         raise ValueError("the proportions have to sum to 1")
-    splits = list(proportions)
-    each = members.select("root", "node", F.explode(F.concat(F.array(F.lit("*")), F.coalesce("labels", F.array().cast("array<string>")))).alias("label"))
-    common = [r["label"] for r in each.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(MAX_LABELS).collect()]
-    vectors = cut(each.withColumn("label", F.when(F.col("label").isin(common), F.col("label")).otherwise("other")).groupBy("root", "label").agg(F.count("*").alias("n")))
-    totals = {r["label"]: r["n"] for r in vectors.groupBy("label").agg(F.sum("n").alias("n")).collect()}
-    if not totals:
-        return members.sparkSession.createDataFrame([], members.select("root", F.lit("").alias("split")).schema)
-    rarity = sorted(totals, key=lambda x: (totals[x], x))
-    rank: Column = F.coalesce(*[F.when(F.col("label") == x, F.lit(i)) for i, x in enumerate(rarity)])
-    size = F.max(F.when(F.col("label") == "*", F.col("n")).otherwise(0))
-    comps = cut(vectors.groupBy("root").agg(size.alias("size"), F.min(rank).alias("stratum")))
-    left = {x: {s: totals[x] * p for s, p in proportions.items()} for x in totals}
-    heavy = comps.where(F.col("size") > max(totals["*"] * HOT_SHARE, 1))
-    placed: list[tuple] = []
-    vectors_of: dict[str, dict[str, int]] = {}
-    if totals["*"] * HOT_SHARE >= 1:
-        for r in vectors.join(heavy.select("root"), "root", "left_semi").collect():
-            vectors_of.setdefault(r["root"], {})[r["label"]] = r["n"]
-    for root in sorted(vectors_of, key=lambda x: (-vectors_of[x]["*"], x)):
-        own = vectors_of[root]
-        label = min(own, key=lambda x: (totals[x], x))
-        to = max(splits, key=lambda s: (left[label][s], left["*"][s]))
-        placed.append((root, to))
-        for x, n in own.items():
-            left[x][to] -= n
     spark = members.sparkSession
-    done = spark.createDataFrame(placed, "root string, split string").select(F.col("root").cast(members.schema["root"].dataType), "split")
-    light = comps.join(F.broadcast(done.select("root")), "root", "left_anti") if placed else comps
-    light = cut(light)
-    matrix: dict[int, dict[str, int]] = {}
-    for r in vectors.join(light, "root").groupBy("stratum", "label").agg(F.sum("n").alias("n")).collect():
-        matrix.setdefault(r["stratum"], {})[r["label"]] = r["n"]
-    bounds = []
-    for i in sorted(matrix):
-        need = _need(left, rarity[i], splits)
-        total = sum(need)
-        shares = [x / total for x in need] if total > 0 else list(proportions.values())
-        upto = 0.0
-        for s, share in zip(splits, shares, strict=True):
-            bounds.append((i, s, upto * matrix[i]["*"], (upto + share) * matrix[i]["*"]))
-            upto += share
-            for x, n in matrix[i].items():
-                left[x][s] -= n * share
-    ranked = running_before(light.withColumn("_h", F.xxhash64(F.lit(seed), "root")), ["stratum"], ["_h", "root"], F.col("size"), "before")
-    edges = spark.createDataFrame(bounds, "stratum int, split string, low double, high double") if bounds else None
-    if edges is None:
-        return done
-    middle = F.col("before") + F.col("size") / 2
-    rest = ranked.join(F.broadcast(edges), "stratum").where((middle >= F.col("low")) & (middle < F.col("high"))).select("root", "split")
-    return done.unionByName(rest)
+    labels = F.filter(F.coalesce("labels", F.array().cast("array<string>")), lambda x: x.isNotNull() & (x != ALL))
+    each = members.select("root", F.explode(F.concat(F.array(F.lit(ALL)), labels)).alias("label"))
+    counts = each.groupBy("root", "label").agg(F.count("*").alias("n"))
+    vectors = cut(counts.groupBy("root").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "n")))).alias("v")))
+    kind = members.schema["root"].dataType.simpleString()
+    totals = {r["label"]: r["n"] for r in vectors.select(F.explode("v").alias("label", "n")).groupBy("label").agg(F.sum("n").alias("n")).collect()}
+    if not totals:
+        return spark.createDataFrame([], f"root {kind}, split string")
+    need = {x: {s: n * p for s, p in proportions.items()} for x, n in totals.items()}
+    size = F.col("v")[ALL]
+    limit = max(totals[ALL] * LARGE, 1)
+    large = [(r["root"], dict(r["v"])) for r in vectors.where(size > limit).orderBy(F.desc(size), "root").collect()] if totals[ALL] * LARGE >= 1 else []
+    first = place(large, need, [c for c, _ in large]) if large else {}
+    rest = vectors.where(size <= limit) if large else vectors
+    left = dict(totals)
+    for _, v in large:
+        for x, n in v.items():
+            left[x] -= n
+    buckets = max(1, math.ceil(rest.count() / bucket))
+    sent = spark.sparkContext.broadcast((need, left))
+
+    def run(own: pd.DataFrame) -> pd.DataFrame:
+        need, left = sent.value
+        own = own.sort_values(["_h", "root"])
+        components = [(r, dict(v)) for r, v in zip(own["root"], own["v"], strict=True)]
+        here: dict[str, int] = defaultdict(int)
+        for _, v in components:
+            for x, n in v.items():
+                here[x] += n
+        mine = {x: {s: a * n / left[x] for s, a in need[x].items()} for x, n in here.items()}
+        placed = place(components, mine, list(own["root"]))
+        return pd.DataFrame({"root": list(placed), "split": list(placed.values())})
+
+    keyed = rest.withColumn("_h", F.xxhash64(F.lit(seed), "root")).withColumn("_b", F.pmod("_h", F.lit(buckets)))
+    spread = keyed.groupBy("_b").applyInPandas(run, f"root {kind}, split string")
+    if not first:
+        return spread
+    return spark.createDataFrame(list(first.items()), f"root {kind}, split string").unionByName(spread)

@@ -92,6 +92,12 @@ def test_stratified_split_keeps_groups(spark):
     with pytest.raises(ValueError):
         grouped_split.stratified(df, proportions={"a": 0.5})
     assert grouped_split.stratified(df.limit(0), proportions={"a": 1.0}).count() == 0
+    # Whatever the buckets, each split is within the largest component of its share.
+    for bucket in (50, 10**6):
+        got = dict(map(tuple, grouped_split.stratified(df, proportions={"train": 0.8, "dev": 0.1, "test": 0.1}, bucket=bucket).collect()))
+        assert len(got) == len(placed)
+        for s, share in (("train", 0.8), ("dev", 0.1), ("test", 0.1)):
+            assert abs(sum(got[r[1]] == s for r in rows) - share * len(rows)) <= 70, (bucket, s)
     assert grouped_split.stratified(df.limit(5).withColumn("labels", F.lit(None).cast("array<string>")), proportions={"a": 1.0}).count() > 0
 
 
