@@ -5,39 +5,42 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glyphloom.functions.joins import left_lookup
 from glyphloom.plans.materialise import cut
 
-#: A key or component with more than this share of all rows is hot; there are at most 1 / HOT_SHARE of them, so they are broadcast.
+#: A key or component with more than this share of all rows (and a thousand) is hot; there are at most 1 / HOT_SHARE of them, so they are broadcast.
 HOT_SHARE = 0.001
 
 
-def _look_up(rows: DataFrame, on: str, values: DataFrame, value: str) -> DataFrame:
-    """Inner join of ``rows`` with one ``value`` per ``on``; hot keys, at most 1 / HOT_SHARE of them, by broadcast."""
-    sizes = rows.groupBy(on).agg(F.count("*").alias("_n"))
-    most = rows.count() * HOT_SHARE
-    hot = [r[on] for r in sizes.where(F.col("_n") > max(most, 1000)).select(on).collect()]
-    if not hot:
-        return rows.join(values, on)
-    few = F.broadcast(values.where(F.col(on).isin(hot)))
-    return rows.where(F.col(on).isin(hot)).join(few, on).unionByName(rows.where(~F.col(on).isin(hot)).join(values.where(~F.col(on).isin(hot)), on))
+def _hot(rows: DataFrame, on: str, most: float) -> DataFrame:
+    return rows.groupBy(on).agg(F.count("*").alias("_n")).where(F.col("_n") > most).select(on)
+
+
+def _look_up(rows: DataFrame, on: str, values: DataFrame, value: str, hot: DataFrame) -> DataFrame:
+    """Inner join of ``rows`` with one ``value`` per ``on``; ``hot`` keys, at most 1 / HOT_SHARE of them, by broadcast."""
+    near = values.join(F.broadcast(hot), on)
+    return left_lookup(rows, values, [on], near, F.xxhash64("node")).where(F.col(value).isNotNull())
 
 
 def components(links: DataFrame) -> DataFrame:
-    """``node, root``: the least node of each component, from ``node, key`` rows where nodes with a key in common are linked.
+    """``node, root``: the least node of each component, from ``node, key`` rows (strings) where nodes with a key in common are linked.
 
     Every round takes the least root per key, then per node, then follows roots twice (pointer
     jumping), so the rounds grow with the logarithm of the longest chain. Keys are aggregated before they are
     joined back, so a key of a third of all nodes is one row in a shuffle; every round is written to
     the shared folder. Rows with NULL are ignored; a node without a shared key is its own root.
     """
-    pairs = cut(links.where("node IS NOT NULL AND key IS NOT NULL").select("node", "key").distinct())
+    typed = links.where("node IS NOT NULL AND key IS NOT NULL").select(F.col("node").cast("string").alias("node"), F.col("key").cast("string").alias("key"))
+    pairs = cut(typed.distinct())
+    most = max(pairs.count() * HOT_SHARE, 1000)
+    hot_keys = cut(_hot(pairs, "key", most))
     roots = cut(pairs.groupBy("node").agg(F.min("node").alias("root")))
     while True:
         by_key = pairs.join(roots, "node").groupBy("key").agg(F.min("root").alias("least"))
-        reached = cut(_look_up(pairs, "key", by_key, "least").groupBy("node").agg(F.min("least").alias("root")))
+        reached = cut(_look_up(pairs, "key", by_key, "least", hot_keys).groupBy("node").agg(F.min("least").alias("root")))
         for _ in range(2):
             step = reached.select(F.col("node").alias("root"), F.col("root").alias("next"))
-            reached = cut(_look_up(reached, "root", step, "next").select("node", F.least("root", "next").alias("root")))
+            reached = cut(_look_up(reached, "root", step, "next", _hot(reached, "root", most)).select("node", F.least("root", "next").alias("root")))
         old = roots.withColumnRenamed("root", "old")
         if reached.join(old, "node").where("root <> old").isEmpty():
             return reached
