@@ -125,6 +125,12 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
 
 
+def p9_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with an item's wording under other numbers, names or units, consistently replaced."""
+    found = leakage.reworded(table(spark, folder, "documents"), table(spark, folder, "benchmark_items"), key="doc_id", text="text", item_key="item_id", item_text="text")
+    return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), F.round("held", 6).alias("held"), "changed")
+
+
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "documents").select(F.lit("documents").alias("tbl"), F.col("doc_id").alias("rec_id"), "text")
     rows = rows.unionByName(table(spark, folder, "sentences").select(F.lit("sentences").alias("tbl"), F.col("sent_id").alias("rec_id"), "text"))
@@ -149,7 +155,7 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return subjects.scored(seen, fitted, lookup, names, model, key="doc_id").select("doc_id", "subject")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_ratios": p2_ratios, "p3_found": p3_found, "p3_forms": p3_forms, "p3_classes": p3_classes, "p4_found": p4_found, "p4_shares": p4_shares, "p6_found": p6_found, "p6_splits": p6_splits, "p7_found": p7_found, "p7_counts": p7_counts, "p8_containers": p8_containers, "p9_found": p9_found, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_ratios": p2_ratios, "p3_found": p3_found, "p3_forms": p3_forms, "p3_classes": p3_classes, "p4_found": p4_found, "p4_shares": p4_shares, "p6_found": p6_found, "p6_splits": p6_splits, "p7_found": p7_found, "p7_counts": p7_counts, "p8_containers": p8_containers, "p9_found": p9_found, "p9_variants": p9_variants, "p10_found": p10_found}
 
 
 def _class(ranges: list[tuple[int, int]]) -> str:

@@ -173,6 +173,31 @@ def test_leaked_passages(spark):
     assert leakage.leaked(d, i.limit(0), key="doc_id", text="text", item_key="item_id", item_text="text").count() == 0
 
 
+def test_short_items_are_found(spark):
+    """Items without a window of the usual width have shorter ones."""
+    items = [(1, "What is 2 plus 2?"), (2, "Who is Bob?"), (3, "今天天气好吗"), (4, "An item of ordinary length that nobody would ever call a short one, with quite a few words in it.")]
+    filler = "Nothing of this kind stands here, only other words about gardens and boats. 这里没有别的话。"
+    docs = [(i, filler + t + " " + filler) for i, t in items] + [(10, filler), (11, "WHAT IS 2\nPLUS 2"), (12, "今天 天气，好吗"), (13, "2"), (14, "")]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = {(r["doc"], r["item"]) for r in leakage.leaked(d, spark.createDataFrame(items, "item_id bigint, text string"), key="doc_id", text="text", item_key="item_id", item_text="text").collect()}
+    assert got == {(1, 1), (2, 2), (3, 3), (4, 4), (11, 1), (12, 3)}
+
+
+def test_reworded_questions(spark):
+    item = "If Tolani sold 40 tonnes in Gedatown and Mirevo bought 15 tonnes, how many tonnes did Tolani keep in Gedatown?"
+    good = "If Zekiru sold 70 tonnes in Pavohill and Lunite bought 22 tonnes, how many tonnes did Zekiru keep in Pavohill?"
+    bad = "If Zekiru sold 70 tonnes in Pavohill and Lunite bought 22 tonnes, how many tonnes did Haruno keep in Sevahill?"
+    unit = item.replace("40 tonnes", "40 kg").replace("15 tonnes", "15 kg")
+    d = spark.createDataFrame([(1, item), (2, "So. " + good + " Yes."), (3, bad), (4, unit), (5, None), (6, ""), (7, "short")], "doc_id bigint, text string").withColumn("item", F.lit(0))
+    i = spark.createDataFrame([(70, item), (71, None), (72, "")], "item_id bigint, text string")
+    run = lambda d, i: {(r["doc"], r["item"]): r for r in leakage.reworded(d, i, key="doc_id", text="text", item_key="item_id", item_text="text").collect()}
+    got = run(d, i)
+    assert set(got) == {(2, 70), (4, 70)} or set(got) == {(2, 70)}
+    assert got[2, 70]["held"] == 1 and got[2, 70]["changed"] == 7
+    assert not run(d.limit(0), i) and not run(d, i.limit(0))
+    assert leakage.consistent([("a", "b"), ("a", "b"), ("c", "d")]) and not leakage.consistent([("a", "b"), ("a", "c")]) and not leakage.consistent([("a", "b"), ("c", "b")])
+
+
 def test_packing(spark):
     rng = random.Random(6)
     sizes = [(i, rng.choice([0, 1, 7, 50, 99, 100, 101, 250, rng.randrange(1, 100)])) for i in range(500)] + [(600, None), (601, -3), (7, 40), (None, 20)]
