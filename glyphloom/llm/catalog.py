@@ -110,14 +110,14 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_counts(spark: SparkSession, folder: str) -> DataFrame:
-    """Per evaluation split and source: sentences, those with a counterpart in training, and pairs; from counts of classes, not from pairs."""
+    """Per evaluation split and source: sentences, those with a counterpart in training, pairs, and the tokens of the longest verbatim cover of each; from counts of classes, not from pairs."""
     sided, rows, pairs = _sides(spark, folder)
     train = rows.where("side = 'train'").groupBy(F.col("cid").alias("cid_train")).agg(F.count("*").alias("n"))
-    partners = pairs.join(train, "cid_train").groupBy(F.col("cid_eval").alias("cid")).agg(F.sum("n").alias("partners"))
+    partners = pairs.join(train, "cid_train").groupBy(F.col("cid_eval").alias("cid")).agg(F.sum("n").alias("partners"), F.max("covered").alias("copied"))
     held = rows.where("side <> 'train'").select("id", "side", "cid").join(partners, "cid", "left")
     source = sided.select(F.col("id"), "source")
     out = held.join(source, "id").groupBy(F.col("side").alias("split"), "source")
-    return out.agg(F.count("*").alias("sentences"), F.count("partners").alias("overlapping"), F.coalesce(F.sum("partners"), F.lit(0)).alias("pairs"))
+    return out.agg(F.count("*").alias("sentences"), F.count("partners").alias("overlapping"), F.coalesce(F.sum("partners"), F.lit(0)).alias("pairs"), F.coalesce(F.sum("copied"), F.lit(0)).alias("copied_tokens"))
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:

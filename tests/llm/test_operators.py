@@ -131,7 +131,7 @@ def test_cross_split_equals_brute_force(spark):
     df = spark.createDataFrame(rows, "id bigint, side string, tokens array<string>")
     e = cross_split.encoded(df).cache()
     cid = {r["id"]: bytes(r["cid"]) for r in e.collect()}
-    pairs = {(bytes(a), bytes(b)) for a, b in map(tuple, cross_split.cross_pairs(e).collect())}
+    pairs = {(bytes(r[0]), bytes(r[1])) for r in cross_split.cross_pairs(e).collect()}
     plain = {i: [cross_split.plain_token(x) for x in t or []] for i, _, t in rows}
     for i, s, _ in rows:
         for j, z, _ in rows:
@@ -153,6 +153,36 @@ def test_index_finds_all_places():
         got = sorted(index.locate(np.arange(low[0], high[0])).tolist()) if high[0] > low[0] else []
         expected = sorted(int(index.starts[k]) + i for k, x in enumerate(lists) for i in range(len(x) - len(want) + 1) if (x[i : i + len(want)] == want).all())
         assert got == expected
+    again = cross_split.Index.unpacked(index.packed())
+    assert (again.text == index.text).all() and (again.place == index.place).all()
+    assert [index.text[a : a + n].tolist() for a, n in zip(index.starts, index.sizes)] == [(np.searchsorted(index.alphabet, x) + 1).tolist() for x in lists]
+    assert len(index.packed()) < 2 * sum(map(len, lists)) + 400
+
+
+def test_maximal_matches_equal_brute_force(monkeypatch):
+    rng = np.random.default_rng(6)
+    monkeypatch.setattr(cross_split, "PLACES", 7)
+    lists = [rng.integers(1, 4, rng.integers(1, 30)) for _ in range(6)]
+    wanted = [rng.integers(1, 5, 15) for _ in range(8)] + [np.concatenate([lists[0], lists[1]]), lists[2], lists[2][:2]]
+    index = cross_split.Index(lists)
+    flat = index.symbols(np.concatenate(wanted))
+    n = np.array([len(w) for w in wanted])
+    start = np.cumsum(n) - n
+    got = [(int(o), int(b - start[o]), int(e - start[o]), int(p)) for part in index.maximal_matches(flat, start, n, np.full(len(n), 3)) for o, b, e, p in zip(*part)]
+    expected = []
+    for w, own in enumerate(wanted):
+        for x, other in enumerate(lists):
+            for i in range(len(own)):
+                for j in range(len(other)):
+                    if own[i] == other[j] and (i == 0 or j == 0 or own[i - 1] != other[j - 1]):
+                        k = 0
+                        while i + k < len(own) and j + k < len(other) and own[i + k] == other[j + k]:
+                            k += 1
+                        if k >= 3:
+                            expected.append((w, i, i + k, int(index.starts[x]) + j))
+    assert sorted(got) == sorted(expected)
+    pairs, covered = cross_split.merged(np.array([5, 1, 5, 5, 1]), np.array([0, 3, 2, 9, 3]), np.array([4, 6, 6, 12, 5]))
+    assert pairs.tolist() == [1, 5] and covered.tolist() == [3, 9]
 
 
 def test_leaked_passages(spark):
