@@ -202,3 +202,4 @@ e AS (SELECT DISTINCT a.article_id AS a, b.article_id AS b FROM k a JOIN k b USI
 r(a, b) AS (SELECT DISTINCT article_id, article_id FROM articles UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
 SELECT a AS article_id, min(b) AS group_id FROM r GROUP BY a HAVING count(*) > 1""",
 }
+SQL["p4_shares"] = f"WITH fo AS ({SQL['p4_found']}), si AS (SELECT leak_id, coalesce(max(length(text)), 0)::INT AS n_chars FROM leakage WHERE leak_id IS NOT NULL GROUP BY leak_id), hi AS (SELECT leak_id, sum(end_pos - start_pos)::BIGINT AS c FROM fo GROUP BY leak_id) SELECT si.leak_id, n_chars, coalesce(c, 0) AS shared_chars, round(CASE WHEN n_chars > 0 THEN coalesce(c, 0) / n_chars ELSE 0 END, 6) AS shared_share FROM si LEFT JOIN hi USING (leak_id)"

@@ -21,6 +21,10 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+#: Items that a task numbers, at most about.
+NUMBERED = 200_000
+
+
 def _encoding(path: str):
     import tiktoken
 
@@ -139,9 +143,10 @@ def packed(sizes: DataFrame, *, key: str, size: str, capacity: int) -> DataFrame
         at = np.maximum(np.searchsorted(places, keys, side="right") - 1, 0)
         return pd.Series(np.where(lengths.to_numpy() > 0, bases[at] + keys - places[at], 0))
 
-    numbered = running_before(loose, ["_size"], ["_key", "_piece"], F.lit(1), "_number")
+    buckets = max(64, sum(counts.values()) // NUMBERED)
+    numbered = running_before(loose, ["_size"], ["_key", "_piece"], F.lit(1), "_number", buckets=buckets)
     rest = numbered.select("_key", "_piece", "_size", container("_size", "_number").alias("_container"))
-    whole = running_before(items.where("_full > 0").select("_key", "_full"), [], ["_key"], F.col("_full"), "_before")
+    whole = running_before(items.where("_full > 0").select("_key", "_full"), [], ["_key"], F.col("_full"), "_before", buckets=buckets)
     pieces = whole.select("_key", "_before", F.explode(F.sequence(F.lit(0), F.col("_full") - 1)).alias("_piece")).select("_key", "_piece", F.lit(capacity).alias("_size"), (F.col("_before") + F.col("_piece") + containers).alias("_container"))
     return rest.unionByName(pieces).select(F.col("_key").alias(key), F.col("_piece").cast("int").alias("piece"), F.col("_size").alias("size"), F.col("_container").alias("container"))
 
