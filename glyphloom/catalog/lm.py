@@ -311,6 +311,8 @@ def normalisation(spark: SparkSession, folder: str) -> DataFrame:
     return _shown(lm.mass(m, top)).withColumn("mass", F.round("mass", 9))
 
 
-SQL["normalisation"] = f"WITH {counts_sql(3)}, t AS (SELECT hist, sum(c) AS n FROM c WHERE k = 3 GROUP BY hist ORDER BY n DESC, hist LIMIT 100) SELECT replace(hist, chr(31), ' ') AS hist, 1.0::DOUBLE AS mass FROM t"
+SQL["normalisation"] = f"""WITH {model_sql(3)}, t AS (SELECT hist AS h3, substr(hist, instr(hist, chr(31)) + 1) AS h2 FROM c WHERE k = 3 GROUP BY hist ORDER BY sum(c.c) DESC, hist LIMIT 100),
+tg AS (SELECT t.*, coalesce(b2.gamma, 1.0) AS g2, coalesce(b3.gamma, 1.0) AS g3 FROM t LEFT JOIN bo b2 ON b2.k = 2 AND b2.hist = h2 LEFT JOIN bo b3 ON b3.k = 3 AND b3.hist = h3)
+SELECT replace(h3, chr(31), ' ') AS hist, round(sum(coalesce(e3.p, g3 * coalesce(e2.p, g2 * u.p))), 9) AS mass FROM tg JOIN en u ON u.k = 1 LEFT JOIN en e2 ON e2.k = 2 AND e2.hist = h2 AND e2.w = u.w LEFT JOIN en e3 ON e3.k = 3 AND e3.hist = h3 AND e3.w = u.w GROUP BY h3"""
 
 QUERIES |= {f.__name__: f for f in (ngram_counts, ngram_entry_counts, continuation_counts, history_stats, count_of_counts, kn_discounts, continuation_diversity, smooth_events, ppl_by_smoother, addk_grid, jm_grid, zero_prob_events, lm_entries, matched_orders, match_bucket_means, pruning_impact, bits_per_char, closed_vocabulary, quantisation, normalisation)}

@@ -13,7 +13,7 @@ from glyphloom.catalog.lm import CORPUS_SQL, SUMMARY_SQL, _FREQ, _scored, _train
 from glyphloom.catalog.lm import _event_sql as event_sql
 from glyphloom.catalog.text import _curve_sql, _poisson_sql, learning_curve, pair_discrimination
 from glyphloom.catalog.text import SQL as TEXT_SQL
-from glyphloom.operators import annotated, evaluation, lm, sampling, smoothing, splitting
+from glyphloom.operators import annotated, components, evaluation, lm, sampling, smoothing, splitting
 from glyphloom.operators import ngrams as ng
 from glyphloom.plans.materialise import cut
 from glyphloom.sources.tables import table
@@ -200,7 +200,39 @@ def nested_positions(spark: SparkSession, folder: str) -> DataFrame:
     return big.join(small, ["sent_id", "pos"], "left").select("sent_id", "pos", F.coalesce("_s", F.lit(False)).alias("ranked"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (article_split_greedy, split_projection, format_profile_full, rendering_words, dialect_tokens, annotation_census, span_cover, grid_cells, smoother_disagreements, first_unseen, pruned_entries, pruned_effect, added_corpora, marginal_gain, oov_spelling, prefix_statistics, paired_bootstrap_ci, core_perplexity, nested_positions)}
+def tagged_prompts(spark: SparkSession, folder: str) -> DataFrame:
+    """The prompts of the generations with each word's most frequent tag in the training text; words that it never tags have none."""
+    t = corpus(spark, folder, "train").where("tags IS NOT NULL").select(F.explode(F.arrays_zip("tokens", "tags")).alias("t")).groupBy(F.col("t.tokens").alias("w"), F.col("t.tags").alias("tag")).agg(F.count("*").alias("c"))
+    best = t.groupBy("w").agg(F.max_by("tag", F.struct("c", "tag")).alias("tag"))
+    p = table(spark, folder, "generations").select("prompt").distinct().select(F.array_join("prompt", " ").alias("prompt"), F.posexplode("prompt").alias("i", "w"))
+    word = F.when(F.col("tag").isNull(), F.col("w")).otherwise(F.concat("w", F.lit("/"), "tag"))
+    g = p.join(best, "w", "left").groupBy("prompt").agg(F.array_sort(F.collect_list(F.struct("i", word.alias("x")))).alias("x"))
+    return g.select("prompt", F.array_join(F.transform("x", lambda x: x["x"]), " ").alias("tagged"))
+
+
+def wanted_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """How often the 5-grams of the test text stand in training: only they are counted, as the training text is reduced to them before the aggregate."""
+    wanted = ng.grams(corpus(spark, folder, "test"), 5).where("k = 5").select("hist", "w").distinct()
+    c = ng.grams(_train(spark, folder), 5).where("k = 5").join(wanted, ["hist", "w"], "left_semi").groupBy("hist", "w").agg(F.count("*").alias("c"))
+    return c.groupBy("c").agg(F.count("*").alias("grams"))
+
+
+def prepared_corpus(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole preparation in a row: annotated lines, sentences, articles joined by shared long sentences, greedy split, vocabulary of words seen twice in training; sizes and unknown words per split."""
+    rows = table(spark, folder, "raw_first").where("para_id IS NOT NULL").select("para_id", "value").distinct()
+    s = annotated.segmented(annotated.parsed(rows), ["para_id"]).select(F.substring("para_id", 1, 15).alias("article_id"), "tokens")
+    s = cut(s)
+    links = s.where(F.size("tokens") >= 10).select(F.col("article_id").alias("node"), F.sha2(F.array_join("tokens", ng.SEP), 256).alias("key"))
+    members, sizes = components.groups(s.select(F.col("article_id").alias("node")), links)
+    placed = splitting.greedy_split(sizes, proportions=SHARES)
+    of = cut(members.join(placed, "root").select(F.col("node").alias("article_id"), "split"))
+    x = s.join(of, "article_id")
+    known = ng.vocabulary(x.where("split = 'train'")).where("c >= 2").select("w", F.lit(True).alias("known"))
+    words = x.select("split", F.explode("tokens").alias("w")).join(known, "w", "left").groupBy("split").agg(F.count("*").alias("tokens"), F.count_if(F.col("known").isNull()).alias("unknown"))
+    return x.groupBy("split").agg(F.countDistinct("article_id").alias("articles"), F.count("*").alias("sentences")).join(words, "split")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (article_split_greedy, split_projection, format_profile_full, rendering_words, dialect_tokens, annotation_census, span_cover, grid_cells, smoother_disagreements, first_unseen, pruned_entries, pruned_effect, added_corpora, marginal_gain, oov_spelling, prefix_statistics, paired_bootstrap_ci, core_perplexity, nested_positions, tagged_prompts, wanted_counts, prepared_corpus)}
 MODELS = {"kn_order_6": (6, "modified", None), "kn_original_5": (5, "original", None), "wb_5": (5, "witten_bell", None)}
 for _name, (_order, _method, _prune) in MODELS.items():
     QUERIES[_name] = lambda spark, folder, a=(_order, _method, _prune): lm.summary(_scored(spark, folder, *a))
@@ -263,5 +295,13 @@ SELECT count(*) AS words, round(avg(wo.b), 6) AS word_bits, round(avg(sp2.b), 6)
     "paired_bootstrap_ci": f"""WITH pd AS ({TEXT_SQL['pair_discrimination']}), re AS (SELECT rep, sum(t * (kn - sb)) / sum(t) AS x FROM (SELECT *, {_poisson_sql('sent_id')} AS t FROM pd, (SELECT unnest(range(1, 1001)) AS rep)) GROUP BY rep)
 SELECT (SELECT count(*) FROM pd) AS pairs, (SELECT round(avg(kn - sb), 6) FROM pd) AS difference, round(quantile_cont(x, 0.025), 6) AS low, round(quantile_cont(x, 0.975), 6) AS high FROM re""",
     "core_perplexity": " UNION ALL ".join(f"SELECT * FROM (WITH {model_sql(3, train=_NN.format(s='train', words=w), test=_NN.format(s='test', words=w))}, co AS ({_CORE}), kd AS ({w}) SELECT '{n}' AS vocabulary, (SELECT count(*) FROM kd) AS size, (SELECT round(sum(n) / (SELECT sum(n) FROM ({_FREQ})), 6) FROM kd) AS covered, round(pow(10.0, -avg(log10(p))), 4) AS ppl, count(*) FILTER (w IN (SELECT w FROM co)) AS core_events, round(pow(10.0, -avg(log10(p)) FILTER (w IN (SELECT w FROM co))), 4) AS core_ppl FROM sc)" for n, w in _KINDS.items()),
+    "tagged_prompts": f"""WITH {CORPUS_SQL}, t AS (SELECT unnest(tokens) AS w, unnest(tags) AS tag FROM sen WHERE split = 'train' AND tags IS NOT NULL), c AS (SELECT w, tag, count(*) AS n FROM t GROUP BY w, tag), b AS (SELECT w, tag FROM (SELECT *, row_number() OVER (PARTITION BY w ORDER BY n DESC, tag DESC) AS r FROM c) WHERE r = 1),
+p AS (SELECT array_to_string(prompt, ' ') AS prompt, unnest(prompt) AS w, generate_subscripts(prompt, 1) AS i FROM (SELECT DISTINCT prompt FROM generations)) SELECT prompt, string_agg(CASE WHEN tag IS NULL THEN p.w ELSE p.w || '/' || tag END, ' ' ORDER BY i) AS tagged FROM p LEFT JOIN b ON p.w = b.w GROUP BY prompt""",
+    "wanted_counts": f"WITH {model_sql(5)} SELECT n AS c, count(*) AS grams FROM (SELECT c.c AS n FROM c WHERE k = 5 AND EXISTS (SELECT 1 FROM ev WHERE ev.k = 5 AND ev.hist = c.hist AND ev.w = c.w)) GROUP BY n",
+    "prepared_corpus": f"""WITH RECURSIVE {_P}, sx AS (SELECT para_id[1:15] AS article_id, list(word ORDER BY pos) AS tokens FROM sg GROUP BY para_id, sent_no), kx AS (SELECT DISTINCT article_id, array_to_string(tokens, chr(31)) AS t FROM sx WHERE len(tokens) >= 10), ex AS (SELECT DISTINCT a.article_id AS a, b.article_id AS b FROM kx a JOIN kx b USING (t)),
+rx(a, b) AS (SELECT DISTINCT article_id, article_id FROM sx UNION SELECT rx.a, ex.b FROM rx JOIN ex ON rx.b = ex.a), gr AS (SELECT a AS article_id, min(b) AS group_id FROM rx GROUP BY a), sz AS (SELECT group_id, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, {_H}, group_id) AS i FROM gr GROUP BY group_id), nn AS (SELECT sum(n)::BIGINT AS total FROM sz),
+wk(i, a, b, c, split) AS (SELECT 0::BIGINT, 8 * total, total, total, '' FROM nn UNION ALL SELECT i, a - CASE WHEN s = 'train' THEN 10 * n ELSE 0 END, b - CASE WHEN s = 'dev' THEN 10 * n ELSE 0 END, c - CASE WHEN s = 'test' THEN 10 * n ELSE 0 END, s FROM (SELECT sz.i, n, a, b, c, CASE WHEN a >= b AND a >= c THEN 'train' WHEN b >= c THEN 'dev' ELSE 'test' END AS s FROM wk JOIN sz ON sz.i = wk.i + 1)),
+x AS (SELECT sx.*, wk.split FROM sx JOIN gr USING (article_id) JOIN sz USING (group_id) JOIN wk USING (i)), ww AS (SELECT split, unnest(tokens) AS w FROM x), vo AS (SELECT w FROM ww WHERE split = 'train' GROUP BY w HAVING count(*) >= 2)
+SELECT a.*, tokens, unknown FROM (SELECT split, count(DISTINCT article_id) AS articles, count(*) AS sentences FROM x GROUP BY split) a JOIN (SELECT split, count(*) AS tokens, count(*) FILTER (w NOT IN (SELECT w FROM vo)) AS unknown FROM ww GROUP BY split) USING (split)""",
     "nested_positions": f"WITH {CORPUS_SQL}, ps AS (SELECT sent_id, unnest(range(0, len(tokens) + 1))::INT AS pos FROM sen WHERE split = 'test') SELECT sent_id, pos, r <= 100 AS ranked FROM (SELECT *, row_number() OVER (ORDER BY ('0x' || md5('20260930:' || sent_id || ':' || pos)[1:12])::BIGINT, sent_id, pos) AS r FROM ps) WHERE r <= 300",
 }
