@@ -28,7 +28,7 @@ GAIN = 8.0
 KEPT = 0.2
 SHARE = 0.25
 #: Partitions of the training sentences: a fixed number, as their count is bounded and gradients are summed in this order.
-PARTS = 4
+PARTS = 8
 
 
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
