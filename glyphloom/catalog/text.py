@@ -180,7 +180,7 @@ def learning_curve(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def learning_curve_whole(spark: SparkSession, folder: str) -> DataFrame:
-    """The learning curve over a 16th, an eighth, a quarter and half of the training words and the whole training set; the SQL of learning_curve ends at 16,000 words."""
+    """The learning curve over a 16th, an eighth, a quarter and half of the training words and the whole training set."""
     train, test = cut(corpus(spark, folder, "train")), cut(corpus(spark, folder, "test"))
     total = train.agg(F.sum(F.size("tokens"))).first()[0] or 0
     out = []
@@ -209,16 +209,20 @@ def _growth(c: DataFrame) -> DataFrame:
     return heaps.join(ppl).join(n).select("words", r("factor").alias("heaps_factor"), r("exponent").alias("heaps_exponent"), r(F.col("f2") * F.pow("words", F.col("e2"))).alias("ppl_expected"))
 
 
-def _curve_sql() -> str:
+def _curve_sql(targets: tuple[str, ...] = ("2000", "4000", "8000", "16000")) -> str:
     parts = []
-    for t in (2000, 4000, 8000, 16000):
+    for t in targets:
         own = f"SELECT s.sent_id, s.tokens FROM sen s WHERE split = 'train' AND article_id IN (SELECT article_id FROM (SELECT article_id, coalesce(sum(words) OVER (ORDER BY h, article_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (SELECT article_id, sum(len(tokens)) AS words, ('0x' || md5('20260929:' || article_id)[1:12])::BIGINT AS h FROM sen WHERE split = 'train' GROUP BY article_id)) WHERE before < {t})"
         parts.append(f"SELECT * FROM (WITH {model_sql(3, train=own)} SELECT {t} AS target, (SELECT round(pow(10.0, -sum(log10(p)) / count(*)), 4) FROM sc) AS ppl, count(*) AS words, count(DISTINCT w) AS types FROM (SELECT unnest(tokens) AS w FROM tr))")
     return " UNION ALL ".join(parts)
 
 
+_WHOLE = _curve_sql(tuple(f"(SELECT ceil(sum(len(tokens)) / {part})::BIGINT FROM sen WHERE split = 'train')" for part in (16, 8, 4, 2, 1)))
+_LAWS = "SELECT 2 * max(words) AS words, round(exp(regr_intercept(ln(types), ln(words))), 4) AS heaps_factor, round(regr_slope(ln(types), ln(words)), 4) AS heaps_exponent, round(exp(regr_intercept(ln(ppl), ln(words))) * pow(2 * max(words), regr_slope(ln(ppl), ln(words))), 4) AS ppl_expected FROM cu"
+SQL["learning_curve_whole"] = _WHOLE
+SQL["growth_laws_whole"] = f"WITH cu AS ({_WHOLE}) {_LAWS}"
 SQL["learning_curve"] = _curve_sql()
-SQL["growth_laws"] = f"WITH cu AS ({_curve_sql()}) SELECT 2 * max(words) AS words, round(exp(regr_intercept(ln(types), ln(words))), 4) AS heaps_factor, round(regr_slope(ln(types), ln(words)), 4) AS heaps_exponent, round(exp(regr_intercept(ln(ppl), ln(words))) * pow(2 * max(words), regr_slope(ln(ppl), ln(words))), 4) AS ppl_expected FROM cu"
+SQL["growth_laws"] = f"WITH cu AS ({_curve_sql()}) {_LAWS}"
 
 
 def _generations(spark: SparkSession, folder: str) -> DataFrame:
