@@ -122,7 +122,7 @@ def pruned_effect(spark: SparkSession, folder: str) -> DataFrame:
     rows = cut(a.join(b, ["sent_id", "pos"]).join(e, ["sent_id", "pos"], "left").withColumn("bucket", bucket))
     g = rows.groupBy("bucket").agg(F.count("*").alias("events"), F.round(F.avg("ma"), 6).alias("order_full"), F.round(F.avg("mb"), 6).alias("order_pruned"), F.sum(F.col("pa") - F.col("pb")).alias("loss"))
     total = rows.agg(F.sum(F.col("pa") - F.col("pb")).alias("all"))  # one row
-    return g.join(total).select("bucket", "events", "order_full", "order_pruned", F.round(F.col("loss") / F.col("all"), 6).alias("loss_share"))
+    return g.join(total).select("bucket", "events", "order_full", "order_pruned", (F.round(F.col("loss") / F.col("all"), 6) + 0.0).alias("loss_share"))
 
 
 def added_corpora(spark: SparkSession, folder: str) -> DataFrame:
@@ -284,7 +284,7 @@ SELECT sent_id, wanted, (len(list_filter(ends, lambda e: e <= beg)) + 1)::INT AS
     "pruned_entries": f"WITH {model_sql(3, prune=[0, 0, 1])} SELECT k::INT AS k, count(*) AS entries, count(*) FILTER (kept) AS kept, count(*) FILTER (NOT kept) AS removed FROM s1 GROUP BY k",
     "pruned_effect": f"""WITH pa AS (WITH {model_sql(3)} SELECT sc.sent_id, sc.pos, sc.oov, log10(sc.p) AS p, sc.match, e.sent_id IS NOT NULL AS long, coalesce(e.c, 0) AS c FROM sc LEFT JOIN (SELECT ev.sent_id, ev.pos, c.c FROM ev LEFT JOIN c ON c.k = 3 AND c.hist = ev.hist AND c.w = ev.w WHERE ev.k = 3) e ON e.sent_id = sc.sent_id AND e.pos = sc.pos),
 pb AS (WITH {model_sql(3, prune=[0, 0, 1])} SELECT sent_id, pos, log10(p) AS p, match FROM sc), j AS (SELECT pa.*, pb.p AS q, pb.match AS m2 FROM pa JOIN pb USING (sent_id, pos))
-SELECT CASE WHEN oov THEN 'oov' WHEN NOT long THEN 'short' WHEN c = 0 THEN '0' WHEN c = 1 THEN '1' WHEN c <= 4 THEN '2-4' ELSE '5+' END AS bucket, count(*) AS events, round(avg(match), 6) AS order_full, round(avg(m2), 6) AS order_pruned, round(sum(p - q) / (SELECT sum(p - q) FROM j), 6) AS loss_share FROM j GROUP BY 1""",
+SELECT CASE WHEN oov THEN 'oov' WHEN NOT long THEN 'short' WHEN c = 0 THEN '0' WHEN c = 1 THEN '1' WHEN c <= 4 THEN '2-4' ELSE '5+' END AS bucket, count(*) AS events, round(avg(match), 6) AS order_full, round(avg(m2), 6) AS order_pruned, round(sum(p - q) / (SELECT sum(p - q) FROM j), 6) + 0.0 AS loss_share FROM j GROUP BY 1""",
     "added_corpora": " UNION ALL ".join(f"SELECT * FROM (WITH {model_sql(3, train=f'SELECT sent_id, tokens FROM sen WHERE split = {chr(39)}train{chr(39)} {w}')} SELECT '{n}' AS corpus, count(*) AS events, count(*) FILTER (oov) AS oov_events, round(pow(10.0, -sum(log10(p)) / count(*)), 4) AS ppl FROM sc)" for n, w in (("first", "AND article_id[1:6] = (SELECT min(article_id[1:6]) FROM sen WHERE split = 'train')"), ("all", ""))),
     "marginal_gain": f"WITH cu AS ({_curve_sql()}), d AS (SELECT target, words - lag(words) OVER (ORDER BY words) AS dw, lag(ppl) OVER (ORDER BY words) - ppl AS dp FROM cu) SELECT target, round(dp / dw * 1000, 6) AS gain FROM d WHERE dw IS NOT NULL",
     "oov_spelling": f"""WITH wo AS (WITH {model_sql(3)} SELECT sent_id, pos, -log2(p) AS b FROM sc WHERE oov), ch AS (WITH {model_sql(5, train=_CHARS + "'train'", test=_CHARS + "'test'")} SELECT sent_id, pos AS cp, -log2(p) AS b FROM sc),
@@ -292,7 +292,7 @@ SELECT CASE WHEN oov THEN 'oov' WHEN NOT long THEN 'short' WHEN c = 0 THEN '0' W
 sp2 AS (SELECT wp.sent_id, wp.pos, sum(ch.b) AS b FROM wp JOIN ch USING (sent_id, cp) GROUP BY wp.sent_id, wp.pos)
 SELECT count(*) AS words, round(avg(wo.b), 6) AS word_bits, round(avg(sp2.b), 6) AS char_bits FROM wo LEFT JOIN sp2 USING (sent_id, pos)""",
     "prefix_statistics": "WITH g AS (SELECT array_to_string(prompt, ' ') AS prompt, len(tokens) AS n, hit_eos::INT AS e, tokens[1] AS f FROM (SELECT *, row_number() OVER (PARTITION BY gen_id ORDER BY finished_at DESC) AS r FROM generations) WHERE r = 1) SELECT prompt, count(*) AS texts, round(avg(n), 6) AS mean_length, round(stddev_pop(n), 6) AS sd_length, round(avg(e), 6) AS ended, count(DISTINCT f) AS first_words FROM g GROUP BY prompt",
-    "paired_bootstrap_ci": f"""WITH pd AS ({TEXT_SQL['pair_discrimination']}), re AS (SELECT rep, sum(t * (kn - sb)) / sum(t) AS x FROM (SELECT *, {_poisson_sql('sent_id')} AS t FROM pd, (SELECT unnest(range(1, 1001)) AS rep)) GROUP BY rep)
+    "paired_bootstrap_ci": f"""WITH pd AS ({TEXT_SQL['pair_discrimination']}), re AS (SELECT rep, sum(t * (kn - sb)) / nullif(sum(t), 0) AS x FROM (SELECT *, {_poisson_sql('sent_id')} AS t FROM pd, (SELECT unnest(range(1, 1001)) AS rep)) GROUP BY rep)
 SELECT (SELECT count(*) FROM pd) AS pairs, (SELECT round(avg(kn - sb), 6) FROM pd) AS difference, round(quantile_cont(x, 0.025), 6) AS low, round(quantile_cont(x, 0.975), 6) AS high FROM re""",
     "core_perplexity": " UNION ALL ".join(f"SELECT * FROM (WITH {model_sql(3, train=_NN.format(s='train', words=w), test=_NN.format(s='test', words=w))}, co AS ({_CORE}), kd AS ({w}) SELECT '{n}' AS vocabulary, (SELECT count(*) FROM kd) AS size, (SELECT round(sum(n) / (SELECT sum(n) FROM ({_FREQ})), 6) FROM kd) AS covered, round(pow(10.0, -avg(log10(p))), 4) AS ppl, count(*) FILTER (w IN (SELECT w FROM co)) AS core_events, round(pow(10.0, -avg(log10(p)) FILTER (w IN (SELECT w FROM co))), 4) AS core_ppl FROM sc)" for n, w in _KINDS.items()),
     "tagged_prompts": f"""WITH {CORPUS_SQL}, t AS (SELECT unnest(tokens) AS w, unnest(tags) AS tag FROM sen WHERE split = 'train' AND tags IS NOT NULL), c AS (SELECT w, tag, count(*) AS n FROM t GROUP BY w, tag), b AS (SELECT w, tag FROM (SELECT *, row_number() OVER (PARTITION BY w ORDER BY n DESC, tag DESC) AS r FROM c) WHERE r = 1),

@@ -440,7 +440,7 @@ SQL |= {
 FROM (SELECT CASE WHEN sent_id < 0 THEN -sent_id - 1 ELSE sent_id END AS sent_id, max(CASE WHEN sent_id >= 0 THEN v END) AS kt, max(CASE WHEN sent_id < 0 THEN v END) AS ks, bool_or(o AND sent_id >= 0) AS o FROM (WITH {model_sql(3, test=_SWAPPED)} SELECT sent_id, sum(log10(p)) AS v, bool_or(oov) AS o FROM sc GROUP BY sent_id) GROUP BY 1) kn
 JOIN (SELECT CASE WHEN sent_id < 0 THEN -sent_id - 1 ELSE sent_id END AS sent_id, max(CASE WHEN sent_id >= 0 THEN v END) AS bt, max(CASE WHEN sent_id < 0 THEN v END) AS bs FROM ({_sb_sql('test', _SWAPPED)} SELECT sent_id, sum(log10(greatest({_SC.format(a='0.4::DOUBLE')}, 1e-300::DOUBLE))) AS v FROM pr GROUP BY sent_id) GROUP BY 1) sb USING (sent_id) WHERE NOT o""",
     "bootstrap_ci": _cache_sql("test", None) + f""", ga AS (SELECT article_id, -sum(log10(p)) AS a, -sum(log10({_MIX.format(x='0.15::DOUBLE')})) AS b, count(*) AS n FROM cc GROUP BY article_id),
-re AS (SELECT rep, pow(10.0, sum(t * (b - a)) / sum(t * n)) - 1 AS x FROM (SELECT *, {_poisson_sql('article_id')} AS t FROM ga, {_DRAWS}) GROUP BY rep)
+re AS (SELECT rep, pow(10.0, sum(t * (b - a)) / nullif(sum(t * n), 0)) - 1 AS x FROM (SELECT *, {_poisson_sql('article_id')} AS t FROM ga, {_DRAWS}) GROUP BY rep)
 SELECT (SELECT count(*) FROM ga) AS groups, (SELECT round(pow(10.0, (sum(b) - sum(a)) / sum(n)) - 1, 6) FROM ga) AS change, round(quantile_cont(x, 0.025), 6) AS low, round(quantile_cont(x, 0.975), 6) AS high FROM re""",
     "rank_metrics": f"""WITH {model_sql(3, test=_TEST_ALL)}, ctx AS (SELECT sent_id, pos, any_value(w) AS w, max(CASE WHEN k = 2 THEN hist END) AS h2, max(CASE WHEN k = 3 THEN hist END) AS h3 FROM ev GROUP BY sent_id, pos),
 cd AS (SELECT DISTINCT h2, h3 FROM ctx), cg AS (SELECT cd.*, coalesce(b2.gamma, 1.0) AS g2, coalesce(b3.gamma, 1.0) AS g3 FROM cd LEFT JOIN bo b2 ON b2.k = 2 AND b2.hist = h2 LEFT JOIN bo b3 ON b3.k = 3 AND b3.hist = h3),
