@@ -52,14 +52,15 @@ def source_sentences(queries: DataFrame, key: str, found: DataFrame, train: Data
     best = longest.select(key, F.col("_m.n").alias("n"), (-F.col("_m.i")).alias("i")).join(queries.select(key, F.col(tokens).alias("_q")), key)
     run = F.slice("_q", F.col("i"), F.col("n"))
     wanted = best.select(key, "_q", "i", "n", F.struct(F.xxhash64(run).alias("a"), F.xxhash64(F.lit(1), run).alias("b")).alias("h"))
+    # Runs meet by hash first, in one pass over the training text; only the sentences that are chosen are fetched.
     lengths = [r["n"] for r in wanted.select("n").distinct().collect()]  # at most as many as the longest run has words
-    out = None
-    for n in lengths:
-        there = _spans(train, ["sent_id", "tokens"], "tokens", n, n).select("sent_id", F.col("tokens").alias("_s"), F.col("i").alias("j"), "h")
-        own = wanted.where(F.col("n") == n).join(there, "h").groupBy(key, "_q", "i", "n").agg(F.min(F.struct("sent_id", "j", "_s")).alias("m"))
-        out = own if out is None else out.unionByName(own)
-    if out is None:
+    if not lengths:
         return queries.select(key).limit(0).select(key, F.lit(0).cast("bigint").alias("sent_id"), F.lit(0).alias("words"))
+    there = _spans(train, ["sent_id"], "tokens", max(lengths), min(lengths)).where(F.col("n").isin(lengths))
+    there = there.join(wanted.select("n", "h").distinct(), ["n", "h"], "left_semi").groupBy("n", "h").agg(F.min(F.struct("sent_id", F.col("i").alias("j"))).alias("m"))
+    chosen = wanted.join(there, ["n", "h"]).select(key, "_q", "i", "n", "m.sent_id", "m.j")
+    texts = train.join(chosen.select("sent_id").distinct(), "sent_id", "left_semi").groupBy("sent_id").agg(F.min("tokens").alias("_s"))
+    out = chosen.join(texts, "sent_id").select(key, "_q", "i", "n", F.struct("sent_id", "j", "_s").alias("m"))
     q, s, i, j, n = F.col("_q"), F.col("m._s"), F.col("i"), F.col("m.j"), F.col("n")
 
     def run_of_equal(count: Column, a: Column, b: Column, step: int) -> Column:
