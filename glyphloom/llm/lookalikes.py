@@ -66,13 +66,11 @@ def consistent_form(df: DataFrame, column: str, out: str = "canonical") -> DataF
     return df.join(forms, df[column] == forms["_text"], "left").drop("_text")
 
 
-def lookalike_pairs(df: DataFrame, *, key: str, column: str) -> DataFrame:
-    """``a, b`` (a < b): rows whose texts differ as strings but have the same canonical text.
+def _members(df: DataFrame, key: str, column: str) -> DataFrame:
+    """``_id, _text, canonical`` of the rows whose class has different texts.
 
     A first aggregate under the collation carries two hashes per class (the least and the greatest of its texts') and
-    leaves the classes with different texts, which are few; only their rows get a canonical member, joined back
-    by class. Different texts of a class are paired first and then joined to their rows, so rows that hold the
-    same text are never paired with one another. Rows with a NULL key or text pair with nothing.
+    leaves the classes with different texts, which are few; only their rows get a canonical member, joined back by class.
     """
     spark = df.sparkSession
     rows = df.select(F.col(key).alias("_id"), F.col(column).alias("_text")).where("_id IS NOT NULL AND _text IS NOT NULL").withColumn("look", look(F.col("_text")))
@@ -82,7 +80,7 @@ def lookalike_pairs(df: DataFrame, *, key: str, column: str) -> DataFrame:
             t=rows,
         )
     )
-    members = cut(
+    return cut(
         spark.sql(
             f"""WITH own AS (SELECT t._id, t._text, s.form FROM {{t}} t JOIN {{s}} s ON collate(t.look, '{COLLATION}') = collate(s.form, '{COLLATION}')),
             canon AS (SELECT form, min(_text) AS canonical FROM own GROUP BY form)
@@ -91,6 +89,15 @@ def lookalike_pairs(df: DataFrame, *, key: str, column: str) -> DataFrame:
             s=several,
         )
     )
+
+
+def lookalike_pairs(df: DataFrame, *, key: str, column: str) -> DataFrame:
+    """``a, b`` (a < b): rows whose texts differ as strings but have the same canonical text.
+
+    Different texts of a class are paired first and then joined to their rows, so rows that hold the
+    same text are never paired with one another. Rows with a NULL key or text pair with nothing.
+    """
+    members = _members(df, key, column)
     texts = members.select("canonical", "_text").distinct()
     x, y = texts.select("canonical", F.col("_text").alias("_x")), texts.select("canonical", F.col("_text").alias("_y"))
     pairs = x.join(y, "canonical").where("_x < _y").select("_x", "_y")
@@ -100,9 +107,7 @@ def lookalike_pairs(df: DataFrame, *, key: str, column: str) -> DataFrame:
 
 def lookalike_classes(df: DataFrame, *, key: str, column: str) -> DataFrame:
     """``key, canonical, others``: one row per row whose text has look-alikes: its class and how many rows of the class hold another string. Nothing is paired."""
-    forms = canonical_texts(df.where(F.col(key).isNotNull()), column)
-    several = forms.groupBy("canonical").agg(F.count("*").alias("_n")).where("_n > 1").select("canonical")
-    own = forms.join(several, "canonical").join(df.select(F.col(key), F.col(column).alias("text")).where(F.col(key).isNotNull()), "text")
-    per = own.groupBy("canonical", "text").agg(F.count("*").alias("_same"))
+    own = _members(df, key, column)
+    per = own.groupBy("canonical", "_text").agg(F.count("*").alias("_same"))
     all_ = per.groupBy("canonical").agg(F.sum("_same").alias("_all"))
-    return own.join(per, ["canonical", "text"]).join(all_, "canonical").select(key, "canonical", (F.col("_all") - F.col("_same")).alias("others"))
+    return own.join(per, ["canonical", "_text"]).join(all_, "canonical").select(F.col("_id").alias(key), "canonical", (F.col("_all") - F.col("_same")).alias("others"))
