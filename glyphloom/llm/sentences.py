@@ -2,8 +2,8 @@
 
 Between two words stands a hidden event, boundary or none. The model knows how likely a boundary is
 after a left word (with its mark), how much likelier a right word is after a boundary than after
-none, and how events follow one another at a distance. It is counted over all texts: the ends and
-starts of lines and rows are observed boundaries, the events inside them are estimated. Forward-backward posteriors over a line decide.
+none, and how events follow one another at a distance. It is counted over all different texts (one that stands in
+several rows tells no more than one that stands in one): the ends and starts of lines and rows are observed boundaries, the events inside them are estimated. Forward-backward posteriors over a line decide.
 
 An event that the model can only ever call none isn't written out: where a text is punctuated that is
 every gap between words without an end mark (in scripts without spaces: without white space). In a
@@ -37,6 +37,8 @@ MOST_ODDS = 4.0
 SHRINK = 8.0
 #: Occurrences by which a left word is drawn to its shape.
 DRAW = 20.0
+#: An end mark tells its script's rate of line ends if it has this many events inside lines and this share of its script's; rarer ones, brackets mostly, may stand at line ends alone.
+LEAST_INSIDE, LEAST_SHARE = 30, 0.01
 #: The widths that a hard wrap is believed to have.
 NARROWEST_WRAP, WIDEST_WRAP = 30, 120
 #: Characters that a stretch runs on without any punctuation before all its gaps are events: in alphabets, in scripts without spaces.
@@ -369,15 +371,15 @@ class _Counts:
         self.plain: Counter = Counter()
         self.guess: dict[str, float] = {}
 
-    def add(self, text: str) -> tuple[list[int], list[str]]:
-        """Counts a text; its events and ends in order: places, and the words around each, an empty string at the end of a line."""
+    def add(self, text: str, weight: float = 1) -> tuple[list[int], list[str]]:
+        """Counts a text, by its weight; its events and ends in order: places, and the words around each, an empty string at the end of a line."""
         stops: list[int] = []
         events: list[str] = []
         for s in segments(text):
             if s.last[0]:
-                self.edges["e", *s.last] += 1
+                self.edges["e", *s.last] += weight
             if s.first[0]:
-                self.edges["b", *s.first] += 1
+                self.edges["b", *s.first] += weight
             before = 1.0
             for c in s.candidates:
                 e = _event(c)
@@ -386,20 +388,26 @@ class _Counts:
                 now = self.guess.get(e)
                 if now is None:
                     now = self.guess[e] = local_guess(c[1], c[2], c[4])
-                self.steps[before, c[5], now] += 1
+                self.steps[before, c[5], now] += weight
                 before = now
             stops.append(s.end)
             events.append("")
             for a, b in s.plain:
-                self.plain["F", gram_before(text, a)] += 1
+                self.plain["F", gram_before(text, a)] += weight
                 if b >= 0:
-                    self.plain["S", gram_after(text, b)] += 1
-        self.events.update(events)
+                    self.plain["S", gram_after(text, b)] += weight
+        if weight == 1:
+            self.events.update(events)
+        else:
+            for e in events:
+                self.events[e] += weight
         return stops, events
 
-    def add_words(self, texts: list[str | None]) -> None:
-        """Counts all words of the texts, and all pairs of neighbouring letters of scripts without spaces."""
-        self.words.update(w for t in texts if t for w in LETTERS.findall(t.lower()))
+    def add_words(self, texts: list[str | None], weight: float = 1) -> None:
+        """Counts all words of the texts, and all pairs of neighbouring letters of scripts without spaces, by the weight of each text."""
+        found = Counter(w for t in texts if t for w in LETTERS.findall(t.lower()))
+        for w, k in found.items():
+            self.words[w] += k * weight
         data, _ = joined(texts)
         dense = np.zeros(len(data), dtype=bool)
         for a, b in DENSE_RANGES:
@@ -407,7 +415,7 @@ class _Counts:
         two = np.flatnonzero(dense[:-1] & dense[1:])
         pairs, n = np.unique(data[two].astype(np.uint64) << np.uint64(32) | data[two + 1], return_counts=True)
         for p, k in zip(pairs.tolist(), n.tolist(), strict=True):
-            self.words[p] += k
+            self.words[p] += k * weight
 
     def rows(self) -> list[tuple[str, str, str, str, float]]:
         """``kind, l, ls, r, rs`` joined in one tuple with the count, and an empty memory."""
@@ -430,7 +438,10 @@ _STATISTICS = ["_kind", "_l", "_ls", "_r", "_rs", "_n"]
 
 
 def observed(rows: DataFrame, *, keys: list[str], text: str, keep_text: bool = False) -> DataFrame:
-    """The one pass that reads the texts: a row per row of ``rows`` with its events, and rows of counts (those have ``_kind``).
+    """The one pass that cuts the texts into words: a row per row of ``rows`` with its events, and rows of counts (those have ``_kind``).
+
+    Each of n rows with equal texts counts 1/n, so that copies don't make rare words look well known; the hashes of texts that
+    several rows have are found before.
 
     ``keys, _stops, _events`` and, on demand, ``_text``. Written to the shared folder: the model is fitted on the counts and then
     decides the events, so no text is cut into words twice.
@@ -439,6 +450,9 @@ def observed(rows: DataFrame, *, keys: list[str], text: str, keep_text: bool = F
     types = [(f.name, f.dataType.simpleString()) for f in plain.schema if keep_text or f.name != "_text"]
     schema = ", ".join(f"`{n}` {t}" for n, t in types) + ", _stops array<int>, _events array<string>, _kind string, _l string, _ls string, _r string, _rs string, _n double"
     kept = [n for n, _ in types]
+    own_hash = F.xxhash64("_text").alias("_hash")
+    copies = cut(plain.where("_text <> ''").groupBy(own_hash).agg(F.count("*").alias("_copies")).where("_copies > 1"))
+    plain = plain.select("*", own_hash).join(copies, "_hash", "left").drop("_hash")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, kinds = _Counts(), None
@@ -452,19 +466,24 @@ def observed(rows: DataFrame, *, keys: list[str], text: str, keep_text: bool = F
         for batch in batches:
             kinds = [batch.schema.field(k).type for k in kept]
             texts = batch.column("_text").to_pylist()
+            weights = [1 if n is None else 1 / n for n in batch.column("_copies").to_pylist()]
             at = 0
             while at < len(texts):
                 # Few characters at a time, so that long texts don't multiply a batch's memory.
                 stops, events, sizes, low, chars = [], [], [0], at, 0
                 while at < len(texts) and chars < 2_000_000:
                     t = texts[at] or ""
-                    own = counts.add(t)
+                    own = counts.add(t, weights[at])
                     stops += own[0]
                     events += own[1]
                     sizes.append(len(stops))
                     chars += len(t)
                     at += 1
-                counts.add_words(texts[low:at])
+                alike: dict[float, list[str | None]] = {}
+                for t, w in zip(texts[low:at], weights[low:at], strict=True):
+                    alike.setdefault(w, []).append(t)
+                for w, some in alike.items():
+                    counts.add_words(some, w)
                 part = batch.slice(low, at - low)
                 offsets = pa.array(sizes, pa.int32())
                 lists = [pa.ListArray.from_arrays(offsets, pa.array(stops, pa.int32())), pa.ListArray.from_arrays(offsets, pa.array(events, pa.string()))]
@@ -517,13 +536,15 @@ def _boundaries(left: pd.DataFrame) -> dict[str, float]:
     """P(boundary) of left words and shapes from ``l, ls, ends, inside, open``.
 
     Lines end with a left word as often as sentences do inside lines, up to one factor per script, that
-    of its purest end marks; so the ends of lines tell how many of a left word's events are
+    of its purest end marks that aren't rare; so the ends of lines tell how many of a left word's events are
     boundaries. Events that plainly go on are taken off.
     """
     shapes = left.groupby("ls")[["ends", "inside", "open"]].sum()
     factor: dict[str, float] = {}
-    for ls, s in shapes.iterrows():
-        if ls[0] in "!." and s.inside >= 30:
+    marks = shapes[shapes.index.str[0].isin(["!", "."])]
+    whole = marks.inside.groupby(marks.index.str[1]).sum()
+    for ls, s in marks.iterrows():
+        if s.inside >= max(LEAST_INSIDE, LEAST_SHARE * whole[ls[1]]):
             factor[ls[1]] = max(factor.get(ls[1], 0.0), (s.ends + 1.0) / (s.inside + 2.0))
     boundary: dict[str, float] = {}
     for ls, s in shapes.iterrows():
@@ -588,7 +609,7 @@ def fitted(seen: DataFrame) -> Model:
     the MOST_WORDS most frequent words seen LEAST_SEEN times. Right words get their odds from line
     starts and from the events, weighted by the model so far, in a few rounds of expectation maximisation.
     """
-    counted = cut(seen.where("_kind IS NOT NULL").groupBy(*_STATISTICS[:5]).agg(F.sum("_n").alias("_n")))
+    counted = cut(seen.where("_kind IS NOT NULL").groupBy(*_STATISTICS[:5]).agg(F.round(F.sum("_n"), 6).alias("_n")))  # whole numbers again where copies met
     raw = counted.where("_kind = 'p'")
     often = lambda c: raw.where(F.col(c) != "").groupBy(c).agg(F.sum("_n").alias("_s")).where(F.col("_s") >= LEAST_SEEN).orderBy(F.desc("_s"), c).limit(MOST_WORDS).select(c, F.lit(True).alias(f"_k{c}"))
     known = raw.join(F.broadcast(often("_l")), "_l", "left").join(F.broadcast(often("_r")), "_r", "left")  # MOST_WORDS words at most

@@ -4,6 +4,7 @@ import random
 import unicodedata
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -293,6 +294,27 @@ def test_sentences_without_any_punctuation(spark):
     assert sentences.ends_of(model, en[0] + " and nothing else") == [len(en[0]) + 17]
 
 
+def test_rare_end_marks_do_not_set_the_rate_of_line_ends():
+    """Bracketed sentences, rare and mostly at line ends, pass the least number of events in large tables only."""
+    for times in (1, 55):
+        left = pd.DataFrame([(".lport", ".la5", 70.0, 140.0), (".lto", ".la3", 0.0, 60.0), (".lport)", ".la5)", 10.0, 3.0)], columns=["l", "ls", "ends", "inside"])
+        left = pd.concat([left, pd.DataFrame([("!l!", "!l", 400.0, 700.0)], columns=left.columns)], ignore_index=True)
+        left[["ends", "inside"]] *= times
+        got = sentences._boundaries(left.assign(open=left.inside))
+        assert got["!l!"] > 0.9 and got[".lport"] > 0.9 and got[".lto"] < 0.1, (times, got)
+
+
+def test_copies_of_rows_do_not_make_rare_words_well_known(spark):
+    rng = random.Random(21)
+    name = lambda n: "".join(rng.choice(["ba", "ke", "lo", "mi", "tu", "sa", "ri", "no"]) for _ in range(n)).capitalize()
+    texts = [" ".join(f"{name(3)} met Mr. {name(3)} in {name(4)}." for _ in range(4)) for _ in range(150)]
+    once = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")
+    often = once.crossJoin(spark.range(40).select(F.col("id").alias("copy"))).select((F.col("copy") * 1000 + F.col("id")).alias("id"), "text")
+    one, many = (sentences.fitted(sentences.observed(df, keys=["id"], text="text")) for df in (once, often))
+    assert one.boundary == pytest.approx(many.boundary) and one.odds == pytest.approx(many.odds) and one.last == pytest.approx(many.last)
+    assert [sentences.ends_of(many, t) for t in texts] == [sentences.ends_of(one, t) for t in texts]
+
+
 def test_posteriors_sum_over_all_paths():
     rng = random.Random(7)
     m = sentences.Model({"l0": 0.3, "l1": 0.8}, {"r0": 2.0, "r1": 0.5}, {(e, d): (rng.uniform(0.5, 2), rng.uniform(0.5, 2)) for e in (0, 1) for d in (0, 1, 2)})
