@@ -5,10 +5,11 @@ after a left word (with its mark), how much likelier a right word is after a bou
 none, and how events follow one another at a distance. It is counted over all different texts (one that stands in
 several rows tells no more than one that stands in one): the ends and starts of lines and rows are observed boundaries, the events inside them are estimated. Forward-backward posteriors over a line decide.
 
-An event that the model can only ever call none isn't written out: where a text is punctuated that is
-every gap between words without an end mark (in scripts without spaces: without white space). In a
-stretch that runs on without any punctuation every gap between words, or letters of a script without
-spaces, is an event, and the words that stand before and after boundaries elsewhere decide.
+Every gap between words, or letters of a script without spaces, is looked at; the words that stand before
+and after boundaries elsewhere decide, weighed by how likely a stretch of its length is to be text
+without marks. That is counted, too: where sentences are marked, long stretches without any punctuation are
+rare. In stretches longer than PLAIN gaps are events like marks, others are decided each by itself. Inside
+quotations and beside commas, brackets and the like no gap ends a sentence.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphloom.functions.text import INVISIBLE, INVISIBLE_RANGES, SPACE_RANGES, SPACES, char_class
+from glyphloom.functions.workers import per_process
 from glyphloom.llm.codepoints import joined
 from glyphloom.plans.materialise import cut
 
@@ -41,7 +43,7 @@ DRAW = 20.0
 LEAST_INSIDE, LEAST_SHARE = 30, 0.01
 #: The widths that a hard wrap is believed to have.
 NARROWEST_WRAP, WIDEST_WRAP = 30, 120
-#: Characters that a stretch runs on without any punctuation before all its gaps are events: in alphabets, in scripts without spaces.
+#: Characters that a stretch runs on without any punctuation before it surely is text without marks and all its gaps are events: in alphabets, in scripts without spaces.
 PLAIN, PLAIN_DENSE = 240, 120
 #: How far one word may move an event of a stretch without punctuation, and a word longer than this counts by its shape.
 MOST_GAP_ODDS, LONGEST_WORD = 50.0, 64
@@ -360,8 +362,76 @@ def _event(c: tuple[int, str, str, str, str, int]) -> str:
     return f"{c[1]}{_US}{c[2]}{_US}{c[3]}{_US}{c[4]}{_US}{c[5]}"
 
 
+_MARK, _WHITE, _WORD, _STARTS, _SOLID, _STRONG, _WEAK = 1, 2, 4, 8, 16, 32, 64
+
+
+def _kind(c: str) -> int:
+    if PUNCTUATION.match(c):
+        return _MARK | _STRONG * (c in STRONG) | _WEAK * (c in WEAK)
+    if SPACE.match(c):
+        return _WHITE
+    return 0 if HIDDEN.match(c) else _WORD | _STARTS * c.isalnum() | _SOLID * bool(DENSE.match(c))
+
+
+def _kinds(data: np.ndarray) -> np.ndarray:
+    table = per_process("sentence_kinds", lambda: np.array([_kind(chr(i)) for i in range(0x10000)], dtype=np.uint8))
+    kind = table[np.minimum(data, 0xFFFF)]
+    beyond = np.flatnonzero(data > 0xFFFF)
+    for c in np.unique(data[beyond]).tolist():
+        kind[beyond[data[beyond] == c]] = _kind(chr(c))
+    return kind
+
+
+@dataclass(slots=True)
+class Runs:
+    """The stretches without punctuation of several texts, none across the end of a line or an event.
+
+    ``places`` of all letters and digits; each stretch is those from ``head`` to before ``tail``. Sizes are in characters, one of a
+    script without spaces (``close``) for PLAIN / PLAIN_DENSE; ``marked``: whether its line has end marks.
+    """
+
+    kind: np.ndarray
+    places: np.ndarray
+    head: np.ndarray
+    tail: np.ndarray
+    close: np.ndarray
+    size: np.ndarray
+    marked: np.ndarray
+    text: np.ndarray
+
+    def longest(self, n: int) -> np.ndarray:
+        out = np.zeros(n, dtype=np.int32)
+        np.maximum.at(out, self.text, self.size.astype(np.int32))
+        return out
+
+
+def runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lines: np.ndarray) -> Runs:
+    """Stretches of ``joined`` texts; ``ends`` of stretches and of lines are places in all of them."""
+    kind = _kinds(data)
+    new = (kind & _MARK).astype(bool)
+    new[ends] = True
+    places = np.flatnonzero(kind & _WORD)
+    of = np.cumsum(new, dtype=np.int32)[places]
+    head = np.flatnonzero(np.diff(of, prepend=-1))
+    tail = np.append(head[1:], len(places)).astype(np.int64) if len(head) else head
+    dense = np.append(0, np.cumsum((kind[places] & _SOLID) > 0))
+    close = 2 * (dense[tail] - dense[head]) >= tail - head
+    size = (places[tail - 1] - places[head] + 1) * np.where(close, PLAIN // PLAIN_DENSE, 1)
+    mark = (kind & _STRONG > 0) | (kind & _WEAK > 0) & (np.append(kind[1:], 0) & _WORD == 0)  # not the dots of numbers and the like
+    before = np.append(0, np.cumsum(mark))[np.append(0, lines)]
+    line = np.searchsorted(lines, places[head], side="right")
+    return Runs(kind, places, head, tail, close, size, before[line + 1] > before[line], np.searchsorted(starts, places[head], side="right") - 1)
+
+
+def run_ends(starts: np.ndarray, sizes: list[int], stops: list[int], events: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Where stretches and where lines of joined texts end (``sizes``: where a text's events begin). Events other than gaps end a stretch, white space in scripts written without it included."""
+    first = np.fromiter((0 if not e else 2 if e[0] == "w" else 1 for e in events), dtype=np.int8, count=len(events))
+    at = np.asarray(stops, dtype=np.int64) + np.repeat(starts[: len(sizes)], np.diff(np.append(sizes, len(events))))
+    return at[first < 2], at[first == 0]
+
+
 class _Counts:
-    """What a task has counted: pairs of words around events, how guessed events follow one another, and words at plain boundaries and anywhere."""
+    """What a task has counted: pairs of words around events, how guessed events follow one another, words at plain boundaries and anywhere, and stretches without punctuation by size."""
 
     def __init__(self) -> None:
         self.events: Counter = Counter()
@@ -369,6 +439,7 @@ class _Counts:
         self.steps: Counter = Counter()
         self.words: Counter = Counter()
         self.plain: Counter = Counter()
+        self.runs: Counter = Counter()
         self.guess: dict[str, float] = {}
 
     def add(self, text: str, weight: float = 1) -> tuple[list[int], list[str]]:
@@ -403,19 +474,32 @@ class _Counts:
                 self.events[e] += weight
         return stops, events
 
-    def add_words(self, texts: list[str | None], weight: float = 1) -> None:
-        """Counts all words of the texts, and all pairs of neighbouring letters of scripts without spaces, by the weight of each text."""
-        found = Counter(w for t in texts if t for w in LETTERS.findall(t.lower()))
-        for w, k in found.items():
-            self.words[w] += k * weight
-        data, _ = joined(texts)
-        dense = np.zeros(len(data), dtype=bool)
-        for a, b in DENSE_RANGES:
-            dense |= (data >= a) & (data <= b)
+    def add_words(self, texts: list[str | None], weights: list[float], sizes: list[int], stops: list[int], events: list[str]) -> np.ndarray:
+        """Counts all words of the texts, all pairs of neighbouring letters of scripts without spaces and all stretches, by the weight of each text; the size of each text's longest stretch."""
+        alike: dict[float, list[str]] = {}
+        for t, w in zip(texts, weights, strict=True):
+            if t:
+                alike.setdefault(w, []).append(t)
+        for weight, some in alike.items():
+            for w, k in Counter(w for t in some for w in LETTERS.findall(t.lower())).items():
+                self.words[w] += k * weight
+        data, starts = joined(texts)
+        found = runs(data, starts, *run_ends(starts, sizes, stops, events))
+        own = np.asarray(weights, dtype=float)
+        dense = (found.kind & _SOLID) > 0
         two = np.flatnonzero(dense[:-1] & dense[1:])
-        pairs, n = np.unique(data[two].astype(np.uint64) << np.uint64(32) | data[two + 1], return_counts=True)
+        codes = data[two].astype(np.uint64) << np.uint64(32) | data[two + 1]
+        if (own == 1).all():
+            pairs, n = np.unique(codes, return_counts=True)
+        else:
+            pairs, which = np.unique(codes, return_inverse=True)
+            n = np.bincount(which, weights=own[np.searchsorted(starts, two, side="right") - 1], minlength=len(pairs))
         for p, k in zip(pairs.tolist(), n.tolist(), strict=True):
-            self.words[p] += k * weight
+            self.words[p] += k
+        n = np.bincount(found.close * (PLAIN + 2) + np.minimum(found.size, PLAIN + 1), weights=own[found.text], minlength=2 * (PLAIN + 2))
+        for i in np.flatnonzero(n).tolist():
+            self.runs["ds"[i < PLAIN + 2], i % (PLAIN + 2)] += n[i]
+        return found.longest(len(texts))
 
     def rows(self) -> list[tuple[str, str, str, str, float]]:
         """``kind, l, ls, r, rs`` joined in one tuple with the count, and an empty memory."""
@@ -427,6 +511,7 @@ class _Counts:
                 out += [("f", str(e), str(d), str(v), "", n * p * q) for v, q in ((1, now), (0, 1 - now))]
         out += [("T", w if isinstance(w, str) else chr(w >> 32) + chr(w & 0xFFFFFFFF), "", "", "", float(n)) for w, n in self.words.items()]
         out += [(k, w, "", "", "", float(n)) for (k, w), n in self.plain.items() if w]
+        out += [("L", k, str(size), "", "", float(n)) for (k, size), n in self.runs.items()]
         self.__init__()
         return out
 
@@ -437,18 +522,18 @@ class _Counts:
 _STATISTICS = ["_kind", "_l", "_ls", "_r", "_rs", "_n"]
 
 
-def observed(rows: DataFrame, *, keys: list[str], text: str, keep_text: bool = False) -> DataFrame:
+def observed(rows: DataFrame, *, keys: list[str], text: str, keep_text: bool = True) -> DataFrame:
     """The one pass that cuts the texts into words: a row per row of ``rows`` with its events, and rows of counts (those have ``_kind``).
 
     Each of n rows with equal texts counts 1/n, so that copies don't make rare words look well known; the hashes of texts that
     several rows have are found before.
 
-    ``keys, _stops, _events`` and, on demand, ``_text``. Written to the shared folder: the model is fitted on the counts and then
-    decides the events, so no text is cut into words twice.
+    ``keys, _stops, _events, _longest`` (the size of the longest stretch without punctuation) and ``_text``, which ``sentence_ends`` needs.
+    Written to the shared folder: the model is fitted on the counts and then decides the events, so no text is cut into words twice.
     """
     plain = rows.select(*keys, F.col(text).alias("_text"))
     types = [(f.name, f.dataType.simpleString()) for f in plain.schema if keep_text or f.name != "_text"]
-    schema = ", ".join(f"`{n}` {t}" for n, t in types) + ", _stops array<int>, _events array<string>, _kind string, _l string, _ls string, _r string, _rs string, _n double"
+    schema = ", ".join(f"`{n}` {t}" for n, t in types) + ", _stops array<int>, _events array<string>, _longest int, _kind string, _l string, _ls string, _r string, _rs string, _n double"
     kept = [n for n, _ in types]
     own_hash = F.xxhash64("_text").alias("_hash")
     copies = cut(plain.where("_text <> ''").groupBy(own_hash).agg(F.count("*").alias("_copies")).where("_copies > 1"))
@@ -460,8 +545,8 @@ def observed(rows: DataFrame, *, keys: list[str], text: str, keep_text: bool = F
         def statistics() -> pa.RecordBatch:
             own = list(zip(*counts.rows(), strict=True)) or [()] * 6
             n = len(own[0])
-            nothing = [pa.nulls(n, k) for k in kinds] + [pa.nulls(n, pa.list_(pa.int32())), pa.nulls(n, pa.list_(pa.string()))]
-            return pa.RecordBatch.from_arrays(nothing + [pa.array(c, pa.string()) for c in own[:5]] + [pa.array(own[5], pa.float64())], names=[*kept, "_stops", "_events", *_STATISTICS])
+            nothing = [pa.nulls(n, k) for k in kinds] + [pa.nulls(n, pa.list_(pa.int32())), pa.nulls(n, pa.list_(pa.string())), pa.nulls(n, pa.int32())]
+            return pa.RecordBatch.from_arrays(nothing + [pa.array(c, pa.string()) for c in own[:5]] + [pa.array(own[5], pa.float64())], names=[*kept, "_stops", "_events", "_longest", *_STATISTICS])
 
         for batch in batches:
             kinds = [batch.schema.field(k).type for k in kept]
@@ -479,16 +564,12 @@ def observed(rows: DataFrame, *, keys: list[str], text: str, keep_text: bool = F
                     sizes.append(len(stops))
                     chars += len(t)
                     at += 1
-                alike: dict[float, list[str | None]] = {}
-                for t, w in zip(texts[low:at], weights[low:at], strict=True):
-                    alike.setdefault(w, []).append(t)
-                for w, some in alike.items():
-                    counts.add_words(some, w)
+                longest = counts.add_words(texts[low:at], weights[low:at], sizes[:-1], stops, events)
                 part = batch.slice(low, at - low)
                 offsets = pa.array(sizes, pa.int32())
-                lists = [pa.ListArray.from_arrays(offsets, pa.array(stops, pa.int32())), pa.ListArray.from_arrays(offsets, pa.array(events, pa.string()))]
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(stops, pa.int32())), pa.ListArray.from_arrays(offsets, pa.array(events, pa.string())), pa.array(longest, pa.int32())]
                 none = [pa.nulls(part.num_rows, pa.string())] * 5 + [pa.nulls(part.num_rows, pa.float64())]
-                yield pa.RecordBatch.from_arrays([part.column(k) for k in kept] + lists + none, names=[*kept, "_stops", "_events", *_STATISTICS])
+                yield pa.RecordBatch.from_arrays([part.column(k) for k in kept] + lists + none, names=[*kept, "_stops", "_events", "_longest", *_STATISTICS])
                 if counts.size() > 300_000:
                     yield statistics()
         if kinds is not None:
@@ -501,7 +582,8 @@ def observed(rows: DataFrame, *, keys: list[str], text: str, keep_text: bool = F
 class Model:
     """``boundary``: P(boundary | left word, a right word that may begin a sentence); ``odds``: how much likelier a right word is after a boundary.
 
-    ``last`` and ``start``: by how much a word before, after a gap moves an event without a mark; ``gap``: the odds it starts from.
+    ``last`` and ``start``: by how much a word before, after a gap moves an event without a mark; ``gap``: the odds it starts from in text without marks;
+    ``unmarked``: by the kind of a stretch without punctuation (d: scripts without spaces, s: others; capitals: in lines that have end marks) and its size, how likely it is such text.
     """
 
     boundary: dict[str, float]
@@ -510,6 +592,7 @@ class Model:
     last: dict[str, float] = field(default_factory=dict)
     start: dict[str, float] = field(default_factory=dict)
     gap: float = 0.01
+    unmarked: dict[str, list[float]] = field(default_factory=dict)
 
     def scores(self, l: str, ls: str, r: str, rs: str) -> tuple[float, float]:
         """Likelihoods of boundary and none at an event."""
@@ -522,6 +605,15 @@ class Model:
         odds = self.odds.get(r) or self.odds.get("~" + rs, 1.0)
         return p * odds, 1 - p
 
+    def likely(self, kind: str, size: int) -> float:
+        """How likely a stretch is text without marks."""
+        return self.unmarked[kind][min(size, PLAIN + 1)] if self.unmarked else float(size > PLAIN)
+
+    def least_size(self) -> int:
+        """Gaps of smaller stretches are none, whatever the words around."""
+        most = self.gap * max([1.0, *self.last.values()]) * max([1.0, *self.start.values()])
+        return next((n for n in range(PLAIN + 2) if any(self.likely(k, n) * most > 1 for k in "dsDS")), PLAIN + 1)
+
 
 def goes_on(left: str, right_shape: str) -> bool:
     """A small letter or a comma after a mark shows that the sentence goes on."""
@@ -634,6 +726,9 @@ def fitted(seen: DataFrame) -> Model:
     follow: Counter = Counter()
     for r in counted.where("_kind = 'f'").collect():  # twelve rows
         follow[int(r["_l"]), int(r["_ls"]), int(r["_r"])] += r["_n"]
+    for r in counted.where("_kind = 'L'").collect():  # a row per size and kind of stretch, PLAIN + 1 of each at most
+        model.unmarked.setdefault(r["_l"], [0.0] * (PLAIN + 2))[int(r["_ls"])] += r["_n"]
+    model.unmarked = {own: _unmarked(model.unmarked.get(k, [0.0] * (PLAIN + 2)), own != k) for k in "ds" for own in (k, k.upper())}
     for e in (0, 1):
         for d in (0, 1, 2):
             y, n = follow[e, d, 1] + 1.0, follow[e, d, 0] + 1.0
@@ -642,6 +737,18 @@ def fitted(seen: DataFrame) -> Model:
     return _gap_odds(counted, model)
 
 
+def _unmarked(runs: list[float], marked: bool) -> list[float]:
+    """How likely stretches of each size are text without marks, from how many there are of each.
+
+    As often as stretches are longer than PLAIN a text has no marks; else a stretch gets to a size as often as the others do. Where
+    its line has end marks, this has to be a rare case among rare cases.
+    """
+    all_, long = sum(runs[:-1]) + 2.0, runs[-1] + 1.0
+    prior = (long / (all_ + long)) ** (1 + marked)
+    reach = (np.cumsum(runs[-2::-1])[::-1] + 1.0) / all_
+    return [*(prior / (prior + (1 - prior) * reach)).tolist(), 1.0]
+
+
 def _gap_odds(counted: DataFrame, model: Model) -> Model:
     """Adds how words stand before and after plain boundaries, against how often they stand anywhere."""
     of = lambda k: F.sum(F.when(F.col("_kind") == k, F.col("_n")).otherwise(0.0))
@@ -713,17 +820,58 @@ def posteriors(model: Model, events: pa.ListArray) -> np.ndarray:
     return out
 
 
-def decided(model: Model, stops: pa.ListArray, events: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-    """End positions of all rows one after the other, and where each row's begin (one more at the end)."""
+def _plain_gaps(model: Model, text: str, stops: list[int], events: list[str], least: int) -> list[int]:
+    """The boundaries among the gaps of a text's stretches that aren't events: those more likely than not by the words around and their stretch."""
+    data, starts = joined([text])
+    ends = [s for s, e in zip(stops, events, strict=True) if not e]
+    found = runs(data, starts, *run_ends(starts, [0], stops, events))
+    which = np.repeat(np.arange(len(found.head)), found.tail - found.head)
+    a, b = found.places[:-1], found.places[1:]
+    white = np.cumsum(found.kind & _WHITE > 0)
+    apart = (white[b] > white[a]) | ((found.kind[a] | found.kind[b]) & _SOLID > 0) & (found.kind[b] & _STARTS > 0)
+    at = np.flatnonzero((which[:-1] == which[1:]) & apart & (found.size[which[:-1]] >= least)) if len(which) else []
+    quoted = []
+    if len(at) and QUOTE.search(text):
+        for low, high in zip([0, *ends], ends, strict=False):
+            quoted += [m.span() for m in QUOTED.finditer(text, low, high)]
+    out, known, q = [], set(stops), 0
+    for i in at:
+        stop, run = int(a[i]) + 1, which[i]
+        while q < len(quoted) and quoted[q][1] <= stop:
+            q += 1
+        if stop in known or q < len(quoted) and quoted[q][0] < stop:
+            continue
+        own = script(text[stop - 1])
+        odds = model.scores(f"w{own}{gram_before(text, stop)}", f"w{own}", *right_word(text, int(b[i]), len(text), own))[0]
+        if odds * model.likely("sdSD"[int(found.close[run]) + 2 * int(found.marked[run])], int(found.size[run])) > 1:
+            out.append(stop)
+    return out
+
+
+def decided(model: Model, stops: pa.ListArray, events: pa.ListArray, longest: np.ndarray, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """End positions of all rows one after the other, and where each row's begin (one more at the end).
+
+    Only rows with a ``longest`` stretch of the model's least size have to have their texts.
+    """
     keep = posteriors(model, events) > 0.5
     offsets = np.asarray(events.offsets) - events.offsets[0].as_py()
-    return stops.flatten().to_numpy(zero_copy_only=False)[keep], np.concatenate([[0], np.cumsum(keep)])[offsets]
+    ends, starts = stops.flatten().to_numpy(zero_copy_only=False)[keep], np.concatenate([[0], np.cumsum(keep)])[offsets]
+    least = model.least_size()
+    more = [(i, stop) for i in np.flatnonzero(longest >= least).tolist() for stop in _plain_gaps(model, texts[i], stops[i].as_py(), events[i].as_py(), least)]
+    if more:
+        rows, added = np.array(more, dtype=np.int64).T
+        row = np.concatenate([np.repeat(np.arange(len(starts) - 1), np.diff(starts)), rows])
+        order = np.lexsort((both := np.concatenate([ends, added]), row))
+        ends, starts = both[order], np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(starts) - 1))])
+    return ends, starts
 
 
 def ends_of(model: Model, text: str | None) -> list[int]:
     """End positions of the sentences of one text, in order; none for NULL, empty and blank texts."""
-    stops, events = _Counts().add(text or "")
-    return decided(model, pa.array([stops], pa.list_(pa.int32())), pa.array([events], pa.list_(pa.string())))[0].tolist()
+    counts = _Counts()
+    stops, events = counts.add(text or "")
+    longest = counts.add_words([text], [1], [0], stops, events)
+    return decided(model, pa.array([stops], pa.list_(pa.int32())), pa.array([events], pa.list_(pa.string())), longest, [text])[0].tolist()
 
 
 def sentence_ends(seen: DataFrame, model: Model, *, keys: list[str]) -> DataFrame:
@@ -733,13 +881,14 @@ def sentence_ends(seen: DataFrame, model: Model, *, keys: list[str]) -> DataFram
     time; very long texts are read as a whole; other columns are ignored.
     """
     sent = seen.sparkSession.sparkContext.broadcast(vars(model))
-    rows = seen.where("_kind IS NULL").select(*keys, "_stops", "_events")
+    wanted = F.when(F.col("_longest") >= model.least_size(), F.col("_text"))
+    rows = seen.where("_kind IS NULL").select(*keys, "_stops", "_events", "_longest", wanted.alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in keys) + ", end_pos int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(**sent.value)
         for batch in batches:
-            ends, starts = decided(model, batch.column("_stops"), batch.column("_events"))
+            ends, starts = decided(model, *(batch.column(c) for c in ("_stops", "_events")), batch.column("_longest").to_numpy(zero_copy_only=False), batch.column("_text").to_pylist())
             at = pa.array(np.repeat(np.arange(batch.num_rows), np.diff(starts)), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(k).take(at) for k in keys] + [pa.array(ends, pa.int32())], names=[*keys, "end_pos"])
 

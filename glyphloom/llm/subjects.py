@@ -85,7 +85,7 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def _pieces(model: sentences.Model, batch: pa.RecordBatch, texts: list[str | None]) -> Iterator[tuple[int, int, list[str], np.ndarray]]:
     """A few rows of observed texts at a time: their range, all their sentences, and where each row's begin (one more at the end)."""
-    ends, starts = sentences.decided(model, batch.column("_stops"), batch.column("_events"))
+    ends, starts = sentences.decided(model, batch.column("_stops"), batch.column("_events"), batch.column("_longest").to_numpy(zero_copy_only=False), texts)
     for low, high in slices(texts, 300_000):
         out: list[str] = []
         for i in range(low, high):
@@ -224,7 +224,7 @@ def training_rows(seen: DataFrame, labels: DataFrame, names: list[str], model: s
     number = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("subject")).cast("int") - 1
     per = labels.where(F.col(key).isNotNull() & F.col("subject").isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.array_sort(F.collect_set(F.when(number >= 0, number))).alias("labels"))
     few = per.orderBy(F.xxhash64("_k"), "_k").limit(limit)
-    rows = seen.where("_kind IS NULL").join(F.broadcast(few), F.col(key) == F.col("_k")).select("_text", "_stops", "_events", "labels").repartition(PARTS)
+    rows = seen.where("_kind IS NULL").join(F.broadcast(few), F.col(key) == F.col("_k")).select("_text", "_stops", "_events", "_longest", "labels").repartition(PARTS)
     sent = spark.sparkContext.broadcast(vars(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,5 +256,5 @@ def scored(seen: DataFrame, parameters, lookup: np.ndarray, names: list[str], mo
                 a, b = np.nonzero((hits > 0) & (hits >= share * n[:, None]))
                 yield pa.RecordBatch.from_arrays([batch.column(key).slice(low, high - low).take(pa.array(a)), pa.array([names[i] for i in b], pa.string()), pa.array(hits[a, b] / n[a], pa.float64())], names=[key, "subject", "share"])
 
-    rows = seen.where("_kind IS NULL").select(key, "_text", "_stops", "_events")
+    rows = seen.where("_kind IS NULL").select(key, "_text", "_stops", "_events", "_longest")
     return rows.mapInArrow(run, f"`{key}` {seen.schema[key].dataType.simpleString()}, subject string, share double")

@@ -315,6 +315,28 @@ def test_copies_of_rows_do_not_make_rare_words_well_known(spark):
     assert [sentences.ends_of(many, t) for t in texts] == [sentences.ends_of(one, t) for t in texts]
 
 
+def test_every_gap_between_words_is_looked_at(spark):
+    """Short stretches without marks are cut as well if they are longer than stretches with marks are; between marks only where such text is common."""
+    rng = random.Random(12)
+    en = ["Today the mayor opened a bridge", "Nobody wanted to leave the harbour", "Later some children sang near the station", "Trains were late again this week"]
+    zh = ["今天市长剪彩了大桥", "昨夜渔民修理着旧船", "老师们称赞学生努力"]
+    texts = [" ".join(rng.choice(en) + "." for _ in range(4)) for _ in range(200)] + ["".join(rng.choice(zh) + "。" for _ in range(4)) for _ in range(200)]
+    fit = lambda own: sentences.fitted(sentences.observed(spark.createDataFrame(list(enumerate(own)), "id bigint, text string"), keys=["id"], text="text"))
+    model = fit(texts)
+    assert sentences.ends_of(model, " ".join(en[:3])) == [31, 66, 108]
+    mixed = f"{en[3]}. {en[0]} {en[1]} {en[2]}. {en[3]}."
+    assert sentences.ends_of(model, mixed) == [33, 143, 177]
+    assert sentences.ends_of(fit(texts + [" ".join(rng.choice(en) for _ in range(12)) for _ in range(40)]), mixed) == [33, 65, 100, 143, 177]
+    assert sentences.ends_of(model, "".join(zh)) == [9, 18, 27]
+    quoted = f"{en[0]}: “{en[1]} {en[2]} {en[3]}.”"
+    assert sentences.ends_of(model, quoted) == [len(quoted)]
+    seen = sentences.observed(spark.createDataFrame([(1, " ".join(en[:3])), (2, None), (3, en[0]), (4, texts[0]), (5, "".join(zh))], "id bigint, text string"), keys=["id"], text="text")
+    got = sorted((r["id"], r["end_pos"]) for r in sentences.sentence_ends(seen, model, keys=["id"]).collect() if r["id"] != 4)
+    assert got == [(1, 31), (1, 66), (1, 108), (3, 31), (5, 9), (5, 18), (5, 27)]
+    for e in [*en, *zh]:
+        assert sentences.ends_of(model, e) == [len(e)]
+
+
 def test_posteriors_sum_over_all_paths():
     rng = random.Random(7)
     m = sentences.Model({"l0": 0.3, "l1": 0.8}, {"r0": 2.0, "r1": 0.5}, {(e, d): (rng.uniform(0.5, 2), rng.uniform(0.5, 2)) for e in (0, 1) for d in (0, 1, 2)})
