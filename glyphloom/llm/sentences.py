@@ -18,6 +18,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -60,18 +61,19 @@ _DENSE = char_class(DENSE_RANGES)[1:-1]
 _INV = INVISIBLE[1:-1]
 _SP = SPACES[1:-1]
 MARKS = re.compile(f"[{STRONG}{WEAK}][{STRONG}{WEAK}{_INV}]*(?:[{_INV}]*[{CLOSERS}])*")
-GAPS = re.compile(f"[{_SP}]+(?=[{_DENSE}0-9０-９A-Za-z“「（])")
+# The search skips to where a pattern may begin if that begins with one set of characters, not with a repeated one.
+GAPS = re.compile(f"[{_SP}][{_SP}]*(?=[{_DENSE}0-9０-９A-Za-z“「（])")
 QUOTE = re.compile("[”“«「『\"]")
 BLANKS = frozenset(chr(c) for ranges in (SPACE_RANGES, INVISIBLE_RANGES) for a, b in ranges for c in range(a, b + 1))
 BLANK = re.compile(rf"[{_SP}{_INV}]*")
-LINES = re.compile(r"\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]")
+LINES = re.compile(r"[\n\r\x0b\x0c\x85\u2028\u2029](?:(?<=\r)\n)?")
 LEFT = re.compile(rf"[\w{_INV}]+(?:\.[\w{_INV}]+)*\Z")
 RIGHT = re.compile(r"\w+")
 DENSE = re.compile(f"[{_DENSE}]")
 HIDDEN = re.compile(INVISIBLE)
 ALPHA = re.compile(r"[^\W\d_]")
-SPACE = re.compile(rf"[{_SP}]+")
-LETTERS = re.compile(rf"[^\W\d_{_DENSE}]+")
+SPACE = re.compile(rf"[{_SP}][{_SP}]*")
+LETTERS = re.compile(rf"[^\W\d_{_DENSE}][^\W\d_{_DENSE}]*")
 #: Anything that is neither a letter, a digit nor white space.
 PUNCTUATION = re.compile(rf"[^\w{_SP}{_INV}\u0300-\u036f\u064b-\u0652\u0900-\u0903\u093a-\u094f\u0e31\u0e34-\u0e3a\u0e47-\u0e4e]|_")
 # First and last code point of a script and its letter here.
@@ -90,15 +92,17 @@ def script(c: str) -> str:
 
 @dataclass(slots=True)
 class Segment:
-    """A line, or a paragraph of a hard-wrapped text, with its candidates: end, left word, left shape, right word, right shape, distance class."""
+    """A line, or a paragraph of a hard-wrapped text, with its candidates: where each ends, and left word, left shape, right word, right shape and distance class in one string."""
 
     begin: int
     end: int
-    candidates: list[tuple[int, str, str, str, str, int]] = field(default_factory=list)
+    stops: list[int] = field(default_factory=list)
+    events: list[str] = field(default_factory=list)
     first: tuple[str, str] = ("", "")
     last: tuple[str, str] = ("", "")
-    #: Where the word before a plain boundary ends and where the word after it begins (-1: nothing follows).
-    plain: list[tuple[int, int]] = field(default_factory=list)
+    #: The words before and after plain boundaries.
+    before: list[str] = field(default_factory=list)
+    after: list[str] = field(default_factory=list)
 
 
 def is_wrapped(lines: list[str]) -> bool:
@@ -107,7 +111,9 @@ def is_wrapped(lines: list[str]) -> bool:
     There has to be a width that (but for a few lines changed later) no line exceeds and that no broken line
     had room in for the next line's first word, and some lines have to end in mid-sentence.
     """
-    seen = [HIDDEN.sub("", x).rstrip() for x in lines]
+    seen = [(x if x.isascii() else HIDDEN.sub("", x)).rstrip() for x in lines]
+    if not any(map(all, zip(seen, seen[1:], strict=False))):
+        return False
     sizes, bounds, inside = [len(x) for x in seen if x], [], 0
     for a, b in zip(seen, seen[1:], strict=False):
         if not a or not b:
@@ -126,9 +132,18 @@ def is_wrapped(lines: list[str]) -> bool:
     return best >= 0.8
 
 
-#: Right words of two letters and left words that are end marks, which come again and again.
+#: Right words of two letters, left words that are end marks or stand before periods, and whether characters are letters of scripts without spaces; they come again and again.
 _DENSE_WORDS: dict[tuple[str, str], tuple[str, str]] = {}
 _MARK_WORDS: dict[tuple[str, str], tuple[str, str]] = {}
+_PERIOD_WORDS: dict[tuple[str, str, str], tuple[str, str]] = {}
+_SOLID_LETTERS: dict[str, bool] = {}
+
+
+def is_solid(c: str) -> bool:
+    known = _SOLID_LETTERS.get(c)
+    if known is None:
+        known = _SOLID_LETTERS[c] = DENSE.match(c) is not None
+    return known
 
 
 def right_word(text: str, at: int, end: int, own: str) -> tuple[str, str]:
@@ -184,6 +199,15 @@ def left_word(text: str, begin: int, at: int, mark: str, closed: bool, first: bo
     if len(plain) > 1 or plain == "…":
         return f"…{own}{tail}", f"…{own}{tail}"
     word = _word_before(text, begin, at)
+    known = _PERIOD_WORDS.get((own, tail, word))
+    if known is None:
+        known = _period_word(word, own, tail)
+        if len(_PERIOD_WORDS) < 100_000:
+            _PERIOD_WORDS[own, tail, word] = known
+    return known
+
+
+def _period_word(word: str, own: str, tail: str) -> tuple[str, str]:
     if word[:1].isdigit() or word[-1:].isdigit():
         look = "#"
     elif "." in word:
@@ -229,25 +253,25 @@ def segments(text: str) -> list[Segment]:
 
 def gram_before(text: str, at: int) -> str:
     """The word that ends at ``at``, or two letters of a script without spaces."""
-    if DENSE.match(text, at - 1):
+    if at and is_solid(text[at - 1]):
         return text[max(0, at - 2) : at]
     return _word_before(text, 0, at).lower()
 
 
 def gram_after(text: str, at: int) -> str:
     """The word that begins at ``at``, or two letters of a script without spaces."""
-    if DENSE.match(text, at):
+    if at < len(text) and is_solid(text[at]):
         return text[at : at + 2]
     m = RIGHT.match(text, at, at + LONGEST_WORD)
     return m[0].lower() if m else ""
 
 
 def _gaps(text: str, begin: int, end: int, own: str) -> list[tuple[int, int, str, bool, str]]:
-    """All gaps between words of a long stretch without punctuation; none of any other stretch."""
+    """All gaps between words of a long stretch; none if it has punctuation."""
     dense = own in "tjz"
-    if end - begin <= (PLAIN_DENSE if dense else PLAIN) or PUNCTUATION.search(text, begin, end):
+    if PUNCTUATION.search(text, begin, end):
         return []
-    places = [i for i in range(begin + 2, end - 1) if text[i].isalpha() and DENSE.match(text, i) and DENSE.match(text, i - 1)] if dense else [m.start() for m in SPACE.finditer(text, begin + 1, end - 1)]
+    places = [i for i in range(begin + 2, end - 1) if text[i].isalpha() and is_solid(text[i]) and is_solid(text[i - 1])] if dense else [m.start() for m in SPACE.finditer(text, begin + 1, end - 1)]
     return [(i, i, "", False, "w") for i in places]
 
 
@@ -259,19 +283,19 @@ def _segment(text: str, begin: int, end: int) -> Segment:
     seg.first = right_word(text, begin, end, own)
     quotes = [m.span() for m in QUOTED.finditer(text, begin, end)] if QUOTE.search(text, begin, end) else []
     marked = False
-    q, fresh, previous = 0, begin, begin
+    q, quoted, fresh, previous = 0, len(quotes), begin, begin
     raw: list[tuple[int, int, str, bool, str]] = []
     events = [(*m.span(), m[0]) for m in MARKS.finditer(text, begin, end)]
     if own in "tjz":
         # White space is a candidate between letters of scripts that write without it; a digit may stand on one side.
         gaps = [m.span() for m in GAPS.finditer(text, begin, end)]
-        gaps = [(a, b) for a, b in gaps if DENSE.match(text[a - 1]) or (text[a - 1].isdigit() or text[a - 1] in BLANKS) and not text[b].isascii() and not text[b].isdigit()]
+        gaps = [(a, b) for a, b in gaps if is_solid(text[a - 1]) or (text[a - 1].isdigit() or text[a - 1] in BLANKS) and not text[b].isascii() and not text[b].isdigit()]
         if gaps:
             events = sorted(events + [(a, b, " ") for a, b in gaps])
     for a, b, mark in events:
-        while q < len(quotes) and quotes[q][1] <= a:
+        while q < quoted and quotes[q][1] <= a:
             q += 1
-        if q < len(quotes) and quotes[q][0] < a:
+        if q < quoted and quotes[q][0] < a:
             # Inside a quotation; only marks right before its end can close a sentence, together with it.
             close = quotes[q][1]
             rest = HIDDEN.sub("", text[b:close]).strip()
@@ -298,32 +322,39 @@ def _segment(text: str, begin: int, end: int) -> Segment:
             fresh = b
         else:
             raw.append((a, a, " ", False, " "))
-    if end - begin > PLAIN_DENSE:
+    long = PLAIN_DENSE if own in "tjz" else PLAIN
+    if end - begin > long:
         at, more = begin, []
-        for a, b in [r[:2] for r in raw] + [(end, end)]:
-            more += _gaps(text, at, a, own)
-            at = b
+        for r in raw:
+            if r[0] - at > long:
+                more += _gaps(text, at, r[0], own)
+            at = r[1]
+        if end - at > long:
+            more += _gaps(text, at, end, own)
         if more:
             raw = sorted(raw + more)
     for a, stop, mark, first, opened in raw:
         nxt = stop
         while nxt < end and text[nxt] in BLANKS:
             nxt += 1
-        if opened == " ":
-            kind = "S" if marked else "s"
-            left = (f"{kind}{own}", f"{kind}{own}")
-        elif opened == "w":
-            left = (f"w{own}{gram_before(text, a)}", f"w{own}")
-        elif not opened and mark[0] in STRONG:
+        if not opened:
             left = _MARK_WORDS.get((own, mark))
             if left is None:
                 left = left_word(text, begin, a, mark, mark[-1] in CLOSERS, False, "", own)
-                if len(_MARK_WORDS) < 100_000:
+                if left[1][0] != "." and len(_MARK_WORDS) < 100_000:
                     _MARK_WORDS[own, mark] = left
+            shape = left[1]
+            if shape[0] == "!" or shape[2:4] in ("a5", "a9"):
+                seg.before.append(gram_before(text, a))
+                if nxt < end:
+                    seg.after.append(gram_after(text, nxt))
+        elif opened == " ":
+            kind = "S" if marked else "s"
+            left = (f"{kind}{own}", f"{kind}{own}")
+        elif opened == "w":
+            left = (f"w{own}{gram_before(text, a)}", f"w{own}")
         else:
             left = left_word(text, begin, a, mark, mark[-1] in CLOSERS, first, opened, own)
-        if not opened and (left[1][0] == "!" or left[1][2:4] in ("a5", "a9")):
-            seg.plain.append((a, nxt if nxt < end else -1))
         if nxt >= end:
             seg.last = left
             continue
@@ -331,12 +362,13 @@ def _segment(text: str, begin: int, end: int) -> Segment:
         if flat and r[1][1:] in ("la", "ya"):
             r = (r[0], r[1][:2] + "A")
         d = stop - previous
-        seg.candidates.append((stop, *left, *r, 0 if d <= 4 else 1 if d <= 12 else 2))
+        seg.stops.append(stop)
+        seg.events.append(_event((stop, *left, *r, 0 if d <= 4 else 1 if d <= 12 else 2)))
         previous = stop
     if not seg.last[0]:
         kind = "S" if marked else "s"
         c = text[end - 1]
-        if DENSE.match(c):
+        if is_solid(c):
             seg.last = (f"{kind}{own}", f"{kind}{own}")
     return seg
 
@@ -375,7 +407,7 @@ def _kind(c: str) -> int:
 
 def _kinds(data: np.ndarray) -> np.ndarray:
     table = per_process("sentence_kinds", lambda: np.array([_kind(chr(i)) for i in range(0x10000)], dtype=np.uint8))
-    kind = table[np.minimum(data, 0xFFFF)]
+    kind = table.take(np.minimum(data, 0xFFFF))
     beyond = np.flatnonzero(data > 0xFFFF)
     for c in np.unique(data[beyond]).tolist():
         kind[beyond[data[beyond] == c]] = _kind(chr(c))
@@ -411,14 +443,17 @@ def runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lines: np.ndarr
     new = (kind & _MARK).astype(bool)
     new[ends] = True
     places = np.flatnonzero(kind & _WORD)
-    of = np.cumsum(new, dtype=np.int32)[places]
-    head = np.flatnonzero(np.diff(of, prepend=-1))
+    head = np.searchsorted(places, np.flatnonzero(new))
+    head = np.concatenate([[0], head])[np.append(True, np.diff(head, prepend=0) > 0)]
+    head = head[head < len(places)]
     tail = np.append(head[1:], len(places)).astype(np.int64) if len(head) else head
-    dense = np.append(0, np.cumsum((kind[places] & _SOLID) > 0))
-    close = 2 * (dense[tail] - dense[head]) >= tail - head
+    solid = (kind[places] & _SOLID) > 0
+    close = 2 * np.add.reduceat(solid, head, dtype=np.int64) >= tail - head if len(head) else np.zeros(0, dtype=bool)
     size = (places[tail - 1] - places[head] + 1) * np.where(close, PLAIN // PLAIN_DENSE, 1)
-    mark = (kind & _STRONG > 0) | (kind & _WEAK > 0) & (np.append(kind[1:], 0) & _WORD == 0)  # not the dots of numbers and the like
-    before = np.append(0, np.cumsum(mark))[np.append(0, lines)]
+    strong, weak = np.flatnonzero(kind & _STRONG), np.flatnonzero(kind & _WEAK)
+    weak = weak[(kind[np.minimum(weak + 1, len(kind) - 1)] & _WORD == 0) | (weak + 1 == len(kind))]  # not the dots of numbers and the like
+    bounds = np.append(0, lines)
+    before = np.searchsorted(strong, bounds) + np.searchsorted(weak, bounds)
     line = np.searchsorted(lines, places[head], side="right")
     return Runs(kind, places, head, tail, close, size, before[line + 1] > before[line], np.searchsorted(starts, places[head], side="right") - 1)
 
@@ -431,49 +466,65 @@ def run_ends(starts: np.ndarray, sizes: list[int], stops: list[int], events: lis
 
 
 class _Counts:
-    """What a task has counted: pairs of words around events, how guessed events follow one another, words at plain boundaries and anywhere, and stretches without punctuation by size."""
+    """What a task has counted: pairs of words around events, how guessed events follow one another, words at plain boundaries and anywhere, and stretches without punctuation by size.
+
+    ``add`` cuts a text, the rest is counted for a batch of texts at once.
+    """
 
     def __init__(self) -> None:
         self.events: Counter = Counter()
         self.edges: Counter = Counter()
         self.steps: Counter = Counter()
         self.words: Counter = Counter()
-        self.plain: Counter = Counter()
+        self.before: Counter = Counter()
+        self.after: Counter = Counter()
         self.runs: Counter = Counter()
-        self.guess: dict[str, float] = {}
 
     def add(self, text: str, weight: float = 1) -> tuple[list[int], list[str]]:
-        """Counts a text, by its weight; its events and ends in order: places, and the words around each, an empty string at the end of a line."""
+        """Counts the ends of a text's lines and its plain boundaries, by its weight; its events and ends in order: places, and the words around each, an empty string at the end of a line."""
         stops: list[int] = []
         events: list[str] = []
+        before: list[str] = []
+        after: list[str] = []
         for s in segments(text):
             if s.last[0]:
                 self.edges["e", *s.last] += weight
             if s.first[0]:
                 self.edges["b", *s.first] += weight
-            before = 1.0
-            for c in s.candidates:
-                e = _event(c)
-                stops.append(c[0])
-                events.append(e)
-                now = self.guess.get(e)
-                if now is None:
-                    now = self.guess[e] = local_guess(c[1], c[2], c[4])
-                self.steps[before, c[5], now] += weight
-                before = now
+            stops += s.stops
             stops.append(s.end)
+            events += s.events
             events.append("")
-            for a, b in s.plain:
-                self.plain["F", gram_before(text, a)] += weight
-                if b >= 0:
-                    self.plain["S", gram_after(text, b)] += weight
-        if weight == 1:
-            self.events.update(events)
-        else:
-            for e in events:
-                self.events[e] += weight
+            before += s.before
+            after += s.after
+        for counted, words in ((self.before, before), (self.after, after)):
+            for w in words:
+                counted[w] += weight
         return stops, events
 
+    def add_events(self, weights: list[float], sizes: list[int], events: pa.StringArray) -> None:
+        """Counts all events of the texts (``sizes``: where a text's events begin) and how they follow one another in a line, by the weight of each text."""
+        coded = events.dictionary_encode()
+        if not len(coded):
+            return
+        code, words = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
+        weight = np.repeat(np.asarray(weights, dtype=float), np.diff([*sizes, len(code)]))
+        for e, n in zip(words, np.bincount(code, weights=weight, minlength=len(words)).tolist(), strict=True):
+            self.events[e] += n
+        guesses, distance = np.ones(len(words)), np.zeros(len(words), dtype=np.int64)
+        for i, e in enumerate(words):
+            if e:
+                l, ls, _, rs, d = e.split(_US)
+                guesses[i], distance[i] = local_guess(l, ls, rs), int(d)
+        values, guess = np.unique(guesses, return_inverse=True)  # 1, that of the start of a line, is the last
+        own = guess[code]
+        step = (np.append(len(values) - 1, own[:-1]) * 3 + distance[code]) * len(values) + own
+        inside = code != (words.index("") if "" in words else -1)
+        counts = np.bincount(step[inside], weights=weight[inside], minlength=3 * len(values) ** 2)
+        for i in np.flatnonzero(counts).tolist():
+            before, now = divmod(i, len(values))
+            self.steps[float(values[before // 3]), before % 3, float(values[now])] += counts[i]
+
     def add_words(self, texts: list[str | None], weights: list[float], sizes: list[int], stops: list[int], events: list[str]) -> np.ndarray:
         """Counts all words of the texts, all pairs of neighbouring letters of scripts without spaces and all stretches, by the weight of each text; the size of each text's longest stretch."""
         alike: dict[float, list[str]] = {}
@@ -481,14 +532,18 @@ class _Counts:
             if t:
                 alike.setdefault(w, []).append(t)
         for weight, some in alike.items():
-            for w, k in Counter(w for t in some for w in LETTERS.findall(t.lower())).items():
-                self.words[w] += k * weight
+            words = chain.from_iterable(map(LETTERS.findall, map(str.lower, some)))
+            if weight == 1:
+                self.words.update(words)
+            else:
+                for w, k in Counter(words).items():
+                    self.words[w] += k * weight
         data, starts = joined(texts)
         found = runs(data, starts, *run_ends(starts, sizes, stops, events))
         own = np.asarray(weights, dtype=float)
         dense = (found.kind & _SOLID) > 0
         two = np.flatnonzero(dense[:-1] & dense[1:])
-        codes = data[two].astype(np.uint64) << np.uint64(32) | data[two + 1]
+        codes = data[two] << np.uint32(16) | data[two + 1]  # all of them are in the first plane
         if (own == 1).all():
             pairs, n = np.unique(codes, return_counts=True)
         else:
@@ -509,14 +564,14 @@ class _Counts:
         for (before, d, now), n in self.steps.items():
             for e, p in ((1, before), (0, 1 - before)):
                 out += [("f", str(e), str(d), str(v), "", n * p * q) for v, q in ((1, now), (0, 1 - now))]
-        out += [("T", w if isinstance(w, str) else chr(w >> 32) + chr(w & 0xFFFFFFFF), "", "", "", float(n)) for w, n in self.words.items()]
-        out += [(k, w, "", "", "", float(n)) for (k, w), n in self.plain.items() if w]
+        out += [("T", w if isinstance(w, str) else chr(w >> 16) + chr(w & 0xFFFF), "", "", "", float(n)) for w, n in self.words.items()]
+        out += [(k, w, "", "", "", float(n)) for k, counted in (("F", self.before), ("S", self.after)) for w, n in counted.items() if w]
         out += [("L", k, str(size), "", "", float(n)) for (k, size), n in self.runs.items()]
         self.__init__()
         return out
 
     def size(self) -> int:
-        return len(self.events) + len(self.words) + len(self.plain) + len(self.edges)
+        return len(self.events) + len(self.words) + len(self.before) + len(self.after) + len(self.edges)
 
 
 _STATISTICS = ["_kind", "_l", "_ls", "_r", "_rs", "_n"]
@@ -564,10 +619,12 @@ def observed(rows: DataFrame, *, keys: list[str], text: str, keep_text: bool = T
                     sizes.append(len(stops))
                     chars += len(t)
                     at += 1
+                coded = pa.array(events, pa.string())
+                counts.add_events(weights[low:at], sizes[:-1], coded)
                 longest = counts.add_words(texts[low:at], weights[low:at], sizes[:-1], stops, events)
                 part = batch.slice(low, at - low)
                 offsets = pa.array(sizes, pa.int32())
-                lists = [pa.ListArray.from_arrays(offsets, pa.array(stops, pa.int32())), pa.ListArray.from_arrays(offsets, pa.array(events, pa.string())), pa.array(longest, pa.int32())]
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(stops, pa.int32())), pa.ListArray.from_arrays(offsets, coded), pa.array(longest, pa.int32())]
                 none = [pa.nulls(part.num_rows, pa.string())] * 5 + [pa.nulls(part.num_rows, pa.float64())]
                 yield pa.RecordBatch.from_arrays([part.column(k) for k in kept] + lists + none, names=[*kept, "_stops", "_events", "_longest", *_STATISTICS])
                 if counts.size() > 300_000:

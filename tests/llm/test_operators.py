@@ -2,6 +2,7 @@
 
 import random
 import unicodedata
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -337,6 +338,29 @@ def test_every_gap_between_words_is_looked_at(spark):
         assert sentences.ends_of(model, e) == [len(e)]
 
 
+def test_events_of_a_batch_are_counted_together():
+    """By the weight of each text, as if each event was counted by itself; events follow one another in a line only."""
+    texts, weights = ["Mr. Bo met Al. They sat. Was it 3.5? Yes!\nNo. “Go. Now!” he said. Al. Bo.", "", "甲县开会了。乙镇讨论了！\n丙村。 丁。", "One. Two.\r\nAl. Bo."], [1, 1, 1 / 3, 0.5]
+    counts, stops, events, sizes, n, steps = sentences._Counts(), [], [], [0], Counter(), Counter()
+    for t, w in zip(texts, weights, strict=True):
+        own = counts.add(t, w)
+        before = 1.0
+        for e in own[1]:
+            n[e] += w
+            if e:
+                l, ls, r, rs, d = e.split("\x1f")
+                steps[before, int(d), sentences.local_guess(l, ls, rs)] += w
+            before = sentences.local_guess(l, ls, rs) if e else 1.0
+        stops, events = stops + own[0], events + own[1]
+        sizes.append(len(stops))
+    counts.add_events(weights, sizes[:-1], pa.array(events, pa.string()))
+    assert dict(counts.events) == pytest.approx(dict(n)) and dict(counts.steps) == pytest.approx(dict(steps)) and len(steps) > 3
+    counts.add_words(texts, weights, sizes[:-1], stops, events)
+    assert counts.words["al"] == 2.5 and counts.words[ord("甲") << 16 | ord("县")] == pytest.approx(1 / 3)
+    assert counts.before["了"] == 0 and counts.before["会了"] == pytest.approx(1 / 3) and counts.after["乙镇"] == pytest.approx(1 / 3)
+    assert {r[:2] for r in counts.rows()} >= {("T", "甲县"), ("F", "会了"), ("S", "乙镇")}
+
+
 def test_posteriors_sum_over_all_paths():
     rng = random.Random(7)
     m = sentences.Model({"l0": 0.3, "l1": 0.8}, {"r0": 2.0, "r1": 0.5}, {(e, d): (rng.uniform(0.5, 2), rng.uniform(0.5, 2)) for e in (0, 1) for d in (0, 1, 2)})
